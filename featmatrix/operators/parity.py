@@ -35,54 +35,73 @@ def count_diff(a: DataFrame, b: DataFrame, by: Sequence[str] = (KEYS.period,)) -
 
 def key_diff(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEYS.matrix) -> DataFrame:
     """Keys found on one side only. NULL keys compare as equal."""
-    tag_a, tag_b = (d.select(*keys).distinct().withColumn("_side", F.lit(s)) for d, s in ((a, 1), (b, 2)))
-    sides = tag_a.unionByName(tag_b).groupBy(*keys).agg(F.sum("_side").alias("_side"))
+    sides = [d.select(*keys, F.lit(s).alias("_side")) for d, s in ((a, 1), (b, 2))]
+    seen = sides[0].unionByName(sides[1]).groupBy(*keys).agg(F.bit_or("_side").alias("_side"))
     named = F.when(F.col("_side") == 1, F.lit("only_a")).otherwise(F.lit("only_b"))
-    return sides.where("_side < 3").select(*keys, named.alias("side"))
+    return seen.where("_side < 3").select(*keys, named.alias("side"))
 
 
 def _is_number(field: T.StructField) -> bool:
     return isinstance(field.dataType, T.NumericType)
 
 
-def _same_number(x: Column, y: Column, eps: float) -> Column:
-    return x.eqNullSafe(y) | (F.abs(x - y) <= eps)
-
-
 def cell_diff(
     a: DataFrame, b: DataFrame, keys: Sequence[str] = KEYS.matrix, eps: float = 0.0,
     eps_by_column: Mapping[str, float] | None = None, ignore_case: bool = False, columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """Cells that differ on shared keys: numbers beyond epsilon, texts after trimming.
 
-    Only differing cells of a row are exploded, so equal matrices produce no intermediate rows.
+    Cells are compared inside the row, as arrays, and only differing ones are exploded, so equal
+    matrices produce no intermediate rows and wide ones no wide expressions.
     """
     limits = eps_by_column or {}
-    types = {f.name: f for f in a.schema.fields}
-    shared = [c for c in (columns or a.columns) if c not in keys and c in b.columns]
+    other = set(b.columns)
+    shared = [f for f in a.schema.fields if f.name not in keys and f.name in other and f.name in (columns or a.columns)]
     if not shared:
         raise ValueError("the two sides share no columns besides the keys")
-    left = a.select(*keys, F.struct(*shared).alias("_a"))
-    right = b.select(*keys, F.struct(*shared).alias("_b"))
-    cells = []
-    for c in shared:
-        x, y = F.col(f"_a.{c}"), F.col(f"_b.{c}")
-        number = _is_number(types[c])
-        if number:
-            same = _same_number(x.cast("double"), y.cast("double"), limits.get(c, eps))
-        else:
-            clean = lambda v: F.lower(F.trim(v.cast("string"))) if ignore_case else F.trim(v.cast("string"))
-            same = clean(x).eqNullSafe(clean(y))
-        diff = F.abs(x.cast("double") - y.cast("double")) if number else F.lit(None).cast("double")
-        cell = F.struct(
-            F.lit(c).alias("column_name"),
-            x.cast("string").alias("value_a"),
-            y.cast("string").alias("value_b"),
+    numbers = [f.name for f in shared if _is_number(f)]
+    texts = [f.name for f in shared if not _is_number(f)]
+
+    def side(df: DataFrame, tag: str) -> DataFrame:
+        return df.select(
+            *keys,
+            F.array(*(F.col(c).cast("double") for c in numbers)).cast("array<double>").alias(f"_n{tag}"),
+            F.array(*(F.trim(F.col(c).cast("string")) for c in texts)).cast("array<string>").alias(f"_t{tag}"),
+        )
+
+    number_names = F.array(*(F.lit(c) for c in numbers)).cast("array<string>")
+    number_limits = F.array(*(F.lit(float(limits.get(c, eps))) for c in numbers)).cast("array<double>")
+    text_names = F.array(*(F.lit(c) for c in texts)).cast("array<string>")
+    number_cells = F.arrays_zip(
+        number_names.alias("name"), F.col("_na").alias("x"), F.col("_nb").alias("y"), number_limits.alias("eps")
+    )
+    text_cells = F.arrays_zip(text_names.alias("name"), F.col("_ta").alias("x"), F.col("_tb").alias("y"))
+
+    def number_differs(c: Column) -> Column:
+        close = F.coalesce(F.abs(c["x"] - c["y"]) <= c["eps"], F.lit(False))
+        return ~(c["x"].eqNullSafe(c["y"]) | close)
+
+    def text_differs(c: Column) -> Column:
+        x, y = (F.lower(c["x"]), F.lower(c["y"])) if ignore_case else (c["x"], c["y"])
+        return ~x.eqNullSafe(y)
+
+    def cell(name: Column, x: Column, y: Column, diff: Column) -> Column:
+        return F.struct(
+            name.alias("column_name"), x.cast("string").alias("value_a"), y.cast("string").alias("value_b"),
             diff.alias("abs_diff"),
         )
-        cells.append(F.when(~F.coalesce(same, F.lit(False)), cell))
-    found = F.filter(F.array(*cells), lambda s: s.isNotNull())
-    joined = left.join(right, list(keys)).select(*keys, F.explode(found).alias("_cell"))
+
+    found = F.concat(
+        F.transform(
+            F.filter(number_cells, number_differs),
+            lambda c: cell(c["name"], c["x"], c["y"], F.abs(c["x"] - c["y"])),
+        ),
+        F.transform(
+            F.filter(text_cells, text_differs),
+            lambda c: cell(c["name"], c["x"], c["y"], F.lit(None).cast("double")),
+        ),
+    )
+    joined = side(a, "a").join(side(b, "b"), list(keys)).select(*keys, F.explode(found).alias("_cell"))
     return joined.select(*keys, "_cell.*")
 
 
