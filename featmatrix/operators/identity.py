@@ -75,12 +75,13 @@ def identity_lookup(
         *by, at_join(F.col(keys.party)).alias(keys.party), F.col(keys.client), F.col(keys.concept)
     ).where(F.trim(keys.party) != ANONYMOUS_ID)
     if duplicates == "raise":
-        # the grouped client is never NULL-checked away: it carries the check
+        # the client column carries the check, and every use of the lookup reads it
         snap = _unique_party(snap, by, keys.party)
     elif duplicates != "multiply":
         raise ValueError(f"duplicates must be raise or multiply, not {duplicates!r}")
-    client_key = F.when(_not_unknown(F.col(keys.client)), _tagged("", by, F.col(keys.client)))
-    base_keyed = base.select(_tagged("", by, F.col(keys.client)).alias("base_key"), "party_last")
+    client_key = F.when(_not_unknown(F.col(keys.client)), _tagged(_BY_CLIENT, by, F.col(keys.client)))
+    # the same key as in by_client, so that both read one exchange
+    base_keyed = base.select(_tagged(_BY_CLIENT, by, F.col(keys.client)).alias("base_key"), "party_last")
     by_party = lookup_join(snap, base_keyed, client_key, "base_key").select(
         _tagged(_BY_PARTY, by, F.col(keys.party)).alias("lookup"),
         at_group(F.col(keys.client)).alias("new_client"),
@@ -137,5 +138,4 @@ def consolidate(
     df: DataFrame, measures: Sequence[str], by: Sequence[str] = (KEYS.period, *KEYS.ids)
 ) -> DataFrame:
     """One row per customer and month. The rule is chosen per column; all rules combine map-side."""
-    rules = {"sum": F.sum, "max": F.max, "min": F.min}
-    return df.groupBy(*by).agg(*(rules[consolidation_rule(m)](m).alias(m) for m in measures))
+    return df.groupBy(*by).agg(*(F.expr(f"{consolidation_rule(m)}(`{m}`) as `{m}`") for m in measures))

@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NULL_KEY_SPREAD = 4096
+# Starts the join key of rows that need no match; no id starts with it.
+UNMATCHED = "\u0000"
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int | None) -> DataFrame:
@@ -22,18 +23,17 @@ def broadcast_if_small(df: DataFrame, max_rows: int | None) -> DataFrame:
 
 
 def lookup_join(left: DataFrame, right: DataFrame, left_key: Column, right_key: str) -> DataFrame:
-    """Left join on one nullable key, where rows with a NULL key need no match.
+    """Left join on one nullable text key, where rows with a NULL key need no match.
 
     Those rows would all hash to one task, and they may be a large part of the data (anonymous
-    parties). They get a salt taken from their content, so they spread evenly and a retried task
-    sends every row to the same place again. Columns of ``right`` other than its key are added.
+    parties). They get a key taken from their content and input partition instead, so that even copies
+    spread, and a retried task sends every row to the same place again. Other hot keys are left to the
+    skew-join splitting of adaptive execution. Columns of ``right`` other than its key are added.
     """
-    key, salt = "_lookup_key", "_lookup_salt"
-    spread = F.pmod(F.xxhash64(*left.columns), F.lit(NULL_KEY_SPREAD)) + 1
-    keyed = left.withColumn(key, left_key).withColumn(salt, F.when(F.col(key).isNull(), spread).otherwise(F.lit(0)))
-    keyed = keyed.withColumn(key, F.coalesce(key, F.lit("")))
-    table = right.withColumnRenamed(right_key, key).where(F.col(key).isNotNull()).withColumn(salt, F.lit(0).cast("long"))
-    return keyed.join(table, [key, salt], "left").drop(key, salt)
+    key = "_lookup_key"
+    spread = F.concat(F.lit(UNMATCHED), F.xxhash64(F.spark_partition_id(), *left.columns).cast("string"))
+    keyed = left.withColumn(key, F.coalesce(left_key, spread))
+    return keyed.join(right.withColumnRenamed(right_key, key), key, "left").drop(key)
 
 
 def combine_blocks(blocks: Sequence[DataFrame], keys: Sequence[str], how: str = "inner") -> DataFrame:

@@ -26,7 +26,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from featmatrix.config import KEYS, FeatureSpec
@@ -139,15 +139,23 @@ def _struct(fields: Mapping[str, str]) -> str:
 
 def month_slots(
     panel: DataFrame, measures: Sequence[str], keys: Sequence[str], ordinals: Sequence[int],
-    period: str = KEYS.period, analysis: str = KEYS.analysis,
+    analysis: Column, period: str = KEYS.period, partitions: int | None = None,
 ) -> DataFrame:
-    """One row per key with one array of measure values per month row ``s0, s1, ...``."""
+    """One row per key with one array of measure values per month row ``s0, s1, ...``.
+
+    ``analysis`` is the analysis month: a literal, or a column that is also one of the keys. The rows go
+    to ``partitions`` tasks (``spark.sql.shuffle.partitions`` by default). The number is fixed because the
+    expansion behind this exchange makes many times its input bytes, sparse months compress well, and
+    adaptive coalescing, which sees only the compressed input, would leave a few overloaded tasks.
+    """
+    if partitions is None:
+        partitions = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     values = ", ".join(f"coalesce(cast(`{m}` as double), 0D)" for m in measures)
-    ordinal = month_index_col(F.col(analysis)) - month_index_col(F.col(period)) + 1
+    ordinal = month_index_col(analysis) - month_index_col(F.col(period)) + 1
     rows = panel.select(*keys, ordinal.alias("_ordinal"), F.expr(f"array({values})").alias("_values"))
     # The explicit exchange comes first so that the aggregate, which cannot shrink one-row-per-month
     # input, runs once after it instead of also sorting before it.
-    slotted = rows.repartition(*keys).groupBy(*keys).agg(
+    slotted = rows.repartition(partitions, *keys).groupBy(*keys).agg(
         *(F.expr(f"any_value(_values) filter (where _ordinal = {o})").alias(f"s{r}") for r, o in enumerate(ordinals))
     )
     zeros = f"array_repeat(0D, {len(measures)})"
@@ -180,6 +188,7 @@ def trailing_matrix(
     analysis: str = KEYS.analysis,
     periods: str = "present",
     present: Sequence[int] | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Trailing features of one analysis month; one row per customer of the panel.
 
@@ -210,9 +219,12 @@ def trailing_matrix(
         for m in measures:
             renames.update({s.name: f"{m}_f{i}" for i, s in enumerate(templates[m])})
     ordered = [m for g in groups for m in g.measures]
-    slots = month_slots(panel, ordered, keys, ordinals, period, analysis)
-    packed, paths = expand_groups(slots, groups, keys, len(ordinals))
-    return packed.selectExpr(*keys, *(f"{paths[renames[s.name]]} as `{s.name}`" for s in specs))
+    # the analysis month is one constant: grouping by it would only widen the exchange
+    ids = [k for k in keys if k != analysis]
+    slots = month_slots(panel, ordered, ids, ordinals, F.lit(int(month)), period, partitions)
+    packed, paths = expand_groups(slots, groups, ids, len(ordinals))
+    out_keys = [f"{int(month)} as {analysis}" if k == analysis else k for k in keys]
+    return packed.selectExpr(*out_keys, *(f"{paths[renames[s.name]]} as `{s.name}`" for s in specs))
 
 
 def trailing_by_window(

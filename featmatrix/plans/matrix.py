@@ -112,7 +112,8 @@ def consolidated_panel(
     """Window rows of every analysis month, re-keyed and summed per customer and month.
 
     Several analysis months are handled in one job: a row is copied to each (at most twelve) analysis
-    months whose window holds it, with an explode and no range join.
+    months whose window holds it, with an explode and no range join, and the analysis month becomes part
+    of every key. For a single month there is no such column.
     """
     keys = channel.keys
     codes = sorted(int(m) for m in months)
@@ -123,27 +124,33 @@ def consolidated_panel(
     snapshots = identity.where(F.col(keys.period).isin(codes)).select(
         F.col(keys.period).cast("int").alias(keys.analysis), keys.client, keys.party, keys.concept
     )
-    if len(codes) == 1:
-        panel = panel.withColumn(keys.analysis, F.lit(codes[0]))
-    else:
+    by = [] if len(codes) == 1 else [keys.analysis]
+    if by:
         index = month_index_col(F.col(keys.period))
         targets = F.array(*(F.lit(m) for m in codes))
         inside = lambda m: (month_index_col(m) - index).between(0, LOOK_BACK)
         panel = panel.withColumn(keys.analysis, F.explode(F.filter(targets, inside)))
-    resolved = resolve_identity(
-        panel, snapshots, channel.trim, (keys.analysis,), duplicates, broadcast_rows, keys
-    )
-    return consolidate(resolved, measures, (keys.analysis, keys.period, *keys.ids))
+    resolved = resolve_identity(panel, snapshots, channel.trim, by, duplicates, broadcast_rows, keys)
+    return consolidate(resolved, measures, (*by, keys.period, *keys.ids))
+
 
+def expand_matrix(
+    consolidated: DataFrame, channel: Channel, ordinals: Sequence[int], month: int | None = None,
+    partitions: int | None = None,
+) -> DataFrame:
+    """Feature columns of consolidated rows whose analysis months share the same present months.
 
-def expand_matrix(consolidated: DataFrame, channel: Channel, ordinals: Sequence[int]) -> DataFrame:
-    """Feature columns of consolidated rows whose analysis months share the same present months."""
+    ``month`` is the analysis month; without it the rows carry it as a column.
+    """
     keys = channel.keys
     groups = [class_template(channel, c, ordinals) for c in (MTO, TKT, CTD, FLG) if channel.names(c)]
     ordered = [m for g in groups for m in g.measures]
-    slots = month_slots(consolidated, ordered, keys.matrix, ordinals, keys.period, keys.analysis)
-    packed, paths = expand_groups(slots, groups, keys.matrix, len(ordinals))
-    return packed.selectExpr(*keys.matrix, *(f"{paths[f]} as {f.lower()}" for f in feature_types(channel)))
+    by = keys.ids if month is not None else keys.matrix
+    analysis = F.lit(month) if month is not None else F.col(keys.analysis)
+    slots = month_slots(consolidated, ordered, by, ordinals, analysis, keys.period, partitions)
+    packed, paths = expand_groups(slots, groups, by, len(ordinals))
+    first = keys.analysis if month is None else f"{month} as {keys.analysis}"
+    return packed.selectExpr(first, *keys.ids, *(f"{paths[f]} as {f.lower()}" for f in feature_types(channel)))
 
 
 def project_matrix(
@@ -152,18 +159,15 @@ def project_matrix(
     """Final layout: ids and their keys, features, audit columns, month partition."""
     keys = channel.keys
     party = F.trim(keys.party) if channel.trim_output_party else F.col(keys.party)
-    ids = [
+    heads = features.select(
         F.col(keys.client).cast("string").alias(keys.client),
         F.col(keys.client).alias("codclaveunicocli"),
         party_key(F.col(keys.party)).alias("codclavepartycli"),
         party.cast("string").alias(keys.party),
         F.col(keys.analysis).cast("int").alias(keys.analysis),
-    ]
-    names = [f.lower() for f in feature_types(channel)]
-    audited = audit_cols(features, run_date, ts)
-    return audited.select(
-        *ids, *names, "fecrutina", "fecactualizacionregistro", F.col(keys.analysis).cast("int").alias(keys.period)
+        F.expr(f"* except ({', '.join(keys.matrix)})"),
     )
+    return audit_cols(heads, run_date, ts).withColumn(keys.period, F.col(keys.analysis).cast("int"))
 
 
 def build_features(
@@ -175,6 +179,7 @@ def build_features(
     drop_null_keys: bool = True,
     duplicates: str = "raise",
     broadcast_rows: int | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Keys and feature columns for the given analysis months, one row per customer and month.
 
@@ -194,7 +199,7 @@ def build_features(
         rows = consolidated_panel(concept, identity, channel, group, duplicates, broadcast_rows)
         if drop_null_keys:
             rows = rows.where(F.col(keys.client).isNotNull() & F.col(keys.party).isNotNull())
-        part = expand_matrix(rows, channel, ordinals)
+        part = expand_matrix(rows, channel, ordinals, group[0] if len(group) == 1 else None, partitions)
         result = part if result is None else result.unionByName(part)
     return result
 
