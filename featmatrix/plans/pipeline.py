@@ -54,7 +54,7 @@ def with_registered_measures(spark: SparkSession, cfg: RunConfig) -> RunConfig:
     """Check the layout against the concept-group table where the channel is registered there.
 
     The output layout is fixed, so every measure of the channel must be registered. With
-    ``registered_layout`` the matrix instead gets the registered measures, in their order.
+    ``registered_layout`` the matrix instead gets the registered measures, sorted by name.
     """
     if cfg.channel.concept_group is None:
         return cfg

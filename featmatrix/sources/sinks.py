@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,18 @@ def repartition_for_write(
     return df.hint("rebalance", partition)
 
 
+@contextmanager
+def _dynamic_overwrite(spark: SparkSession) -> Iterator[None]:
+    """Inserts into a table take the overwrite mode from the session, not from the writer."""
+    option = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(option)
+    spark.conf.set(option, "dynamic")
+    try:
+        yield
+    finally:
+        spark.conf.set(option, before)
+
+
 def write_matrix(
     df: DataFrame, table: str, partition: str = KEYS.period, months: Iterable[int | str] | None = None,
     fmt: str = "parquet",
@@ -40,7 +53,8 @@ def write_matrix(
         known = [c.lower() for c in spark.table(table).columns]
         if known != [c.lower() for c in columns]:
             raise ValueError(f"columns of {table} differ from the columns to write")
-        df.write.option("partitionOverwriteMode", "dynamic").insertInto(table, overwrite=True)
+        with _dynamic_overwrite(spark):
+            df.write.insertInto(table, overwrite=True)
     else:
         df.write.format(fmt).option("compression", "snappy").partitionBy(partition).saveAsTable(table)
 
@@ -58,7 +72,9 @@ def stage_table(
     writer = df.write.format(fmt).mode("overwrite")
     if partition is not None:
         writer = writer.partitionBy(partition)
-    writer.saveAsTable(name, path=path)
+    if path is not None:
+        writer = writer.option("path", path)
+    writer.saveAsTable(name)
     return df.sparkSession.table(name)
 
 

@@ -57,8 +57,8 @@ def measure_rows(df_meta: DataFrame, group: str, table: str) -> DataFrame:
 
 
 def measures_for(df_meta: DataFrame, group: str, table: str) -> list[str]:
-    """Measure names as a list: one entry per column of the concept table, so small by nature."""
-    names = [r[0] for r in measure_rows(df_meta, group, table).collect()]
+    """Sorted measure names: one entry per column of the concept table, so small by nature."""
+    names = sorted(r[0] for r in measure_rows(df_meta, group, table).collect())
     if not names:
         raise ValueError(f"no columns registered for group {group!r} and table {table!r}")
     return names
