@@ -16,6 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import SparkSession  # noqa: E402
 
 from conformance.queries import QUERIES  # noqa: E402
+from featmatrix.plans.pipeline import configure_session  # noqa: E402
 
 HEADLINE = (
     "src_months_scan",
@@ -55,6 +56,7 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    configure_session(spark)
     spark.read.parquet(f"{sf_dir}/nation.parquet").groupBy("n_regionkey").count().collect()
 
     names = sys.argv[1:] or HEADLINE

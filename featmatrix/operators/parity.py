@@ -172,23 +172,22 @@ def top_diffs(cells: DataFrame, n: int, keys: Sequence[str] = KEYS.matrix) -> Da
 
 
 def profile(df: DataFrame, keys: Sequence[str] = KEYS.matrix) -> DataFrame:
-    """One row per column: rows, distinct keys of the stage, sum and NULL count."""
-    columns = [f for f in df.schema.fields if f.name not in keys]
-    wide = df.agg(
-        F.count(F.lit(1)).alias("_rows"),
-        F.countDistinct(F.struct(*keys)).alias("_keys"),
-        *(F.count_if(F.col(f.name).isNull()).alias(f"n_{i}") for i, f in enumerate(columns)),
-        *(
-            (F.sum(f.name).cast("double") if _is_number(f) else F.lit(None).cast("double")).alias(f"s_{i}")
-            for i, f in enumerate(columns)
-        ),
+    """One row per column: rows, distinct keys of the stage, NULL count and sum.
+
+    Cells are aggregated by column name and combine map-side to one row per column and task, so a wide
+    table needs no wide aggregate. The key count is one row, computed apart: a distinct count next to
+    other aggregates would group all of them by key.
+    """
+    fields = [f for f in df.schema.fields if f.name not in keys]
+    numbers = [F.col(f.name).cast("double") if _is_number(f) else F.lit(None).cast("double") for f in fields]
+    cells = F.arrays_zip(
+        F.array(*(F.lit(f.name) for f in fields)).alias("column_name"),
+        F.array(*(F.col(f.name).isNull() for f in fields)).alias("empty"),
+        F.array(*numbers).alias("number"),
     )
-    lines = F.array(
-        *(
-            F.struct(
-                F.lit(f.name).alias("column_name"), F.col(f"n_{i}").alias("null_count"), F.col(f"s_{i}").alias("total")
-            )
-            for i, f in enumerate(columns)
-        )
+    columns = df.select(F.inline(cells)).groupBy("column_name").agg(
+        F.count(F.lit(1)).alias("row_count"), F.count_if("empty").alias("null_count"), F.sum("number").alias("total")
     )
-    return wide.select(F.col("_rows").alias("row_count"), F.col("_keys").alias("key_count"), F.inline(lines))
+    key_count = df.select(*keys).distinct().agg(F.count(F.lit(1)).alias("key_count"), F.lit(1).alias("_one"))
+    joined = columns.withColumn("_one", F.lit(1)).join(F.broadcast(key_count), "_one")
+    return joined.select("row_count", "key_count", "column_name", "null_count", "total")

@@ -21,6 +21,8 @@ SESSION_OPTIONS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64m",
+    # one task of a several-month matrix writes each month without sorting its wide rows by month first
+    "spark.sql.maxConcurrentOutputFileWriters": "24",
     "spark.sql.decimalOperations.allowPrecisionLoss": "false",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
@@ -105,8 +107,8 @@ def run_backfill(spark: SparkSession, cfg: RunConfig, one_job: bool = False) ->
     cfg = with_registered_measures(spark, cfg)
     months = months_to_run(spark, cfg)
     if one_job:
-        matrix = repartition_for_write(matrix_for(spark, cfg, months), KEYS.period, single_partition=len(months) == 1)
-        write_matrix(matrix, cfg.target, KEYS.period, months)
+        # no exchange by month before the write: the matrix is many times wider than its input
+        write_matrix(matrix_for(spark, cfg, months), cfg.target, KEYS.period, months)
     else:
         for month in months:
             run_month(spark, cfg, month)

@@ -19,8 +19,8 @@ def repartition_for_write(
     """Spread rows for a partitioned write.
 
     A frame of one month is already spread by its keys, and moving it by month would funnel it into
-    one task, so it stays as it is (or goes to ``files`` writers by key). Frames of several months are
-    rebalanced by month, which lets adaptive execution split the large months.
+    one task, so it stays as it is (or goes to ``files`` writers by key). A narrow frame of several months
+    can be rebalanced by month, which lets adaptive execution split the large months.
     """
     if single_partition:
         return df if files is None else df.repartition(files, *keys)
