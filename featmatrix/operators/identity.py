@@ -119,9 +119,9 @@ def resolve_identity(
         .when(named, F.coalesce(F.col("new_party"), padded))
         .otherwise(at_group(party))
     )
-    rest = [c for c in panel.columns if c not in keys.ids]
+    rest = F.expr(f"* except ({keys.client}, {keys.party}, new_client, new_party)")
     return lookup_join(panel, table, lookup, "lookup").select(
-        *rest, new_client.alias(keys.client), new_party.alias(keys.party)
+        rest, new_client.alias(keys.client), new_party.alias(keys.party)
     )
 
 

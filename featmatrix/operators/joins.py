@@ -31,8 +31,9 @@ def lookup_join(left: DataFrame, right: DataFrame, left_key: Column, right_key:
     skew-join splitting of adaptive execution. Columns of ``right`` other than its key are added.
     """
     key = "_lookup_key"
-    spread = F.concat(F.lit(UNMATCHED), F.xxhash64(F.spark_partition_id(), *left.columns).cast("string"))
-    keyed = left.withColumn(key, F.coalesce(left_key, spread))
+    content = F.expr("xxhash64(spark_partition_id(), *)")
+    spread = F.concat(F.lit(UNMATCHED), content.cast("string"))
+    keyed = left.select("*", F.coalesce(left_key, spread).alias(key))
     return keyed.join(right.withColumnRenamed(right_key, key), key, "left").drop(key)
 
 
