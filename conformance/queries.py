@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from conformance import adapter as A
 from conformance import sql as S
 from conformance.adapter import BACKFILL, MONTH
-from featmatrix.config import UNKNOWN_CLIENT
 from featmatrix.functions import periods as P
 from featmatrix.operators import columns as C
 from featmatrix.operators import library as L
@@ -23,7 +22,7 @@ from featmatrix.operators.metadata import meta_find, meta_groups, meta_lengths,
 from featmatrix.operators.trailing import expand_specs, trailing_by_window, trailing_matrix
 from featmatrix.plans.channels import agent_channel, atm_channel, pos_channel
 from featmatrix.plans.matrix import build_matrix
-from featmatrix.sources.tables import measure_rows, measures_for, read_identity, read_months, read_run_params
+from featmatrix.sources.tables import measure_rows, read_identity, read_months, read_run_params
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -669,9 +668,18 @@ def par_metric_sums(spark, sf):
     return PAR.metric_sums(A.window_panel(spark, sf), ["mto_tot", "tkt_tot", "ctd_tot"], KEYS1)
 
 
-@query("par_row_hash")
+HASHED = ["mto_tot", "ctd_tot", "c_flg_p1"]
+
+
+@query(
+    "par_row_hash",
+    f"""with {S.panel()} select codmes, codunicocli,
+sha256(concat_ws('|', {", ".join(f"cast(cast({c} as bigint) as varchar)" for c in HASHED)})) as row_hash from panel""",
+)
 def par_row_hash(spark, sf):
-    return PAR.row_hash(A.orders_panel(spark, sf), ["mto_tot", "ctd_tot", "tkt_tot"], PARITY_KEYS)
+    # whole numbers, because the engines write doubles as text in different ways
+    rows = C.cast_cols(A.orders_panel(spark, sf), {c: "bigint" for c in HASHED})
+    return PAR.row_hash(rows, HASHED, PARITY_KEYS)
 
 
 @query("par_table_hash")

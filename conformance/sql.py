@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from conformance.adapter import BACKFILL, MONTH, OPERATION_SQL, OTHER_SQL, PRIORITIES, operation_sql  # noqa: F401
+from conformance.adapter import MONTH, OTHER_SQL, PRIORITIES, operation_sql
 from featmatrix.config import UNKNOWN_CLIENT
 from featmatrix.plans.channels import AGENT_MONETARY, ATM_MONETARY, OTHER_OPERATIONS, POS_GROUPS
 

@@ -50,14 +50,10 @@ def matrix_specs(channel: Channel) -> list[FeatureSpec]:
         spec
         for block in blocks
         for fn, starts, end in _families(channel, block[0])
-        for spec in expand_specs_by_measure(channel.names(*block), fn, starts, end)
+        for spec in expand_specs(channel.names(*block), (fn,), starts, (end,))
     ]
 
 
-def expand_specs_by_measure(measures: Sequence[str], fn: str, starts: Sequence[int], end: int) -> list[FeatureSpec]:
-    return expand_specs(measures, (fn,), starts, (end,))
-
-
 def _growth_classes(channel: Channel) -> list[str]:
     return [c for c in (MTO, TKT, CTD) if c in channel.with_previous]
 

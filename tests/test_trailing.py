@@ -3,8 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
-from pyspark.sql import functions as F
-
+from featmatrix.config import FeatureSpec
 from featmatrix.operators.densify import assert_has_month, densify
 from featmatrix.operators.trailing import expand_specs, present_ordinals, trailing_by_window, trailing_matrix
 
@@ -54,8 +53,7 @@ def test_slots_equal_windows(spark, seed, months):
     names = [s.name for s in specs]
     fast = as_dict(trailing_matrix(panel, specs, 202412, KEYS), names)
     slow = as_dict(trailing_by_window(panel, specs, KEYS), names)
-    assert fast == slow and len(fast) == 40 or len(fast) == panel.select("codunicocli").distinct().count()
-    assert fast == slow
+    assert fast == slow and len(fast) == panel.select("codunicocli").distinct().count()
 
 
 def test_calendar_periods_count_absent_months(spark):
@@ -120,8 +118,6 @@ def test_missing_month_guard(spark):
 
 def test_names_of_unknown_aggregate(spark):
     panel = random_panel(spark, 8, [202412], 2)
-    bad = [s for s in expand_specs(["a"], ("avg",), (0,), (0,))]
-    bad = [type(bad[0])("x", "median", "a", 0, 0)]
+    bad = [FeatureSpec("x", "median", "a", 0, 0)]
     with pytest.raises(ValueError, match="median"):
         trailing_matrix(panel, bad, 202412, KEYS)
-    assert F is not None
