@@ -11,12 +11,32 @@ from pyspark.sql import functions as F
 from featmatrix.llm.common import read_table
 
 
+def op1_sorted_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from featmatrix.llm.embed_dedup import near_duplicate_vectors
+
+    return near_duplicate_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def op2_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from featmatrix.llm.quality import line_first_quality
 
     return line_first_quality(read_table(spark, sf_dir, "documents")).drop("cleaned")
 
 
+def op3_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from featmatrix.llm.langid import fit, held_out, predict
+
+    docs = read_table(spark, sf_dir, "documents")
+    found = predict(docs, fit(docs.where(~held_out())))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op5_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from featmatrix.llm.minhash import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op6_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from featmatrix.llm.packing import pack_examples
 
@@ -30,10 +50,21 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digest(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op10_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from featmatrix.llm.pii import find, fit
+
+    docs = read_table(spark, sf_dir, "documents")
+    return find(docs, fit(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sorted_projections": op1_sorted_projections,
     "op2_quality_lines": op2_quality_lines,
+    "op3_language_centroids": op3_language_centroids,
+    "op5_odd_sketches": op5_odd_sketches,
     "op6_vector_packing": op6_vector_packing,
     "op7_byte_bpe": op7_byte_bpe,
+    "op10_skip_chain_pii": op10_skip_chain_pii,
 }
 
 ORACLES: dict[str, str] = {}
