@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featmatrix.llm.common import read_table
+from featmatrix.llm.line_dedup import ORACLE as LINE_ORACLE
 
 
 def op1_sorted_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +51,12 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digest(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op8_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from featmatrix.llm.line_dedup import line_report
+
+    return line_report(read_table(spark, sf_dir, "documents"))
+
+
 def op10_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from featmatrix.llm.pii import find, fit
 
@@ -64,7 +71,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_odd_sketches": op5_odd_sketches,
     "op6_vector_packing": op6_vector_packing,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_line_runs": op8_line_runs,
     "op10_skip_chain_pii": op10_skip_chain_pii,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_line_runs": LINE_ORACLE}
