@@ -57,6 +57,15 @@ def op8_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(read_table(spark, sf_dir, "documents"))
 
 
+def op9_hashed_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from featmatrix.llm.common import crc_mod
+    from featmatrix.llm.maxent import fit, score
+
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = crc_mod("doc_id", 5) == 1
+    return score(docs, fit(docs.where(~held_out))).withColumn("held_out", held_out)
+
+
 def op10_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from featmatrix.llm.pii import find, fit
 
@@ -72,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_vector_packing": op6_vector_packing,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_line_runs": op8_line_runs,
+    "op9_hashed_maxent": op9_hashed_maxent,
     "op10_skip_chain_pii": op10_skip_chain_pii,
 }
 
