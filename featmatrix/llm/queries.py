@@ -32,6 +32,13 @@ def op3_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op4_front_coded_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from featmatrix.llm.suffix_dedup import remove_repeats
+
+    cut = remove_repeats(read_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     from featmatrix.llm.minhash import near_duplicates
 
@@ -77,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sorted_projections": op1_sorted_projections,
     "op2_quality_lines": op2_quality_lines,
     "op3_language_centroids": op3_language_centroids,
+    "op4_front_coded_suffixes": op4_front_coded_suffixes,
     "op5_odd_sketches": op5_odd_sketches,
     "op6_vector_packing": op6_vector_packing,
     "op7_byte_bpe": op7_byte_bpe,
