@@ -7,7 +7,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Words of a text: maximal runs of anything but blank and the control characters tab to carriage return.
@@ -32,28 +32,41 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_ARROW = {
+    "long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(),
+    "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()),
+}
+
+
 def map_rows(
     df: DataFrame, columns: list[str], schema: str, rows_of: Callable[[Iterator[tuple]], Iterator[tuple]], batch: int = 2048
 ) -> DataFrame:
-    """Hand the columns of each partition to `rows_of` as tuples; it yields tuples of the schema."""
-    names = [part.split()[0] for part in schema.split(",")]
+    """Hand the columns of each partition to `rows_of` as tuples; it yields tuples of the schema.
+
+    Rows stream through in batches, and nulls stay null in every type.
+    """
+    fields = [part.split() for part in schema.split(", ")]
+    out = pa.schema([(name, _ARROW[kind]) for name, kind in fields])
+
+    def source(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for one in batches:
+            for at in range(0, one.num_rows, 1024):
+                yield from zip(*[column.to_pylist() for column in one.slice(at, 1024).columns])
 
-    def source(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-        for frame in frames:
-            values = [frame[c].astype(object).where(frame[c].notna(), None).tolist() for c in columns]
-            yield from zip(*values)
+    def record(held: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(values, kind) for values, kind in zip(zip(*held), out.types)], schema=out)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
-        for row in rows_of(source(frames)):
+        for row in rows_of(source(batches)):
             held.append(row)
             if len(held) >= batch:
-                yield pd.DataFrame(held, columns=names)
+                yield record(held)
                 held = []
         if held:
-            yield pd.DataFrame(held, columns=names)
+            yield record(held)
 
-    return df.select(*columns).mapInPandas(run, schema)
+    return df.select(*columns).mapInArrow(run, schema)
 
 
 def crc_mod(column: str, divisor: int):
