@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featmatrix.config import ANONYMOUS_ID, UNKNOWN_CLIENT
-from featmatrix.functions.periods import month_of_col
+from featmatrix.functions.periods import month_of_col, shift_month
 from featmatrix.plans.channels import AGENT_MONETARY, ATM_MONETARY, OTHER_OPERATIONS, POS_GROUPS
 
 MONTH = 200012
@@ -28,8 +28,17 @@ def _cents(amount: str) -> Column:
     return F.round(F.col(amount) * 100).cast("bigint")
 
 
-def monthly_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select(
+def _first_day(month: int) -> Column:
+    return F.lit(f"{month // 100}-{month % 100:02d}-01 00:00:00").cast("timestamp_ntz")
+
+
+def monthly_orders(spark: SparkSession, sf_dir: str, months: tuple[int, int] | None = None) -> DataFrame:
+    """Orders with their month. ``months`` (first, last) filters the raw date, so that the scan is pruned."""
+    orders = table(spark, sf_dir, "orders")
+    if months is not None:
+        day = F.col("o_orderdate")
+        orders = orders.where((day >= _first_day(months[0])) & (day < _first_day(int(shift_month(months[1], 1)))))
+    return orders.select(
         "o_orderkey",
         "o_custkey",
         month_of_col(F.col("o_orderdate")).alias("codmes"),
@@ -64,14 +73,16 @@ def _ticket(amount: Column, count: Column) -> Column:
     return F.round(amount / F.nullif(count, F.lit(0)))
 
 
-def orders_panel(spark: SparkSession, sf_dir: str, sentinels: bool = False) -> DataFrame:
+def orders_panel(
+    spark: SparkSession, sf_dir: str, sentinels: bool = False, months: tuple[int, int] | None = None
+) -> DataFrame:
     """Total and five order priorities. Measures of a priority without orders are NULL, counts are zero."""
     aggs = [F.sum("cents").cast("double").alias("mto_tot"), F.count(F.lit(1)).cast("double").alias("ctd_tot")]
     for p in PRIORITIES:
         hit = F.col("prio") == p
         aggs.append(F.sum(F.when(hit, F.col("cents"))).cast("double").alias(f"mto_p{p}"))
         aggs.append(F.count_if(hit).cast("double").alias(f"ctd_p{p}"))
-    rows = monthly_orders(spark, sf_dir).groupBy("codmes", "o_custkey").agg(*aggs)
+    rows = monthly_orders(spark, sf_dir, months).groupBy("codmes", "o_custkey").agg(*aggs)
     groups = ["tot", *(f"p{p}" for p in PRIORITIES)]
     return rows.select(
         *_ids(sentinels),
@@ -84,7 +95,8 @@ def orders_panel(spark: SparkSession, sf_dir: str, sentinels: bool = False) -> D
 
 def window_panel(spark: SparkSession, sf_dir: str, month: int = MONTH) -> DataFrame:
     """The twelve months up to the analysis month, which is added as a column."""
-    panel = orders_panel(spark, sf_dir).where(F.col("codmes").between(month - 11, month))
+    first = int(shift_month(month, -11))
+    panel = orders_panel(spark, sf_dir, months=(first, month)).where(F.col("codmes").between(first, month))
     return panel.select(F.lit(month).alias("codmesanalisis"), "*")
 
 
@@ -106,14 +118,14 @@ def identity_map(spark: SparkSession, sf_dir: str, months: Sequence[int] = (MONT
     )
 
 
-def pos_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pos_panel(spark: SparkSession, sf_dir: str, months: tuple[int, int] | None = None) -> DataFrame:
     """Twenty-five merchant groups, one per part brand."""
     brand = F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int")
     lines = (
         table(spark, sf_dir, "lineitem")
         .select("l_orderkey", "l_partkey", _cents("l_extendedprice").alias("cents"))
         .join(table(spark, sf_dir, "part").select("p_partkey", brand.alias("brand")), F.expr("l_partkey = p_partkey"))
-        .join(monthly_orders(spark, sf_dir).drop("cents"), F.expr("l_orderkey = o_orderkey"))
+        .join(monthly_orders(spark, sf_dir, months).drop("cents"), F.expr("l_orderkey = o_orderkey"))
     )
     wide = (
         lines.groupBy("codmes", "o_custkey")
@@ -158,7 +170,9 @@ def operation_sql(operation: str) -> str:
     return f"{OPERATION_SQL[kind]} and {OPERATION_SQL[currency]}"
 
 
-def _can_panel(spark: SparkSession, sf_dir: str, device: str, monetary: Sequence[str]) -> DataFrame:
+def _can_panel(
+    spark: SparkSession, sf_dir: str, device: str, monetary: Sequence[str], months: tuple[int, int] | None
+) -> DataFrame:
     aggs, cells = [], []
     name = lambda cls, family, o: "_".join(x for x in ("CAN", cls, family, device, o) if x)
     for family, operations in (("TMO", monetary), ("TNM", OTHER_OPERATIONS)):
@@ -172,16 +186,16 @@ def _can_panel(spark: SparkSession, sf_dir: str, device: str, monetary: Sequence
                 aggs.append(F.expr(f"cast(coalesce(sum(case when {test} then cents end), 0) as double)").alias(mto))
                 ticket = F.coalesce(_ticket(F.col(mto), F.col(ctd)), F.lit(0.0))
                 cells += [F.col(mto), ticket.alias(name("TKT", family, o))]
-    rows = monthly_orders(spark, sf_dir).groupBy("codmes", "o_custkey").agg(*aggs)
+    rows = monthly_orders(spark, sf_dir, months).groupBy("codmes", "o_custkey").agg(*aggs)
     return rows.select(*_ids(True, padded=True), *cells)
 
 
-def agent_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _can_panel(spark, sf_dir, "AGT", AGENT_MONETARY)
+def agent_panel(spark: SparkSession, sf_dir: str, months: tuple[int, int] | None = None) -> DataFrame:
+    return _can_panel(spark, sf_dir, "AGT", AGENT_MONETARY, months)
 
 
-def atm_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _can_panel(spark, sf_dir, "ATM", ATM_MONETARY)
+def atm_panel(spark: SparkSession, sf_dir: str, months: tuple[int, int] | None = None) -> DataFrame:
+    return _can_panel(spark, sf_dir, "ATM", ATM_MONETARY, months)
 
 
 def run_params(spark: SparkSession, sf_dir: str) -> DataFrame:

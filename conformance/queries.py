@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from conformance import adapter as A
 from conformance import sql as S
 from conformance.adapter import BACKFILL, MONTH
+from featmatrix.config import Namespace
 from featmatrix.functions import periods as P
 from featmatrix.operators import columns as C
 from featmatrix.operators import library as L
@@ -22,7 +25,8 @@ from featmatrix.operators.metadata import meta_find, meta_groups, meta_lengths,
 from featmatrix.operators.trailing import expand_specs, trailing_by_window, trailing_matrix
 from featmatrix.plans.channels import agent_channel, atm_channel, pos_channel
 from featmatrix.plans.matrix import build_matrix
-from featmatrix.sources.tables import measure_rows, read_identity, read_months, read_run_params
+from featmatrix.sources import sinks
+from featmatrix.sources.tables import measure_rows, read_identity, read_months, read_partition, read_run_params, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,7 +56,8 @@ def query(name: str, oracle: str | None = None):
     f"with {S.panel()} select codmes, codunicocli, mto_tot, ctd_tot from panel where codmes between {S.FIRST} and {MONTH}",
 )
 def src_months_scan(spark, sf):
-    return read_months(A.orders_panel(spark, sf), S.FIRST, MONTH, ["codmes", "codunicocli", "mto_tot", "ctd_tot"])
+    panel = A.orders_panel(spark, sf, months=(S.FIRST, MONTH))
+    return read_months(panel, S.FIRST, MONTH, ["codmes", "codunicocli", "mto_tot", "ctd_tot"])
 
 
 @query(
@@ -213,7 +218,7 @@ select codmes, {client} as codunicocli, {party} as codinternocomputacional, mto_
 
 
 def _identity_panel(spark, sf):
-    panel = read_months(A.orders_panel(spark, sf, sentinels=True), S.FIRST, MONTH)
+    panel = read_months(A.orders_panel(spark, sf, True, (S.FIRST, MONTH)), S.FIRST, MONTH)
     return panel.select("codmes", "codunicocli", "codinternocomputacional", *MEASURES)
 
 
@@ -518,10 +523,25 @@ def der_flag_u1m(spark, sf):
     return exactly_n(_features(spark, sf, specs), {"c_flg_p1_U1M": 1})
 
 
-@query("der_party_key")
+# Fixed value: how the SHA-512 of the prefix and "." begins.
+ANONYMOUS_KEY = "0daf56d58498b9fb7d8fc66038e24370"
+
+
+@query(
+    "der_party_key",
+    f"""with {S.panel(sentinels=True)} select trim(codinternocomputacional) as party, count(*) as n_rows, 1::bigint as n_keys,
+128 as key_length, trim(codinternocomputacional) = '.' as is_known_key from panel group by 1""",
+)
 def der_party_key(spark, sf):
+    """The oracle engine has no SHA-512, so: one key per trimmed party, its length, and the known key of one party."""
     rows = A.orders_panel(spark, sf, sentinels=True)
-    return rows.select("codmes", "codunicocli", party_key(F.col("codinternocomputacional")).alias("codclavepartycli"))
+    keyed = rows.select(F.trim("codinternocomputacional").alias("party"), party_key(F.col("codinternocomputacional")).alias("key"))
+    return keyed.groupBy("party").agg(
+        F.count("*").alias("n_rows"),
+        F.countDistinct("key").alias("n_keys"),
+        F.max(F.length("key")).alias("key_length"),
+        F.bool_and(F.col("key").startswith(ANONYMOUS_KEY)).alias("is_known_key"),
+    )
 
 
 # Metadata
@@ -600,15 +620,20 @@ def _cells(spark, sf):
     return PAR.cell_diff(a, b, PARITY_KEYS, eps_by_column={"mto_tot": 1.0})
 
 
+SQL_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "TIMESTAMP": "timestamp_ntz"}
+
+
 @query(
     "par_schema",
-    """with p as (select count(*) as n from orders) select 'ctd_p1' as column_name, 4 as position_a, 4 as position_b, 'double' as type_a, 'int' as type_b from p where n > 0
-union all select 'label', 5, null, 'string', null from p where n > 0
-union all select 'extra', null, 5, null, 'string' from p where n > 0""",
+    f"""with types(t, s) as (values {", ".join(f"('{t}', '{s}')" for t, s in SQL_TYPES.items())}),
+c as (select table_name, column_name, column_index - (select min(column_index) from duckdb_columns() d where d.table_name = k.table_name) as i, s
+  from duckdb_columns() k join types on data_type = t where not internal and table_name in ('documents', 'conversations', 'labels')),
+x as (select * from c where table_name = 'documents'), y as (select * from c where table_name = 'conversations')
+select coalesce(x.column_name, y.column_name) as column_name, cast(x.i as int) as position_a, cast(y.i as int) as position_b, x.s as type_a, y.s as type_b
+from x full join y on x.column_name = y.column_name where x.i is distinct from y.i or x.s is distinct from y.s""",
 )
 def par_schema(spark, sf):
-    a, b = _versions(spark, sf)
-    return PAR.schema_diff(a, b.withColumn("ctd_p1", F.col("ctd_p1").cast("int")).withColumnRenamed("label", "extra"))
+    return PAR.schema_diff(A.table(spark, sf, "documents"), A.table(spark, sf, "conversations"))
 
 
 @query(
@@ -629,6 +654,25 @@ def par_keys(spark, sf):
     return PAR.key_diff(*_versions(spark, sf), PARITY_KEYS)
 
 
+NULL_KEYS = """orders_n as (select o_orderkey, nullif(o_custkey % 40, 7) as k,
+    cast(round(o_totalprice * 100) as bigint) as x from orders),
+a as (select k, sum(x) as v from orders_n group by k), b as (select k, v + case when k is null or k % 5 = 0 then 1 else 0 end as v from a)"""
+
+
+@query(
+    "par_cells_null_keys",
+    f"""with {NULL_KEYS} select a.k, 'V' as column_name, a.v::varchar as value_a, b.v::varchar as value_b,
+    abs(a.v - b.v)::double as abs_diff from a join b on a.k is not distinct from b.k where a.v <> b.v""",
+)
+def par_cells_null_keys(spark, sf):
+    """One key is NULL, and the column's name differs in case."""
+    key = F.nullif(F.col("o_custkey") % 40, F.lit(7)).alias("k")
+    cents = F.round(F.col("o_totalprice") * 100).cast("bigint").alias("x")
+    a = A.table(spark, sf, "orders").select(key, cents).groupBy("k").agg(F.sum("x").alias("V"))
+    changed = F.col("V") + F.when(F.col("k").isNull() | (F.col("k") % 5 == 0), 1).otherwise(0)
+    return PAR.cell_diff(a, a.select("k", changed.alias("v")), ["k"])
+
+
 @query("par_cells", f"with {CELLS_SQL} select * from cells")
 def par_cells(spark, sf):
     return _cells(spark, sf).select(*PARITY_KEYS, "column_name", "abs_diff")
@@ -645,10 +689,11 @@ def par_top_diffs(spark, sf):
 
 @query(
     "par_summary",
-    f"with {CELLS_SQL} select column_name, count(*) as n_cells, max(abs_diff) as max_diff, avg(abs_diff) as mean_diff from cells group by 1",
+    f"""with {CELLS_SQL} select column_name, count(*) as n_cells, max(abs_diff) as max_diff, avg(abs_diff) as mean_diff,
+quantile_disc(abs_diff, 0.5) as median_diff from cells group by 1""",
 )
 def par_summary(spark, sf):
-    return PAR.diff_summary(_cells(spark, sf)).drop("median_diff")
+    return PAR.diff_summary(_cells(spark, sf))
 
 
 @query(
@@ -668,13 +713,19 @@ def par_metric_sums(spark, sf):
     return PAR.metric_sums(A.window_panel(spark, sf), ["mto_tot", "tkt_tot", "ctd_tot"], KEYS1)
 
 
-HASHED = ["mto_tot", "ctd_tot", "c_flg_p1"]
+HASHED = ["mto_tot", "ctd_tot", "c_flg_p1", "mto_p1"]
+
+
+def _digest_sql(values: list[str]) -> str:
+    """SHA-256 over length-prefixed values, NULL as a mark of its own."""
+    texts = [f"cast({v} as varchar)" for v in values]
+    return "sha256(concat_ws('|', " + ", ".join(f"coalesce(length({t}) || ':' || {t}, 'n')" for t in texts) + "))"
 
 
 @query(
     "par_row_hash",
     f"""with {S.panel()} select codmes, codunicocli,
-sha256(concat_ws('|', {", ".join(f"cast(cast({c} as bigint) as varchar)" for c in HASHED)})) as row_hash from panel""",
+{_digest_sql([f"cast({c} as bigint)" for c in HASHED])} as row_hash from panel""",
 )
 def par_row_hash(spark, sf):
     # whole numbers, because the engines write doubles as text in different ways
@@ -682,14 +733,32 @@ def par_row_hash(spark, sf):
     return PAR.row_hash(rows, HASHED, PARITY_KEYS)
 
 
-@query("par_table_hash")
+TABLE_HASHED = ["codmes", "codunicocli", *HASHED]
+
+
+@query(
+    "par_table_hash",
+    f"""with {S.panel()} select count(*) as row_count,
+sum(cast('0x' || substr({_digest_sql(["codmes", "codunicocli", *(f"cast({c} as bigint)" for c in HASHED)])}, 1, 15) as bigint)::hugeint)::decimal(38,0)
+as table_hash from panel""",
+)
 def par_table_hash(spark, sf):
-    return PAR.table_hash(A.orders_panel(spark, sf))
+    rows = C.cast_cols(A.orders_panel(spark, sf), {c: "bigint" for c in HASHED})
+    return PAR.table_hash(rows, TABLE_HASHED)
 
 
-@query("par_sample")
+@query(
+    "par_sample",
+    f"""with {CELLS_SQL.replace("abs(am - bm) > 1", "abs(am - bm) > 0")},
+sampled as (select codmes, codunicocli from (select codmes, codunicocli from a union select codmes, codunicocli from b)
+  order by {_digest_sql(["codmes", "codunicocli", "7"])}, codmes, codunicocli limit 1000)
+select codmes, codunicocli, column_name, abs_diff from cells join sampled using (codmes, codunicocli)
+union all select codmes, codunicocli, '(row)', null from sampled anti join a using (codmes, codunicocli)
+union all select codmes, codunicocli, '(row)', null from sampled anti join b using (codmes, codunicocli)""",
+)
 def par_sample(spark, sf):
-    return PAR.sample_diff(*_versions(spark, sf), PARITY_KEYS, n=1000, seed=7)
+    cells = PAR.sample_diff(*_versions(spark, sf), PARITY_KEYS, n=1000, seed=7)
+    return cells.select(*PARITY_KEYS, "column_name", "abs_diff")
 
 
 def _profile_sql() -> str:
@@ -707,19 +776,191 @@ def par_profile(spark, sf):
     return PAR.profile(rows, PARITY_KEYS)
 
 
-# Whole matrices; the party key (SHA-512) and the audit columns have no counterpart in the oracle engine
+# Whole matrices; only the party key (SHA-512) has no counterpart in the oracle engine
 
-NOT_IN_ORACLE = ("codclavepartycli", "fecrutina", "fecactualizacionregistro")
+NOT_IN_ORACLE = ("codclavepartycli",)
+RUN_TIME = datetime(2001, 1, 5, 10, 20, 30)
 
 
-def matrix_query(name: str, source, channel, oracle: str, months=(MONTH,)) -> None:
+def whole_matrix(spark, sf, source, channel, months=(MONTH,), without=()) -> DataFrame:
+    """All columns of the matrix, with a pinned record timestamp."""
+    span = int(P.shift_month(min(months), -11)), max(months)
+    concept, identity = source(spark, sf, months=span), A.identity_map(spark, sf, months)
+    if without:
+        concept = concept.where(~F.col("codmes").isin(*without))
+    matrix = build_matrix(concept, identity, channel, months, RUN_DATE, RUN_TIME)
+    return C.cast_cols(matrix, {"fecactualizacionregistro": "timestamp_ntz"})
+
+
+def matrix_query(name: str, source, channel, oracle: str, months=(MONTH,), without=()) -> None:
     @query(name, oracle)
     def run(spark, sf):
-        concept, identity = source(spark, sf), A.identity_map(spark, sf, months)
-        return build_matrix(concept, identity, channel, months, RUN_DATE).drop(*NOT_IN_ORACLE)
+        return whole_matrix(spark, sf, source, channel, months, without).drop(*NOT_IN_ORACLE)
 
 
 matrix_query("pip_pos", A.pos_panel, pos_channel(), S.matrix("pos"))
 matrix_query("pip_agent", A.agent_panel, agent_channel(), S.matrix("agent"))
 matrix_query("pip_atm", A.atm_panel, atm_channel(), S.matrix("atm"))
 matrix_query("pip_backfill", A.agent_panel, agent_channel(), S.matrix("agent", BACKFILL), BACKFILL)
+matrix_query(
+    "pip_agent_gaps", A.agent_panel, agent_channel(), S.matrix("agent", (200011, 200012), without=(199912, 200006, 200009)),
+    (200011, 200012), (199912, 200006, 200009),
+)
+
+
+# Windows of other months, several at once, and with months missing
+
+SPREAD = expand_specs(["mto_tot", "ctd_tot"], ("avg", "max", "min", "sum"), (-11, -2, 0), (0,))
+SPREAD += expand_specs(["mto_tot"], ("avg",), (-5,), (-3,))
+
+
+def _spread_sql(source: str, by: str = "codmesanalisis") -> str:
+    """Windows over the grid of customers and months present, by analysis month."""
+    frame = lambda s: f"{s.fn}({s.measure}) over (partition by am, c order by m rows between {-s.start} preceding and {-s.end} preceding)"
+    return f"""{source}, months as (select distinct codmes as m from w),
+ids as (select distinct codmesanalisis as am, codunicocli as c from w),
+grid as (select am, c, m, coalesce(mto_tot, 0) as mto_tot, coalesce(ctd_tot, 0) as ctd_tot
+  from ids join months on m <= am left join w on w.codmesanalisis = am and w.codunicocli = c and w.codmes = m),
+rolled as (select am, c, m, {", ".join(f"{frame(s)} as {s.name}" for s in SPREAD)} from grid)
+select am as codmesanalisis, c as codunicocli, {", ".join(s.name for s in SPREAD)} from rolled where m = am"""
+
+
+def _several_sql(months: tuple[int, ...], without: tuple[int, ...] = ()) -> str:
+    values = ", ".join(f"({m})" for m in months)
+    skipped = f"and codmes not in ({', '.join(map(str, without))})" if without else ""
+    return f"""with {S.panel()}, w as (select t.a as codmesanalisis, panel.* from panel, (values {values}) t(a)
+  where (t.a // 100 * 12 + t.a % 100) - (codmes // 100 * 12 + codmes % 100) between 0 and 11 {skipped})"""
+
+
+def _several(spark, sf, months, without=()):
+    panel = A.window_panel(spark, sf, months[0])
+    for m in months[1:]:
+        panel = panel.unionByName(A.window_panel(spark, sf, m))
+    return panel.where(~F.col("codmes").isin(*without)) if without else panel
+
+
+@query("win_trailing_several_months", _spread_sql(_several_sql((200012, 200011, 200004))))
+def win_trailing_several_months(spark, sf):
+    return trailing_matrix(_several(spark, sf, (200012, 200011, 200004)), SPREAD, None, KEYS1)
+
+
+@query("win_trailing_gaps", _spread_sql(_several_sql((200004,), (199908, 200001, 200003))))
+def win_trailing_gaps(spark, sf):
+    return trailing_matrix(_several(spark, sf, (200004,), (199908, 200001, 200003)), SPREAD, 200004, KEYS1)
+
+
+@query("agg_frequency_april", S.library("count(*) filter (where ctd_tot > 0) as months_active", 200004).replace("group by all", "group by 1, 2, 3"))
+def agg_frequency_april(spark, sf):
+    window = A.window_panel(spark, sf, 200004)
+    return window.groupBy("codmesanalisis", "codunicocli", "codinternocomputacional").agg(
+        F.count_if(F.col("ctd_tot") > 0).alias("months_active")
+    )
+
+
+# Sources and sinks: written through the session's catalog, read back
+
+
+def _fresh(spark, name: str) -> str:
+    """A table of this name that does not exist; each call starts anew."""
+    table = f"conformance_{name}"
+    sinks.drop_stage(spark, table)
+    return table
+
+
+def _small_panel(spark, sf, first: int = 200010, last: int = 200012):
+    panel = A.orders_panel(spark, sf, months=(first, last))
+    return read_months(panel, first, last, ["codmes", "codunicocli", "mto_tot", "ctd_tot"])
+
+
+STORED = ["codmes", "codunicocli", "mto_tot", "ctd_tot"]
+
+
+def _stored_sql(where: str, value: str = "mto_tot") -> str:
+    return f"with {S.panel()} select codmes, codunicocli, {value} as mto_tot, ctd_tot from panel where {where}"
+
+
+@query("snk_write_matrix", _stored_sql("codmes between 200010 and 200012"))
+def snk_write_matrix(spark, sf):
+    table = _fresh(spark, "write")
+    sinks.write_matrix(sinks.repartition_for_write(_small_panel(spark, sf), single_partition=False), table)
+    return spark.table(table).select(*STORED)
+
+
+@query("snk_rerun_month", _stored_sql("codmes between 200010 and 200012", "case when codmes = 200011 then -mto_tot else mto_tot end"))
+def snk_rerun_month(spark, sf):
+    table = _fresh(spark, "rerun")
+    sinks.write_matrix(_small_panel(spark, sf), table)
+    again = _small_panel(spark, sf, 200011, 200011).withColumn("mto_tot", -F.col("mto_tot"))
+    sinks.write_matrix(again, table)
+    return spark.table(table).select(*STORED)
+
+
+@query("snk_listed_months", _stored_sql("codmes in (200010, 200011)", "case when codmes = 200011 then mto_tot + 1 else mto_tot end"))
+def snk_listed_months(spark, sf):
+    """Two listed months: one gets new rows, the other has none any more and is cleared."""
+    table = _fresh(spark, "listed")
+    sinks.write_matrix(_small_panel(spark, sf), table)
+    again = _small_panel(spark, sf, 200011, 200011).withColumn("mto_tot", F.col("mto_tot") + 1)
+    sinks.write_matrix(again, table, months=[200011, 200012])
+    return spark.table(table).select(*STORED)
+
+
+@query("snk_stage", _stored_sql("codmes between 200010 and 200012"))
+def snk_stage(spark, sf):
+    """A stage table, dropped again after its rows were staged once more, and materialised at the end."""
+    first = sinks.stage_table(_small_panel(spark, sf), _fresh(spark, "stage_a"))
+    second = sinks.stage_table(first, _fresh(spark, "stage_b"), None)
+    sinks.drop_stage(spark, "conformance_stage_a")
+    return sinks.materialise(second).select(*STORED)
+
+
+@query("src_catalog", _stored_sql("codmes between 200010 and 200012 and ctd_tot > 1"))
+def src_catalog(spark, sf):
+    sinks.write_matrix(_small_panel(spark, sf), _fresh(spark, "catalog"))
+    namespace = Namespace(spark.catalog.currentDatabase())
+    return read_table(spark, namespace, "conformance_catalog").where("ctd_tot > 1").select(*STORED)
+
+
+@query("src_partition", _stored_sql("codmes = 200011"))
+def src_partition(spark, sf):
+    table = _fresh(spark, "partition")
+    sinks.write_matrix(_small_panel(spark, sf), table)
+    path = spark.sql(f"describe formatted {table}").where("col_name = 'Location'").first()["data_type"]
+    return read_partition(spark, path, 200011).select(*STORED)
+
+
+@query(
+    "prj_feature_columns",
+    f"with {S.panel()} select codmes, codunicocli, mto_tot * 2 as doubled, ctd_tot + 1 as one_more from panel",
+)
+def prj_feature_columns(spark, sf):
+    before = A.orders_panel(spark, sf)
+    after = before.withColumns({"doubled": F.col("mto_tot") * 2, "one_more": F.col("ctd_tot") + 1})
+    return after.select(*C.feature_columns(before.columns, after.columns, ["codmes", "codunicocli"]))
+
+
+@query(
+    "prj_classify",
+    f"""with {S.panel()} select 'MTO' as class, count(mto_p1) as n, sum(mto_p1) as total from panel union all
+select 'TKT', count(tkt_p1), sum(tkt_p1) from panel union all select 'CTD', count(ctd_p1), sum(ctd_p1) from panel union all
+select 'FLG', count(c_flg_p1), sum(c_flg_p1) from panel""",
+)
+def prj_classify(spark, sf):
+    panel = A.orders_panel(spark, sf)
+    found = [m for m in C.classify(panel.columns, "_p1")]
+    cells = F.array(*(F.struct(F.lit(m.cls).alias("class"), F.col(m.name).cast("double").alias("v")) for m in found))
+    rows = panel.select(F.inline(cells))
+    return rows.groupBy("class").agg(F.count("v").alias("n"), F.sum("v").alias("total"))
+
+
+@query(
+    "per_month_list",
+    f"""with {S.ORDERS}, span as (select min(codmes) as a, max(codmes) as b from orders_m),
+m as (select unnest(range(a // 100 * 12 + a % 100 - 1, b // 100 * 12 + b % 100)) as i from span),
+l as (select i // 12 * 100 + i % 12 + 1 as codmes from m)
+select cast(l.codmes as int) as codmes, count(o_orderkey) as n_orders from l left join orders_m using (codmes) group by 1""",
+)
+def per_month_list(spark, sf):
+    first, last = read_run_params(A.run_params(spark, sf))
+    months = spark.createDataFrame([(int(m),) for m in P.month_list(first, last)], "codmes int")
+    return months.join(A.monthly_orders(spark, sf), "codmes", "left").groupBy("codmes").agg(F.count("o_orderkey").alias("n_orders"))

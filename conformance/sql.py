@@ -51,11 +51,11 @@ def window(month: int = MONTH) -> str:
     return f"""{panel()},
 w as (select {month} as codmesanalisis, panel.*,
         ({y} * 12 + {m}) - (codmes // 100 * 12 + codmes % 100) + 1 as ord
-  from panel where codmes between {month - 11} and {month})"""
+  from panel where ({y} * 12 + {m}) - (codmes // 100 * 12 + codmes % 100) between 0 and 11)"""
 
 
-def library(select: str) -> str:
-    return f"with {window()} select codmesanalisis, codunicocli, codinternocomputacional, {select} from w group by all"
+def library(select: str, month: int = MONTH) -> str:
+    return f"with {window(month)} select codmesanalisis, codunicocli, codinternocomputacional, {select} from w group by all"
 
 
 def within(n: int, lo: int = 1) -> str:
@@ -159,7 +159,9 @@ def measure_names(channel: str) -> dict[str, list[str]]:
     return out
 
 
-def matrix(channel: str, months: tuple[int, ...] = (MONTH,), keep=lambda measure: True) -> str:
+def matrix(
+    channel: str, months: tuple[int, ...] = (MONTH,), keep=lambda measure: True, without: tuple[int, ...] = ()
+) -> str:
     """Whole matrix by row windows over the dense customer x month grid; ``keep`` selects measures."""
     source = pos_source() if channel == "pos" else can_source(
         *(("AGT", AGENT_MONETARY) if channel == "agent" else ("ATM", ATM_MONETARY))
@@ -219,8 +221,12 @@ def matrix(channel: str, months: tuple[int, ...] = (MONTH,), keep=lambda measure
     party = "trim(cic)" if channel == "pos" else "cic"
     filled = ", ".join(f"coalesce(cons.{m}, 0) as {m}" for m in measures)
     final = [f.rsplit(" as ", 1)[0] + " as " + f.rsplit(" as ", 1)[1].lower() for f in final]
+    rows = "panel"
+    if without:
+        source += f", kept_months as (select * from panel where codmes not in {tuple(without)})"
+        rows = "kept_months"
     return f"""with {source},
-{consolidated("panel", measures, trim, months)},
+{consolidated(rows, measures, trim, months)},
 customers as (select distinct am, cuc, cic from cons where cuc is not null and cic is not null),
 present as (select distinct am, codmes from cons),
 dense as (select c.am, c.cuc, c.cic, p.codmes, {filled}
@@ -229,5 +235,6 @@ dense as (select c.am, c.cuc, c.cic, p.codmes, {filled}
 rolled as (select am, cuc, cic, codmes, {", ".join(raw)} from dense),
 activity as (select am, cuc, cic, {activity} from cons group by am, cuc, cic)
 select rolled.cuc as codunicocli, rolled.cuc as codclaveunicocli, {party.replace("cic", "rolled.cic")} as codinternocomputacional,
-       rolled.am as codmesanalisis, {", ".join(final)}, rolled.am as codmes
+       rolled.am as codmesanalisis, {", ".join(final)}, date '2001-01-05' as fecrutina,
+       timestamp '2001-01-05 10:20:30' as fecactualizacionregistro, rolled.am as codmes
 from rolled join activity using (am, cuc, cic) where rolled.codmes = rolled.am"""

@@ -105,8 +105,11 @@ def process_month_cutoff_col(day: Column, cutoff_day: int) -> Column:
 def analysis_windows_df(
     df: DataFrame, start: str, end: str, back: int = 11, month: str = "codmes", first: str = "first_month"
 ) -> DataFrame:
-    """One row per analysis month of each (start, end) row."""
-    index = F.explode(F.sequence(month_index_col(F.col(start)), month_index_col(F.col(end)))).alias("_i")
+    """One row per analysis month of each (start, end) row; a start after the end is an error."""
+    first_index, last_index = month_index_col(F.col(start)), month_index_col(F.col(end))
+    ordered = F.when(first_index <= last_index, F.sequence(first_index, last_index))
+    reversed_range = F.raise_error(F.lit("the first month is after the last month")).cast("array<int>")
+    index = F.explode(F.when(first_index > last_index, reversed_range).otherwise(ordered)).alias("_i")
     return df.select(index).select(
         month_from_index_col(F.col("_i")).alias(month),
         month_from_index_col(F.col("_i") - back).alias(first),

@@ -17,6 +17,9 @@ Rows are streamed customer by customer, the plan has one expression tree per mea
 per feature, and nothing is pivoted. ``trailing_by_window`` is the direct form (grid and windows), kept
 as the slow reference for tests.
 
+A customer with two rows in one month is an error, raised by the aggregate that builds the slots. Rows outside the
+window are ignored, so a customer seen only there gets no row.
+
 Known differences from a text-concatenating implementation: a frame without any present month makes
 only its own feature NULL, and NULL customer keys are kept unless dropped beforehand.
 """
@@ -25,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -155,8 +159,15 @@ def month_slots(
     rows = panel.select(*keys, ordinal.alias("_ordinal"), F.expr(f"array({values})").alias("_values"))
     # The explicit exchange comes first so that the aggregate, which cannot shrink one-row-per-month
     # input, runs once after it instead of also sorting before it.
-    slotted = rows.repartition(partitions, *keys).groupBy(*keys).agg(
-        *(F.expr(f"any_value(_values) filter (where _ordinal = {o})").alias(f"s{r}") for r, o in enumerate(ordinals))
+    inside = rows.where(F.col("_ordinal").isin([int(o) for o in ordinals]))
+
+    def slot(o: int) -> Column:
+        found = f"any_value(_values) filter (where _ordinal = {o})"
+        message = f"a customer has several rows in month {o} of its window"
+        return F.expr(f"if(count_if(_ordinal = {o}) > 1, cast(raise_error('{message}') as array<double>), {found})")
+
+    slotted = inside.repartition(partitions, *keys).groupBy(*keys).agg(
+        *(slot(o).alias(f"s{r}") for r, o in enumerate(ordinals))
     )
     zeros = f"array_repeat(0D, {len(measures)})"
     return slotted.select(*keys, *(F.expr(f"coalesce(s{r}, {zeros})").alias(f"s{r}") for r in range(len(ordinals))))
@@ -190,18 +201,40 @@ def trailing_matrix(
     present: Sequence[int] | None = None,
     partitions: int | None = None,
 ) -> DataFrame:
-    """Trailing features of one analysis month; one row per customer of the panel.
+    """Trailing features, one row per analysis month and customer of its window.
 
-    ``panel`` has one row per key and month. ``month`` defaults to the only analysis month of the data.
+    ``panel`` has one row per key and month, repeated rows raise. With ``month`` only the rows of that analysis
+    month are used; otherwise every analysis month of the data is computed, those with the same present months in
+    one plan.
     """
     for s in specs:
         if s.fn not in FUNCTIONS:
             raise ValueError(f"unknown aggregate {s.fn!r}")
-    if month is None:
-        month = panel.select(analysis).first()[0]
     if present is None and periods == "present":
         present = distinct_periods(panel, period)
-    ordinals = present_ordinals(present or (), month, periods)
+    if month is not None:
+        months = [int(month)]
+        if analysis in panel.columns:
+            panel = panel.where(F.col(analysis) == int(month))
+    else:
+        months = distinct_periods(panel, analysis)
+        if not months:
+            raise ValueError("the panel has no analysis month")
+    by_pattern: dict[tuple[int, ...], list[int]] = {}
+    for m in months:
+        by_pattern.setdefault(present_ordinals(present or (), m, periods), []).append(m)
+    parts = []
+    for ordinals, group in by_pattern.items():
+        rows = panel if len(months) == 1 else panel.where(F.col(analysis).isin(group))
+        parts.append(_one_pattern(rows, specs, group, keys, period, analysis, ordinals, partitions))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _one_pattern(
+    panel: DataFrame, specs: Sequence[FeatureSpec], months: Sequence[int], keys: Sequence[str], period: str,
+    analysis: str, ordinals: Sequence[int], partitions: int | None,
+) -> DataFrame:
+    """Features of analysis months whose windows hold the same present months."""
     templates: dict[str, list[FeatureSpec]] = {}
     for s in specs:
         templates.setdefault(s.measure, []).append(s)
@@ -219,11 +252,14 @@ def trailing_matrix(
         for m in measures:
             renames.update({s.name: f"{m}_f{i}" for i, s in enumerate(templates[m])})
     ordered = [m for g in groups for m in g.measures]
-    # the analysis month is one constant: grouping by it would only widen the exchange
+    # a single analysis month is a constant: grouping by it would only widen the exchange
+    single = months[0] if len(months) == 1 else None
     ids = [k for k in keys if k != analysis]
-    slots = month_slots(panel, ordered, ids, ordinals, F.lit(int(month)), period, partitions)
-    packed, paths = expand_groups(slots, groups, ids, len(ordinals))
-    out_keys = [f"{int(month)} as {analysis}" if k == analysis else k for k in keys]
+    by = ids if single is not None else [analysis, *ids]
+    month = F.lit(single) if single is not None else F.col(analysis)
+    slots = month_slots(panel, ordered, by, ordinals, month, period, partitions)
+    packed, paths = expand_groups(slots, groups, by, len(ordinals))
+    out_keys = [f"{single} as {analysis}" if k == analysis and single is not None else k for k in keys]
     return packed.selectExpr(*out_keys, *(f"{paths[renames[s.name]]} as `{s.name}`" for s in specs))
 
 

@@ -176,16 +176,19 @@ def build_features(
     duplicates: str = "raise",
     broadcast_rows: int | None = None,
     partitions: int | None = None,
+    present: Sequence[int] | None = None,
 ) -> DataFrame:
     """Keys and feature columns for the given analysis months, one row per customer and month.
 
     Customers without an identity in the snapshot (NULL ids) are left out unless ``drop_null_keys`` is
-    off. The months that count as present are those of the concept table, before that filter.
+    off. The months that count as present are those of the concept table, before that filter; a run over many
+    months hands them down as ``present``.
     """
     keys = channel.keys
     codes = sorted({int(m) for m in months}, reverse=True)
     window = read_months(concept, shift_month(codes[-1], -LOOK_BACK), codes[0], None, keys.period)
-    present = distinct_periods(window, keys.period) if periods == "present" else ()
+    if present is None:
+        present = distinct_periods(window, keys.period) if periods == "present" else ()
     by_pattern: dict[tuple[int, ...], list[int]] = {}
     for m in codes:
         by_pattern.setdefault(present_ordinals(present, m, periods), []).append(m)

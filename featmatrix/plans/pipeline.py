@@ -9,11 +9,12 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession
 
 from featmatrix.config import KEYS, Channel, Measure, Namespace
-from featmatrix.functions.periods import month_list, process_month_end
+from featmatrix.functions.periods import month_list, process_month_end, shift_month
 from featmatrix.operators.columns import classify
-from featmatrix.plans.matrix import build_matrix
+from featmatrix.operators.densify import distinct_periods
+from featmatrix.plans.matrix import LOOK_BACK, build_matrix
 from featmatrix.sources.sinks import repartition_for_write, write_matrix
-from featmatrix.sources.tables import measures_for, read_run_params, read_table
+from featmatrix.sources.tables import measures_for, read_months, read_run_params, read_table
 
 # Session options a run relies on; months are overwritten one partition at a time.
 SESSION_OPTIONS = {
@@ -41,6 +42,9 @@ class RunConfig:
     ts: datetime | None = None
     periods: str = "present"
     registered_layout: bool = False
+    partitions: int | None = None  # tasks of the expansion; the session's shuffle partitions by default
+    duplicates: str = "raise"
+    drop_null_keys: bool = True
 
     @property
     def target(self) -> str:
@@ -64,6 +68,9 @@ def with_registered_measures(spark: SparkSession, cfg: RunConfig) -> RunConfig:
     names = measures_for(groups, cfg.channel.concept_group, cfg.concept_table)
     if cfg.registered_layout:
         measures: tuple[Measure, ...] = classify(names, cfg.channel.prefix)
+        unknown = sorted(set(names) - {m.name for m in measures})
+        if unknown:
+            raise ValueError(f"registered measures without a known class or prefix: {', '.join(unknown)}")
         return replace(cfg, channel=replace(cfg.channel, measures=measures))
     missing = sorted({m.name.upper() for m in cfg.channel.measures} - set(names))
     if missing:
@@ -79,7 +86,19 @@ def months_to_run(spark: SparkSession, cfg: RunConfig) -> list[str]:
     return month_list(start, end)
 
 
-def matrix_for(spark: SparkSession, cfg: RunConfig, months: Sequence[int | str]) -> DataFrame:
+def present_months(spark: SparkSession, cfg: RunConfig, months: Sequence[int | str]) -> list[int] | None:
+    """Months with rows in the windows of the analysis months, read once for a whole run."""
+    if cfg.periods != "present":
+        return None
+    concept = read_table(spark, cfg.namespace, cfg.concept_table)
+    codes = sorted(int(m) for m in months)
+    period = cfg.channel.keys.period
+    return distinct_periods(read_months(concept, shift_month(codes[0], -LOOK_BACK), codes[-1], [period], period), period)
+
+
+def matrix_for(
+    spark: SparkSession, cfg: RunConfig, months: Sequence[int | str], present: Sequence[int] | None = None
+) -> DataFrame:
     return build_matrix(
         read_table(spark, cfg.namespace, cfg.concept_table),
         read_table(spark, cfg.namespace, cfg.identity_table),
@@ -88,12 +107,16 @@ def matrix_for(spark: SparkSession, cfg: RunConfig, months: Sequence[int | str])
         cfg.run_date,
         cfg.ts,
         periods=cfg.periods,
+        present=present,
+        partitions=cfg.partitions,
+        duplicates=cfg.duplicates,
+        drop_null_keys=cfg.drop_null_keys,
     )
 
 
-def run_month(spark: SparkSession, cfg: RunConfig, month: int | str) -> None:
+def run_month(spark: SparkSession, cfg: RunConfig, month: int | str, present: Sequence[int] | None = None) -> None:
     """Compute one analysis month and overwrite its partition."""
-    matrix = repartition_for_write(matrix_for(spark, cfg, [month]), KEYS.period)
+    matrix = repartition_for_write(matrix_for(spark, cfg, [month], present), KEYS.period)
     write_matrix(matrix, cfg.target, KEYS.period, [month])
 
 
@@ -106,10 +129,11 @@ def run_backfill(spark: SparkSession, cfg: RunConfig, one_job: bool = False) ->
     configure_session(spark)
     cfg = with_registered_measures(spark, cfg)
     months = months_to_run(spark, cfg)
+    present = present_months(spark, cfg, months)
     if one_job:
         # no exchange by month before the write: the matrix is many times wider than its input
-        write_matrix(matrix_for(spark, cfg, months), cfg.target, KEYS.period, months)
+        write_matrix(matrix_for(spark, cfg, months, present), cfg.target, KEYS.period, months)
     else:
         for month in months:
-            run_month(spark, cfg, month)
+            run_month(spark, cfg, month, present)
     return months

@@ -6,7 +6,7 @@ from collections.abc import Iterable, Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from featmatrix.config import KEYS
@@ -43,18 +43,32 @@ def write_matrix(
     df: DataFrame, table: str, partition: str = KEYS.period, months: Iterable[int | str] | None = None,
     fmt: str = "parquet",
 ) -> None:
-    """Overwrite only the month partitions present in ``df`` (and, if given, listed in ``months``)."""
+    """Overwrite only the month partitions present in ``df``.
+
+    With ``months``, exactly the listed months are replaced: a row of any other month is an error and nothing is
+    written, and a listed month without rows is cleared. The rows are counted while they are written.
+    """
     spark = df.sparkSession
-    if months is not None:
-        df = df.where(F.col(partition).isin([int(m) for m in months]))
     columns = [c for c in df.columns if c.lower() != partition.lower()] + [partition]
     df = df.select(*columns)
+    listed = [] if months is None else sorted({int(m) for m in months})
+    written = Observation() if listed else None
+    if months is not None:
+        month = F.col(partition)
+        message = F.concat(F.lit("a row of a month that is not listed: "), F.coalesce(month.cast("string"), F.lit("null")))
+        df = df.where(F.coalesce(month.isin(listed), F.lit(False)) | F.raise_error(message).cast("boolean"))
+    if written is not None:
+        df = df.observe(written, *(F.count_if(F.col(partition) == m).alias(f"m{m}") for m in listed))
     if spark.catalog.tableExists(table):
         known = [c.lower() for c in spark.table(table).columns]
         if known != [c.lower() for c in columns]:
             raise ValueError(f"columns of {table} differ from the columns to write")
         with _dynamic_overwrite(spark):
             df.write.insertInto(table, overwrite=True)
+        if written is not None:
+            for m in listed:
+                if not written.get.get(f"m{m}"):
+                    spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({partition} = {m})")
     else:
         df.write.format(fmt).option("compression", "snappy").partitionBy(partition).saveAsTable(table)
 

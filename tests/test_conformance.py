@@ -28,4 +28,10 @@ def test_oracles_belong_to_queries():
 
 def test_entry(spark):
     df = contract.entry(spark)
-    assert len(df.columns) == 1783 - 3 and df.count() > 0
+    assert len(df.columns) == 1783 and df.count() > 0
+
+
+def test_scans_are_pruned_by_date(spark, plan_of):
+    for name in ("src_months_scan", "agg_frequency", "pip_agent"):
+        plan = plan_of(contract.queries()[name](spark, SF_DIR))
+        assert "GreaterThanOrEqual(o_orderdate" in plan and "LessThan(o_orderdate" in plan, name

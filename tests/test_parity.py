@@ -58,6 +58,48 @@ def test_missing_against_value_is_a_difference(spark):
     assert cells(P.cell_diff(one, two, KEYS, eps=10.0)) == {("x", "v"): None}
 
 
+def test_null_keys_are_compared(spark):
+    one = spark.createDataFrame([(1, None, 1.0)], "m int, k string, v double")
+    two = spark.createDataFrame([(1, None, 99.0)], "m int, k string, v double")
+    assert cells(P.cell_diff(one, two, KEYS)) == {(None, "v"): 98.0}
+
+
+def test_names_match_without_case(spark):
+    one = spark.createDataFrame([(1, "x", 1.0)], "m int, k string, V double")
+    two = spark.createDataFrame([(1, "x", 2.0)], "m int, k string, v double")
+    assert cells(P.cell_diff(one, two, KEYS)) == {("x", "V"): 1.0}
+
+
+def test_large_integers_and_decimals_are_compared_as_they_are(spark):
+    one = spark.sql("select 1 m, 'x' k, 9007199254740993L v, cast('12345678901234567890.01' as decimal(30,2)) d")
+    two = spark.sql("select 1 m, 'x' k, 9007199254740992L v, cast('12345678901234567890.02' as decimal(30,2)) d")
+    assert cells(P.cell_diff(one, two, KEYS)) == {("x", "v"): 1.0, ("x", "d"): 0.01}
+    assert cells(P.cell_diff(one, two, KEYS, eps=2.0)) == {}
+
+
+def test_repeated_keys_raise(spark):
+    one = spark.createDataFrame([(1, "x", 1.0), (1, "x", 2.0)], "m int, k string, v double")
+    with pytest.raises(Exception, match="more than once"):
+        P.cell_diff(one, one, KEYS).collect()
+
+
+def test_hashes_keep_values_and_nulls_apart(spark):
+    df = spark.createDataFrame(
+        [(1, "a", "p|q", "r"), (2, "b", "p", "q|r"), (3, "c", None, "5"), (4, "d", "5", None), (5, "e", "n", "5")],
+        "m int, k string, s string, t string",
+    )
+    assert len({r.row_hash for r in P.row_hash(df, keys=KEYS).collect()}) == 5
+    one, two = (df.where(f"m = {i}").select("s", "t") for i in (3, 4))
+    assert P.table_hash(one).first() != P.table_hash(two).first()
+
+
+def test_sample_reports_keys_of_either_side(spark):
+    one = spark.createDataFrame([(1, "x", 1.0), (1, None, 1.0)], "m int, k string, v double")
+    two = spark.createDataFrame([(1, "y", 1.0), (1, None, 3.0)], "m int, k string, v double")
+    got = {(r.k, r.column_name, r.value_a, r.value_b) for r in P.sample_diff(one, two, KEYS, 10).collect()}
+    assert got == {("x", "(row)", "present", None), ("y", "(row)", None, "present"), (None, "v", "1.0", "3.0")}
+
+
 def test_summary_and_top(spark):
     rows = [("c", float(i), f"k{i:03d}") for i in range(300)] + [("d", 1.0, "k1")]
     df = spark.createDataFrame(rows, "column_name string, abs_diff double, k string")

@@ -72,3 +72,13 @@ def test_audit_columns(spark):
 def test_run_timestamp_has_no_zone_and_whole_seconds():
     ts = P.run_timestamp()
     assert ts.tzinfo is None and ts.microsecond == 0
+
+
+def test_reversed_windows_raise_for_columns_too(spark):
+    import pytest
+
+    from featmatrix.functions.periods import analysis_windows_df
+
+    df = spark.createDataFrame([(202403, 202401)], "a int, b int")
+    with pytest.raises(Exception, match="after the last month"):
+        analysis_windows_df(df, "a", "b").collect()

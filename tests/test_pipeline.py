@@ -110,3 +110,18 @@ def test_only_needed_partitions_and_columns_are_read(database, cfg, plan_of):
     plan = plan_of(matrix_for(database, cfg, [202404]), "formatted")
     assert "PartitionFilters: [isnotnull(codmes" in plan and "(codmes#" in plan and "<= 202404" in plan
     assert "PushedFilters" in plan
+
+
+def test_run_options_reach_the_plan(database, cfg, plan_of):
+    from featmatrix.plans.pipeline import matrix_for
+
+    plan = plan_of(matrix_for(database, replace(cfg, partitions=7), [202404]), "simple")
+    assert ", 7), REPARTITION_BY_NUM" in plan
+
+
+def test_unknown_registered_measures_raise(database, cfg):
+    database.createDataFrame(
+        [("P2", "concept", n) for n in ("X_MTO_T", "X_WEIGHT")], "nomgrupo string, nomtablaconcepto string, nomconcepto string"
+    ).write.mode("overwrite").saveAsTable("src.odd_groups")
+    with pytest.raises(ValueError, match="X_WEIGHT"):
+        with_registered_measures(database, replace(cfg, groups_table="odd_groups", registered_layout=True))

@@ -65,10 +65,13 @@ def test_write_overwrites_only_touched_months(spark, panel):
     sinks.write_matrix(panel.where("codmes = 202403").withColumn("v", F.lit(-1.0)), "sink_a")
     got = {r.codmes: r.s for r in spark.table("sink_a").groupBy("codmes").agg(F.sum("v").alias("s")).collect()}
     assert got[202403] == -5.0 and got[202402] == 20.0 and len(got) == 12
-    # rows of months that are not listed are left out
-    sinks.write_matrix(panel.withColumn("v", F.lit(0.0)), "sink_a", months=["202401"])
+    with pytest.raises(Exception, match="not listed"):
+        sinks.write_matrix(panel.withColumn("v", F.lit(0.0)), "sink_a", months=["202401"])
+    sinks.write_matrix(panel.where("codmes = 202401").withColumn("v", F.lit(0.0)), "sink_a", months=["202401", 202405])
     got = {r.codmes: r.s for r in spark.table("sink_a").groupBy("codmes").agg(F.sum("v").alias("s")).collect()}
-    assert got[202401] == 0.0 and got[202402] == 20.0
+    assert got[202401] == 0.0 and got[202402] == 20.0 and 202405 not in got and len(got) == 11
+    sinks.write_matrix(panel.limit(0), "sink_a", months=[202402])
+    assert spark.table("sink_a").where("codmes = 202402").count() == 0
     with pytest.raises(ValueError, match="differ"):
         sinks.write_matrix(panel.withColumnRenamed("v", "w"), "sink_a")
 

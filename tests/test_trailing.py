@@ -75,6 +75,37 @@ def test_empty_frame_is_null_and_alone(spark):
     assert row.a_PRM_P6M is None and row.a_U1M == 12.0
 
 
+def test_repeated_months_raise(spark):
+    panel = spark.createDataFrame(
+        [(202412, "x", 202412, 10.0), (202412, "x", 202412, 30.0)],
+        "codmesanalisis int, codunicocli string, codmes int, a double",
+    )
+    with pytest.raises(Exception, match="several rows"):
+        trailing_matrix(panel, expand_specs(["a"], ("max",), (0,), (0,)), 202412, KEYS).collect()
+
+
+def test_several_analysis_months(spark):
+    panel = spark.createDataFrame(
+        [(202411, "x", 202411, 10.0), (202412, "y", 202412, 30.0), (202412, "z", 202412, 1.0), (202412, "z", 202411, 5.0)],
+        "codmesanalisis int, codunicocli string, codmes int, a double",
+    )
+    specs = expand_specs(["a"], ("max",), (-1,), (0,))
+    name = specs[0].name
+    got = {(r.codmesanalisis, r.codunicocli): r[name] for r in trailing_matrix(panel, specs, None, KEYS).collect()}
+    assert got == {(202411, "x"): 10.0, (202412, "y"): 30.0, (202412, "z"): 5.0}
+    one = trailing_matrix(panel, specs, 202411, KEYS).collect()
+    assert [(r.codmesanalisis, r.codunicocli) for r in one] == [(202411, "x")]
+
+
+def test_customers_outside_the_window_get_no_row(spark):
+    panel = spark.createDataFrame(
+        [(202412, "x", 202412, 10.0), (202412, "old", 202301, 30.0)],
+        "codmesanalisis int, codunicocli string, codmes int, a double",
+    )
+    got = trailing_matrix(panel, expand_specs(["a"], ("max",), (0,), (0,)), 202412, KEYS).collect()
+    assert [r.codunicocli for r in got] == ["x"]
+
+
 def test_present_ordinals():
     assert present_ordinals([202412, 202410, 202311, 202501], 202412) == (1, 3)
     assert present_ordinals([], 202412, "calendar") == tuple(range(1, 13))
