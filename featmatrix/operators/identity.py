@@ -62,12 +62,17 @@ def _unique_party(snap: DataFrame, by: Sequence[str], party: str) -> DataFrame:
 def identity_lookup(
     identity: DataFrame, trim: str, by: Sequence[str] = (), duplicates: str = "raise", keys: KeyColumns = KEYS
 ) -> DataFrame:
-    """One table that answers both lookups: ``lookup``, ``new_client``, ``new_party``."""
+    """One table that answers both lookups: ``lookup``, ``new_client``, ``new_party``.
+
+    With ``by`` (the analysis month) the answers of all months of a key are one row: ``lookup`` and an array
+    ``answers`` of (month, new_client, new_party), so that a panel row is looked up once for all its months.
+    """
     at_join, at_group = _trims(trim)
     padded = F.rpad(F.lit(ANONYMOUS_ID), PARTY_WIDTH, " ")
     base = base_client(identity, by, keys).where(_not_unknown(F.col(keys.client)))
     by_client = base.select(
-        _tagged(_BY_CLIENT, by, F.col(keys.client)).alias("lookup"),
+        *by,
+        _tagged(_BY_CLIENT, (), F.col(keys.client)).alias("lookup"),
         F.lit(None).cast("string").alias("new_client"),
         F.coalesce(at_group(F.col("party_last")), padded).alias("new_party"),
     )
@@ -80,16 +85,20 @@ def identity_lookup(
     elif duplicates != "multiply":
         raise ValueError(f"duplicates must be raise or multiply, not {duplicates!r}")
     client_key = F.when(_not_unknown(F.col(keys.client)), _tagged(_BY_CLIENT, by, F.col(keys.client)))
-    # the same key as in by_client, so that both read one exchange
     base_keyed = base.select(_tagged(_BY_CLIENT, by, F.col(keys.client)).alias("base_key"), "party_last")
     by_party = lookup_join(snap, base_keyed, client_key, "base_key").select(
-        _tagged(_BY_PARTY, by, F.col(keys.party)).alias("lookup"),
+        *by,
+        _tagged(_BY_PARTY, (), F.col(keys.party)).alias("lookup"),
         at_group(F.col(keys.client)).alias("new_client"),
         F.when(_not_unknown(F.col(keys.client)), F.coalesce(at_group(F.col("party_last")), padded))
         .otherwise(at_group(F.col(keys.concept)))
         .alias("new_party"),
     )
-    return by_party.unionByName(by_client)
+    both = by_party.unionByName(by_client)
+    if not by:
+        return both
+    answer = F.struct(F.col(by[0]).alias("month"), "new_client", "new_party")
+    return both.groupBy("lookup").agg(F.collect_list(answer).alias("answers"))  # one per month
 
 
 def resolve_identity(
@@ -100,18 +109,23 @@ def resolve_identity(
     duplicates: str = "raise",
     broadcast_rows: int | None = None,
     keys: KeyColumns = KEYS,
+    months: Column | None = None,
 ) -> DataFrame:
     """Panel with client and party replaced by the ones valid in the snapshot.
 
-    ``by`` names columns (the analysis month) shared by panel and identity when several snapshots are
-    resolved together. ``duplicates='multiply'`` repeats a panel row per match instead of failing.
+    ``by`` names the analysis month of the identity table when several snapshots are resolved together;
+    ``months`` then gives the analysis months of a panel row as an array. The panel is joined as it is and copied
+    to its months after the join, so its rows are shuffled once and not once per month.
+    ``duplicates='multiply'`` repeats a panel row per match instead of failing.
     """
+    if bool(by) != (months is not None):
+        raise ValueError("give months together with by")
     at_join, at_group = _trims(trim)
     padded = F.rpad(F.lit(ANONYMOUS_ID), PARTY_WIDTH, " ")
     client, party = F.col(keys.client), at_join(F.col(keys.party))
     known = F.trim(party) != ANONYMOUS_ID
     named = _not_unknown(client)
-    lookup = F.when(known, _tagged(_BY_PARTY, by, party)).when(named, _tagged(_BY_CLIENT, by, client))
+    lookup = F.when(known, _tagged(_BY_PARTY, (), party)).when(named, _tagged(_BY_CLIENT, (), client))
     table = broadcast_if_small(identity_lookup(identity, trim, by, duplicates, keys), broadcast_rows)
     new_client = F.when(known, F.col("new_client")).otherwise(at_group(client))
     new_party = (
@@ -120,7 +134,12 @@ def resolve_identity(
         .otherwise(at_group(party))
     )
     rest = F.expr(f"* except ({keys.client}, {keys.party}, new_client, new_party)")
-    return lookup_join(panel, table, lookup, "lookup").select(
+    found = lookup_join(panel, table, lookup, "lookup")
+    if by:
+        own = F.filter("answers", lambda a: a["month"] == F.col(by[0]))
+        copied = found.withColumn(by[0], F.explode(months)).withColumn("_answer", F.explode_outer(own))
+        found = copied.select("*", "_answer.new_client", "_answer.new_party").drop("answers", "_answer")
+    return found.select(
         rest, new_client.alias(keys.client), new_party.alias(keys.party)
     )
 

@@ -107,9 +107,10 @@ def consolidated_panel(
 ) -> DataFrame:
     """Window rows of every analysis month, re-keyed and summed per customer and month.
 
-    Several analysis months are handled in one job: a row is copied to each (at most twelve) analysis
-    months whose window holds it, with an explode and no range join, and the analysis month becomes part
-    of every key. For a single month there is no such column.
+    Several analysis months are handled in one job: a row is looked up once, then copied to each (at most
+    twelve) analysis months whose window holds it, with an explode and no range join, right below the map-side
+    part of the consolidation. The analysis month becomes part of every key; for a single month there is no such
+    column.
     """
     keys = channel.keys
     codes = sorted(int(m) for m in months)
@@ -121,12 +122,13 @@ def consolidated_panel(
         F.col(keys.period).cast("int").alias(keys.analysis), keys.client, keys.party, keys.concept
     )
     by = [] if len(codes) == 1 else [keys.analysis]
+    months_of_row = None
     if by:
         index = month_index_col(F.col(keys.period))
         targets = F.array(*(F.lit(m) for m in codes))
         inside = lambda m: (month_index_col(m) - index).between(0, LOOK_BACK)
-        panel = panel.withColumn(keys.analysis, F.explode(F.filter(targets, inside)))
-    resolved = resolve_identity(panel, snapshots, channel.trim, by, duplicates, broadcast_rows, keys)
+        months_of_row = F.filter(targets, inside)
+    resolved = resolve_identity(panel, snapshots, channel.trim, by, duplicates, broadcast_rows, keys, months_of_row)
     return consolidate(resolved, measures, (*by, keys.period, *keys.ids))
 
 
