@@ -93,4 +93,43 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_skip_chain_pii": op10_skip_chain_pii,
 }
 
-ORACLES: dict[str, str] = {"op8_line_runs": LINE_ORACLE}
+VECTORS_SQL = """
+with recursive good as (
+  select vec_id, label, list_transform(embedding, lambda x: x::double) as v from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and list_sum(list_transform(embedding, lambda x: x * x)) > 0),
+links as (
+  select a.vec_id as a, b.vec_id as b from good a join good b on a.label = b.label and len(a.v) = len(b.v) and a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.v, b.v) >= 0.93),
+reach(vec_id, other) as (
+  select vec_id, vec_id from good union select r.vec_id, l.b from reach r join links l on r.other = l.a),
+smallest as (select vec_id, min(other) as component_id from reach group by 1),
+degree as (select a as vec_id, count(*) as n_links from links group by 1)
+select e.vec_id, coalesce(n_links, 0)::bigint as n_links, coalesce(component_id, e.vec_id) as component_id,
+  coalesce(e.vec_id = coalesce(component_id, e.vec_id), true) as kept
+from embeddings e left join smallest using (vec_id) left join degree using (vec_id)
+"""
+
+SHINGLES_SQL = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') as w from documents),
+sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s from words),
+sized as (select doc_id, len(s)::bigint as n, s from sets),
+each as (select doc_id, n, unnest(s) as x from sized),
+links as (
+  select a.doc_id as a, b.doc_id as b from each a join each b on a.x = b.x and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach(doc_id, other) as (
+  select doc_id, doc_id from sized union select r.doc_id, l.b from reach r join links l on r.other = l.a),
+smallest as (select doc_id, min(other) as component_id from reach group by 1)
+select doc_id, n as n_shingles, component_id, doc_id = component_id as kept from sized join smallest using (doc_id)
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_sorted_projections": VECTORS_SQL,
+    "op5_odd_sketches": SHINGLES_SQL,
+    "op8_line_runs": LINE_ORACLE,
+}
