@@ -13,7 +13,7 @@ The most frequent `vocabulary` words (a fixed bound) and the weights (`buckets`
 All other words are known there by their ending only; their counts come from a join, because the logarithm of the
 within-class probability simply adds up. So no table that grows with the corpus is ever held in one place.
 
-Null text counts as empty: only the end token. Ties in frequency go to the smaller word. Without any training text
+Null text counts as empty: only the end token. Words of equal frequency are all taken or none. Without any training text
 all counts are 0. Repeated rows are separate documents for training; rows that repeat a doc_id are scored each by
 itself. An empty table gives an empty table; further columns are ignored.
 """
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from featmatrix.llm.common import durable, map_rows
 
 #: The end of a text; no word holds a line feed.
-END = "\n"
+END = b"\n"
 
 
 @dataclass(frozen=True)
@@ -50,29 +50,28 @@ class Settings:
     blocks: int = 32
 
 
-def tokens_of(text: str | None) -> list[str]:
-    """Words with A-Z lower-cased, then the end."""
-    words = (text or "").encode("utf-8").lower().split()
-    return [*b" ".join(words).decode("utf-8").split(" "), END] if words else [END]
+def tokens_of(text: str | None) -> list[bytes]:
+    """Words (UTF-8) with A-Z lower-cased, then the end. Bytes are split at blanks and tab to carriage return only."""
+    return [*(text or "").encode("utf-8").lower().split(), END]
 
 
 class Vocabulary(dict):
     """Ids of words: frequent ones have their own, all others that of their ending."""
 
-    def __init__(self, words: list[str], endings: list[bytes], classes: np.ndarray | None = None):
+    def __init__(self, words: list[bytes], endings: list[bytes], classes: np.ndarray | None = None):
         super().__init__((w, i + 1) for i, w in enumerate(words))
         self[END] = 0
         self.first_rare = len(words) + 1
         self.endings = {e: i + 1 for i, e in enumerate(endings)}  # 0: any other ending
-        own = [0] + [self.endings.get(w.encode("utf-8")[-2:], 0) + 1 for w in words]
+        own = [0] + [self.endings.get(w[-2:], 0) + 1 for w in words]
         #: ending + 1 of every id; 0 is the end of a text
         self.ending = np.array(own + list(range(1, len(endings) + 2)), np.int64)
         self.classes = None if classes is None else classes[self.ending]
 
-    def __missing__(self, word: str) -> int:
-        return self.first_rare + self.endings.get(word.encode("utf-8")[-2:], 0)
+    def __missing__(self, word: bytes) -> int:
+        return self.first_rare + self.endings.get(word[-2:], 0)
 
-    def encode(self, tokens: list[str]) -> np.ndarray:
+    def encode(self, tokens: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
 
 
@@ -80,7 +79,7 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     """(token, n) over all texts; tasks combine before the shuffle."""
 
     def rows_of(rows: Iterator[tuple]) -> Iterator[tuple]:
-        counts: Counter[str] = Counter()
+        counts: Counter[bytes] = Counter()
         for (text,) in rows:
             counts.update(tokens_of(text))
             if len(counts) > 400_000:
@@ -88,7 +87,7 @@ def count_tokens(docs: DataFrame) -> DataFrame:
                 counts.clear()
         yield from counts.items()
 
-    parts = map_rows(docs, ["text"], "token string, n long", rows_of, batch=20_000)
+    parts = map_rows(docs, ["text"], "token binary, n long", rows_of, batch=20_000)
     return parts.groupBy("token").agg(F.sum("n").alias("n"))
 
 
@@ -235,6 +234,26 @@ def _train_round(docs: DataFrame, vocabulary: Broadcast, weights: Broadcast, con
     return (total[:, :-1] / np.maximum(total[:, -1:], 1)).reshape(shape)
 
 
+def _frequent(words: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """The most frequent words with their counts, at most `most`.
+
+    Counts fall into bands of a twentieth of an octave; the bands that together hold no more words are taken whole,
+    so no task hands on more than belongs to the answer.
+    """
+    band = F.floor(F.log2("n") * 20)
+    bands = sorted((r["band"], r["count"]) for r in words.groupBy(band.alias("band")).count().collect())  # 1300 at most
+    total, least = 0, None
+    for value, count in reversed(bands):
+        total += count
+        if total > most:
+            break
+        least = value
+    if least is None:
+        return []
+    found = words.where(band >= least).collect()
+    return sorted(((bytes(r["token"]), int(r["n"])) for r in found), key=lambda x: (-x[1], x[0]))
+
+
 @dataclass(frozen=True)
 class Model:
     vocabulary: Broadcast
@@ -253,13 +272,13 @@ def fit(training: DataFrame, conf: Settings = Settings()) -> Model:
     counts = durable(count_tokens(texts))
     total = counts.agg(F.sum("n"), F.count("*")).first()
     tokens, distinct = int(total[0] or 0), int(total[1] or 0)
-    words_only = counts.where(F.col("token") != END)
-    top = words_only.orderBy(F.desc("n"), "token").limit(conf.vocabulary).collect()  # a fixed bound
-    ending = F.substring(F.col("token").cast("binary"), -2, 2)
+    words_only = counts.where(F.col("token") != F.lit(END))
+    top = _frequent(words_only, conf.vocabulary)
+    ending = F.substring(F.col("token"), -2, 2)
     sizes = words_only.groupBy(ending.alias("ending")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
     by_size = sorted(((bytes(r["ending"]), int(r["n"]), int(r["v"])) for r in sizes), key=lambda x: (-x[1], x[0]))
     endings = [e for e, _, _ in by_size[: conf.endings]]
-    words = [r["token"] for r in top]
+    words = [w for w, _ in top]
     plain = spark.sparkContext.broadcast(Vocabulary(words, endings))
     few = _few_tasks(texts, tokens, conf)
     n = len(endings) + 2
@@ -279,7 +298,7 @@ def fit(training: DataFrame, conf: Settings = Settings()) -> Model:
         held = spark.sparkContext.broadcast(weights)
         weights = weights + _train_round(part, vocabulary, held, conf)
         held.unpersist()
-    found = np.log10(np.array([ends] + [r["n"] for r in top], float) + 0.5)
+    found = np.log10(np.array([ends] + [n for _, n in top], float) + 0.5)
     return Model(
         vocabulary, spark.sparkContext.broadcast(weights.astype(np.float32)), counts, spark.sparkContext.broadcast(found),
         tokens, distinct, np.log10(mass + 0.5 * (kinds + 1)),
@@ -293,6 +312,7 @@ def score(docs: DataFrame, model: Model, conf: Settings = Settings()) -> DataFra
     sums per row follow from one aggregation.
     """
     vocabulary, weights, top, class_logs = model.vocabulary, model.weights, model.top, model.class_logs
+    trained = model.tokens > 0
 
     def rows_of(rows: Iterator[tuple]) -> Iterator[tuple]:
         from pyspark import TaskContext
@@ -313,8 +333,9 @@ def score(docs: DataFrame, model: Model, conf: Settings = Settings()) -> DataFra
                     p = _chances(table, _rows(part, conf.buckets))
                     k = words.classes[part[2:]]
                     chance[at + 2 : at + len(part)] = np.log10(p[np.arange(len(k)), k] + 1e-30) - class_logs[k]
-            known = np.where(ids < words.first_rare, 1, 0)
-            base = np.where(known == 1, logs[np.minimum(ids, words.first_rare - 1)], 0.0)
+            frequent = ids < words.first_rare
+            known = frequent & trained  # without training text not even the end is known
+            base = np.where(frequent, logs[np.minimum(ids, words.first_rare - 1)], 0.0)
             for (number, doc_id, own), start in zip(held, starts.tolist()):
                 span = slice(start + 2, start + 2 + len(own))
                 sums = float(base[span].sum())
@@ -336,7 +357,7 @@ def score(docs: DataFrame, model: Model, conf: Settings = Settings()) -> DataFra
         if held:
             yield from done()
 
-    schema = "row long, doc_id long, token string, times long, n long, known long, base double, model double"
+    schema = "row long, doc_id long, token binary, times long, n long, known long, base double, model double"
     parts = durable(map_rows(docs, ["doc_id", "text"], schema, rows_of, batch=20_000))
     rare = (
         parts.where("token is not null").select("row", "doc_id", "token", "times")
