@@ -2,8 +2,9 @@
 
 A document's set holds its distinct five-word shingles (64-bit hashes). Minima under 128 hash functions make 32 bands
 of four for the candidate search, and are folded into an odd sketch: each minimum flips one of 512 bits, so the XOR of
-two sketches counts the minima that differ, and its population count estimates high similarities well. Documents with
-equal sets are one class before the search.
+two sketches counts the minima that differ, and its population count estimates high similarities well. A second parity
+bitmap, of 2048 bits, folds the whole set: its XOR never has more ones than the sets have differing shingles, so it
+rules out pairs for certain. Documents with equal sets are one class before the search.
 
 1. In each band bucket every class is paired with the bucket's smallest; of these pairs each class keeps the one
    with the best sketch estimate. Full sets confirm or refute it. Confirmed pairs are united.
@@ -11,8 +12,8 @@ equal sets are one class before the search.
    chunk is compared with chunk by sketches, and pairs across components that the sketch lets through are confirmed
    on full sets. So no link is lost, though no bucket is expanded where one component already holds it.
 
-A pair at the threshold shares a band with a chance of 0.999995, and the sketch filter leaves four standard
-deviations of room.
+A pair is looked at only in its first common bucket. A pair at the threshold shares a band with a chance of 0.999995,
+and the estimate from the first sketch leaves four standard deviations of room.
 
 Null and blank texts have an empty set, link with nothing and are kept. Rows that repeat a doc_id with one text get
 one answer each. Ties go to the smaller doc_id. An empty table gives an empty table; further columns are ignored.
@@ -40,6 +41,7 @@ class Sketching:
     bands: int = 32
     rows: int = 4
     sketch_bits: int = 512
+    parity_bits: int = 2048
     margin: float = 0.17
     chunk: int = 256
     seed: int = 5
@@ -49,7 +51,7 @@ class _Words(dict):
     """Hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -84,6 +86,12 @@ def odd_sketch(mins: np.ndarray, bits: int) -> bytes:
     return np.packbits((np.bincount(spots.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
+def parity(values: np.ndarray, bits: int) -> bytes:
+    """Parity bitmap of a whole set of hashes."""
+    spots = (values >> np.uint64(20)) % np.uint64(bits)
+    return np.packbits((np.bincount(spots.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
 def estimate(differing_bits: np.ndarray, samples: int, bits: int) -> np.ndarray:
     """Similarity from the population count of the XOR of two odd sketches."""
     share = np.minimum(2 * differing_bits / bits, 1 - 1e-9)
@@ -91,7 +99,7 @@ def estimate(differing_bits: np.ndarray, samples: int, bits: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, conf: Sketching) -> DataFrame:
-    """(doc_id, n_shingles, set_hash, bands, sketch)."""
+    """(doc_id, n_shingles, set_hash, bands, sketch); the sketch holds the odd sketch, then the set's parity bitmap."""
     draw = np.random.default_rng(conf.seed)
     count = conf.bands * conf.rows
     multipliers = draw.integers(0, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -111,7 +119,7 @@ def signatures(docs: DataFrame, conf: Sketching) -> DataFrame:
                 key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + grid[:, i])
             yield (
                 doc_id, len(values), xxhash.xxh3_128_digest(values.tobytes()), key.view(np.int64),
-                odd_sketch(mins, conf.sketch_bits),
+                odd_sketch(mins, conf.sketch_bits) + parity(values, conf.parity_bits),
             )
 
     schema = "doc_id long, n_shingles long, set_hash binary, bands array<long>, sketch binary"
@@ -143,49 +151,58 @@ def _confirm(pairs: DataFrame, sets: DataFrame, conf: Sketching) -> DataFrame:
     return joined.mapInPandas(run, "a long, b long")
 
 
+def _likely(one: np.ndarray, two: np.ndarray, n_one: np.ndarray, n_two: np.ndarray, conf: Sketching) -> tuple[np.ndarray, np.ndarray]:
+    """(similarity estimates, whether the pair can reach the similarity); sketches as rows of 64-bit words."""
+    words = conf.sketch_bits // 64
+    differ = np.bitwise_count(one ^ two)
+    similar = estimate(differ[:, :words].sum(1, dtype=np.int64), conf.bands * conf.rows, conf.sketch_bits)
+    least_apart = differ[:, words:].sum(1, dtype=np.int64)  # shingles that differ, at least
+    possible = (100 + conf.percent) * least_apart <= (100 - conf.percent) * (n_one + n_two)
+    sizes = 100 * np.minimum(n_one, n_two) >= conf.percent * np.maximum(n_one, n_two)
+    return similar, sizes & possible & (similar >= conf.percent / 100 - conf.margin)
+
+
 def _sketch_filter(pairs: DataFrame, conf: Sketching) -> DataFrame:
     """Add the sketch estimate of (a, b, sketch_a, sketch_b, n_a, n_b) and drop what cannot reach the similarity."""
-    samples, bits, least = conf.bands * conf.rows, conf.sketch_bits, conf.percent / 100 - conf.margin
-    sized = pairs.where(100 * F.least("n_a", "n_b") >= conf.percent * F.greatest("n_a", "n_b"))
 
     @F.pandas_udf("double")
-    def similarity(one: pd.Series, two: pd.Series) -> pd.Series:
+    def similarity(one: pd.Series, two: pd.Series, n_one: pd.Series, n_two: pd.Series) -> pd.Series:
         if not len(one):
             return pd.Series([], dtype=float)
-        x = np.frombuffer(b"".join(one), np.uint8).reshape(len(one), -1)
-        y = np.frombuffer(b"".join(two), np.uint8).reshape(len(two), -1)
-        return pd.Series(estimate(np.bitwise_count(x ^ y).sum(1, dtype=np.int64), samples, bits))
+        x = np.frombuffer(b"".join(one), np.uint64).reshape(len(one), -1)
+        y = np.frombuffer(b"".join(two), np.uint64).reshape(len(two), -1)
+        similar, good = _likely(x, y, n_one.to_numpy(), n_two.to_numpy(), conf)
+        return pd.Series(np.where(good, similar, -9.0))
 
-    return sized.withColumn("similar", similarity("sketch_a", "sketch_b")).where(F.col("similar") >= least)
+    return pairs.withColumn("similar", similarity("sketch_a", "sketch_b", "n_a", "n_b")).where("similar > -9")
 
 
 def _pairs_across(members: DataFrame, conf: Sketching) -> DataFrame:
     """Pairs of different components in one bucket that the sketch lets through, chunk against chunk."""
-    samples, bits, least = conf.bands * conf.rows, conf.sketch_bits, conf.percent / 100 - conf.margin
-    percent = conf.percent
     chunks = F.ceil(F.col("n") / conf.chunk).cast("int")
     cells = (
         members.withColumn("own", F.pmod(F.xxhash64("rep"), chunks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
         .select(
             "bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own",
-            "rep", "component", "n_shingles", "sketch",
+            "rep", "component", "n_shingles", "sketch", "bands",
         )
     )
 
     def compare(frame: pd.DataFrame) -> Iterator[tuple]:
-        low, high = frame["low"].iloc[0], frame["high"].iloc[0]
+        bucket, low, high = frame["bucket"].iloc[0], frame["low"].iloc[0], frame["high"].iloc[0]
         own, rep, comp = frame["own"].to_numpy(), frame["rep"].to_numpy(), frame["component"].to_numpy()
         size = frame["n_shingles"].to_numpy()
         words = np.frombuffer(b"".join(frame["sketch"]), np.uint64).reshape(len(frame), -1)
+        bands = np.stack(frame["bands"].to_list())
         two = np.flatnonzero(own == high)
         for i in np.flatnonzero(own == low):
             against = two if low != high else two[two > i]
             against = against[comp[against] != comp[i]]
-            against = against[100 * np.minimum(size[against], size[i]) >= percent * np.maximum(size[against], size[i])]
             if len(against):
-                differ = np.bitwise_count(words[against] ^ words[i]).sum(1, dtype=np.int64)
-                for j in against[estimate(differ, samples, bits) >= least]:
+                against = against[_likely(words[against], words[i][None], size[against], size[i], conf)[1]]
+                first = np.argmax(bands[against] == bands[i], axis=1)  # their first common bucket
+                for j in against[bands[i][first] == bucket]:
                     yield max(rep[i], rep[j]), min(rep[i], rep[j])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -249,7 +266,7 @@ def near_duplicates(docs: DataFrame, conf: Sketching = Sketching()) -> DataFrame
 
     placed = shared.join(state, "rep")
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    members = placed.join(mixed.select("bucket"), "bucket").join(traits, "rep")
+    members = placed.join(mixed.select("bucket"), "bucket").join(classes, "rep")
     more = _pairs_across(members, conf).join(best, ["a", "b"], "left_anti")
     second = _confirm(more, sets, conf)
     final = _components(durable(first.unionByName(second)), classes)
