@@ -239,7 +239,6 @@ def near_duplicates(docs: DataFrame, conf: Sketching = Sketching()) -> DataFrame
     signed = durable(signatures(docs, conf))
     real = signed.where("n_shingles > 0 and doc_id is not null")
     reps = real.groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
-    named = real.select("doc_id", "set_hash").join(reps, "set_hash").select("doc_id", "rep")
     classes = durable(
         real.join(reps.select(F.col("rep").alias("doc_id")), "doc_id")
         .dropDuplicates(["doc_id"])
@@ -271,11 +270,12 @@ def near_duplicates(docs: DataFrame, conf: Sketching = Sketching()) -> DataFrame
     second = _confirm(more, sets, conf)
     final = _components(durable(first.unionByName(second)), classes)
 
-    answer = named.distinct().join(final, "rep").select("doc_id", F.col("component").alias("component_id"))
+    # by set, so that a large group of copies meets its answer in a join that can be split
+    answer = reps.join(final, "rep").select("set_hash", "component")
     return (
-        signed.select("doc_id", "n_shingles")
-        .join(answer, "doc_id", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        signed.select("doc_id", "n_shingles", "set_hash")
+        .join(answer, "set_hash", "left")
+        .select("doc_id", "n_shingles", F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component")), "doc_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 
