@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from featmatrix.llm.common import durable
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -91,7 +93,7 @@ def _blocks(docs: DataFrame, min_words: int) -> DataFrame:
 
 def later_copies(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """(doc_id, runs): the line ranges of each document that repeat an earlier run, as maximal ranges."""
-    blocks = _blocks(docs, min_words)
+    blocks = durable(_blocks(docs, min_words))  # used twice; far smaller than the texts
     here = F.struct("doc_id", "first")
     firsts = blocks.groupBy("name").agg(F.min(here).alias("origin"), F.count("*").alias("n")).where("n > 1").drop("n")
     hits = blocks.join(firsts, "name").where(here > F.col("origin")).select("doc_id", "first", "last").distinct()
