@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from featmatrix.llm.common import durable, mix64
+from featmatrix.llm.common import durable, mix64, small_batches
 
 BASE = 0x9E3779B97F4A7C15
 
@@ -235,11 +235,19 @@ def _packed(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"row": np.arange(row, row + len(raw)), "doc_id": frame["doc_id"], "packed": raw})
             row += len(raw)
 
-    return durable(docs.select("doc_id", "text").mapInPandas(run, "row long, doc_id long, packed binary"))
+    return durable(small_batches(docs).select("doc_id", "text").mapInPandas(run, "row long, doc_id long, packed binary"))
+
+
+def _by_run(packed: DataFrame) -> DataFrame:
+    """The packed rows with their run; both uses of it share one exchange by run."""
+    return packed.select(F.shiftright("row", 33).cast("int").alias("run"), "row", "doc_id", "packed")
 
 
 def _count_anchors(packed: DataFrame, conf: Repeats) -> DataFrame:
-    """(run, anchor, times, low, high): one row per run and anchor, with the range of its items' short hashes."""
+    """(run, anchor, seen): one row per run and anchor; `seen` packs its times and the range of its items' 8-bit hashes.
+
+    The hashes only tell an anchor with many different items from one that is copied as a whole.
+    """
 
     def counted(number: int, parts: list[np.ndarray]) -> Iterator[pd.DataFrame]:
         anchor, item = np.concatenate(parts, axis=1)
@@ -252,7 +260,7 @@ def _count_anchors(packed: DataFrame, conf: Repeats) -> DataFrame:
         low, high = np.minimum.reduceat(item, starts), np.maximum.reduceat(item, starts)
         for at in range(0, len(starts), 100_000):
             part = slice(at, at + 100_000)
-            yield pd.DataFrame({"run": number, "anchor": anchor[starts[part]], "times": times[part], "low": low[part], "high": high[part]})
+            yield pd.DataFrame({"run": number, "anchor": anchor[starts[part]], "seen": (times[part] << 16) + (low[part] << 8) + high[part]})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpress, number, parts = zstandard.ZstdDecompressor(), None, []
@@ -263,11 +271,11 @@ def _count_anchors(packed: DataFrame, conf: Repeats) -> DataFrame:
                     parts = []
                 number = row >> 33
                 anchor, _, _, _, item = anchors(unpress.decompress(blob), conf)
-                parts.append(np.stack([anchor, item & np.uint64(0xFFFFFFFF)]))
+                parts.append(np.stack([anchor, item & np.uint64(0xFF)]))
         if parts:
             yield from counted(number, parts)
 
-    return packed.select("row", "packed").mapInPandas(run, "run int, anchor long, times long, low long, high long")
+    return packed.select("row", "packed").mapInPandas(run, "run int, anchor long, seen long")
 
 
 def _pack(kind: bytes, entries: list[tuple[bytes, bytes, int, int, int, int]]) -> bytes:
@@ -308,10 +316,6 @@ def _make_runs(packed: DataFrame, wanted: DataFrame, ranges: int, conf: Repeats)
     run are known to repeat; they go along as plain ranges (kind `r`).
     """
 
-    # no nulls in the numbers: pandas would turn them into floats
-    texts = packed.select(F.shiftright("row", 33).cast("int").alias("run"), "row", "packed", F.lit(0).cast("long").alias("anchor"), F.lit(False).alias("hot"))
-    both = wanted.select("run", F.lit(-1).cast("long").alias("row"), F.lit(b"").alias("packed"), "anchor", "hot").unionByName(texts)
-
     def sort_run(number: int, wanted_anchors: np.ndarray, hot_anchors: np.ndarray, texts: list[tuple]) -> Iterator[tuple]:
         unpress = zstandard.ZstdDecompressor()
         grouped: dict[tuple, list] = {}
@@ -353,32 +357,14 @@ def _make_runs(packed: DataFrame, wanted: DataFrame, ranges: int, conf: Repeats)
             part = np.array(repeated[at : at + 100_000], "<i8").tobytes()
             yield (number + at) % ranges, "r", zstandard.ZstdCompressor(level=3).compress(part)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, names, hot, texts_here = None, [], [], []
+    def run(key: tuple, flags: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
+        names = flags["anchor"].to_numpy(dtype=np.int64)
+        hot = names[flags["hot"].to_numpy(dtype=bool)]
+        rows = sort_run(int(key[0]), names, hot, list(zip(texts["row"].tolist(), texts["packed"])))
+        return pd.DataFrame(rows, columns=["range", "kind", "blob"])
 
-        def done() -> pd.DataFrame:
-            empty = np.zeros(0, np.int64)
-            rows = sort_run(current, np.concatenate(names or [empty]), np.concatenate(hot or [empty]), texts_here)
-            return pd.DataFrame(rows, columns=["range", "kind", "blob"])
-
-        for frame in frames:
-            for number, part in frame.groupby("run", sort=True):
-                if current is not None and number != current:
-                    yield done()
-                    names, hot, texts_here = [], [], []
-                current = int(number)
-                text = part["row"] >= 0
-                flags = part[~text]
-                if len(flags):
-                    found = flags["anchor"].to_numpy(dtype=np.int64)
-                    names.append(found)
-                    hot.append(found[flags["hot"].to_numpy(dtype=bool)])
-                texts_here += zip(part.loc[text, "row"].tolist(), part.loc[text, "packed"].tolist())
-        if current is not None:
-            yield done()
-
-    dealt = both.repartition("run").sortWithinPartitions("run")
-    return dealt.mapInPandas(run, "range long, kind string, blob binary")
+    met = wanted.groupBy("run").cogroup(_by_run(packed).groupBy("run"))
+    return met.applyInPandas(run, "range long, kind string, blob binary")
 
 
 def _merge_ranges(runs: DataFrame, conf: Repeats) -> DataFrame:
@@ -467,11 +453,12 @@ def _merge_ranges(runs: DataFrame, conf: Repeats) -> DataFrame:
 def repeated_windows(packed: DataFrame, conf: Repeats = Repeats()) -> DataFrame:
     """(row, first, last): ranges of start positions whose string of `length` bytes starts elsewhere too."""
     over = Window.partitionBy("anchor")  # a row per run at most
+    times, low, high = F.shiftright("seen", 16), F.col("seen").bitwiseAND(0xFF00), F.col("seen").bitwiseAND(0xFF)
     wanted = durable(
         _count_anchors(packed, conf)
-        .withColumns({"all": F.sum("times").over(over), "lo": F.min("low").over(over), "hi": F.max("high").over(over)})
+        .withColumns({"all": F.sum(times).over(over), "lo": F.min(low).over(over), "hi": F.max(high).over(over)})
         .where(F.col("all") > 1)
-        .select("run", "anchor", ((F.col("all") >= conf.hot) & (F.col("lo") < F.col("hi"))).alias("hot"), "times")
+        .select("run", "anchor", ((F.col("all") >= conf.hot) & (F.shiftright("lo", 8) < F.col("hi"))).alias("hot"), times.alias("times"))
     )
     items = wanted.agg(F.sum("times")).first()[0] or 0
     least = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -500,18 +487,21 @@ def cut(raw: bytes, spans: list[tuple[int, int]], length: int) -> tuple[bytes, i
 def remove_repeats(docs: DataFrame, conf: Repeats = Repeats()) -> DataFrame:
     """(doc_id, kept, n_bytes, n_removed, n_spans): the bytes that stay of every document."""
     packed = _packed(docs)
-    spans = repeated_windows(packed, conf).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans"))
-    joined = packed.join(spans, "row", "left").select("doc_id", "packed", "spans")
+    spans = repeated_windows(packed, conf).select(F.shiftright("row", 33).cast("int").alias("run"), "row", "first", "last")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         unpress = zstandard.ZstdDecompressor()
-        for frame in frames:
-            rows = []
-            for doc_id, blob, found in zip(frame["doc_id"], frame["packed"], frame["spans"]):
-                raw = unpress.decompress(blob)
-                ranges = [] if found is None else [(s["first"], s["last"]) for s in found]
-                kept, removed, runs = cut(raw, ranges, conf.length)
-                rows.append((doc_id, kept, len(raw), removed, runs))
-            yield pd.DataFrame(rows, columns=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
-
-    return joined.mapInPandas(run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+        found = found.sort_values(["row", "first", "last"])
+        owners = found["row"].to_numpy()
+        starts = np.searchsorted(owners, texts["row"].to_numpy(), side="left").tolist()
+        ends = np.searchsorted(owners, texts["row"].to_numpy(), side="right").tolist()
+        first, last = found["first"].tolist(), found["last"].tolist()
+        rows = []
+        for doc_id, blob, a, b in zip(texts["doc_id"], texts["packed"], starts, ends):
+            raw = unpress.decompress(blob)
+            kept, removed, runs = cut(raw, list(zip(first[a:b], last[a:b])), conf.length)
+            rows.append((doc_id, kept, len(raw), removed, runs))
+        return pd.DataFrame(rows, columns=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
+
+    met = _by_run(packed).groupBy("run").cogroup(spans.groupBy("run"))
+    return met.applyInPandas(run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
