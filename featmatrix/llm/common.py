@@ -13,9 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 #: Words of a text: maximal runs of anything but blank and the control characters tab to carriage return.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
-#: Lower-cases A-Z only.
-ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
-
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -38,6 +35,15 @@ _ARROW = {
 }
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Let Python workers get at most 1000 rows at a time, as texts are long; sets the session's Arrow option."""
+    option = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if int(conf.get(option)) > 1000:
+        conf.set(option, "1000")
+    return df
+
+
 def map_rows(
     df: DataFrame, columns: list[str], schema: str, rows_of: Callable[[Iterator[tuple]], Iterator[tuple]], batch: int = 2048
 ) -> DataFrame:
@@ -66,7 +72,7 @@ def map_rows(
         if held:
             yield record(held)
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return small_batches(df).select(*columns).mapInArrow(run, schema)
 
 
 def crc_mod(column: str, divisor: int):

@@ -53,7 +53,7 @@ class WordBpe:
     words are encoded together by the library. Any other text is encoded by the library as a whole.
     """
 
-    CACHE = 700_000
+    CACHE = 120_000
     SPECIAL = re.compile(r"[^\t\n\r\x20-\x7e\xa1-įĲ-ſ]|<\|")
     PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -68,6 +68,10 @@ class WordBpe:
         self.pieces: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.pieces.clear()
+
     def _learn(self, words: list[str]) -> None:
         """Words between blanks are split into pieces; new pieces are encoded in one call and cut at word ends."""
         split = [self.PIECES.findall(word) for word in words]
@@ -197,6 +201,7 @@ def pack_examples(docs: DataFrame, path: str, end_id: int, limits: Limits = Limi
                 pool = [pool[i] for i in sorted(back)]
         if pool:
             yield from emit(pool, pack(pool))
+        tokenizer.forget()  # the worker lives on and shares its executor's memory with later stages
 
     return map_rows(docs, ["doc_id", "text"], SCHEMA, rows_of, batch=4096)
 
