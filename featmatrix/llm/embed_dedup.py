@@ -2,9 +2,14 @@
 
 Each pass hashes a vector by the signs of random projections, concatenates the bits, and orders the vectors of a
 label lexicographically by them; every vector is compared with its next `window` neighbours in that order. Verified
-pairs of all passes are united to components. Equal vectors are one class with a weight before the passes, and inside
-a component, whose members are all near each other, links are counted block against block, so a dense group that
-overflows the window still gets exact counts. No pair of a group is ever a row.
+pairs of all passes are united to components. The passes are only the cheap start: afterwards the classes of every
+label that outgrows a window are compared block against block, and a pair of two components that reaches the
+threshold joins them, so no link is missed whatever the size of a label. Equal vectors are one class with a weight
+before the passes, and inside a component links are counted block against block, so a dense group that overflows the
+window still gets exact counts. No pair of a group is ever a row.
+
+The blocks of a label are salted by hash; its vectors are copied once per block, at most `spread` times until a block
+holds `most` vectors. Products are taken in single precision, and those within its error bound again in double.
 
 Vectors link only within one label and one number of dimensions. A vector that is null or zero or holds a null or
 non-finite component, and a row with a null label or vec_id, links with nothing: no links, its own component, kept.
@@ -35,6 +40,9 @@ class Passes:
     window: int = 32
     block: int = 1024
     chunk: int = 256
+    side: int = 1024
+    spread: int = 16
+    most: int = 65_536
     seed: int = 17
 
 
@@ -139,6 +147,55 @@ def _window_edges(ranked: DataFrame, conf: Passes) -> DataFrame:
     return spread.select("block", *columns).groupBy("block").applyInPandas(numbered, "a long, b long").distinct()
 
 
+def _cross_edges(placed: DataFrame, conf: Passes) -> DataFrame:
+    """Pairs (a, b) of components to be joined: of each two blocks of a label, a spanning forest of what the passes missed.
+
+    A label that fits into one window has been compared in full by every pass.
+    """
+    counts = placed.groupBy("label", "size").agg(F.count("*").alias("n")).where(F.col("n") > conf.window + 1)
+    few = F.least(F.ceil(F.col("n") / conf.side), F.lit(conf.spread))
+    salts = F.greatest(few, F.ceil(F.col("n") / conf.most)).cast("int")
+    cells = (
+        placed.join(counts, ["label", "size"])
+        .withColumn("salts", salts)
+        .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        .withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+    )
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        x, own = _unit(frame["embedding"]), frame["own"].to_numpy()
+        names, of = np.unique(frame["component"].to_numpy(), return_inverse=True)
+        low, high = int(frame["low"].iloc[0]), int(frame["high"].iloc[0])
+        one, two = np.flatnonzero(own == low), np.flatnonzero(own == high)
+        single = x.astype(np.float32)
+        least = conf.threshold - 1.2e-7 * (x.shape[1] + 4)  # the error of a product of unit vectors in single precision
+        root = np.arange(len(names))
+        edges = []
+        for at in range(0, len(one), 512):
+            for to in range(0, len(two), 4096):
+                if low == high and to + 4096 <= at:
+                    continue
+                part, rest = one[at : at + 512], two[to : to + 4096]
+                left, right = np.nonzero(single[part] @ single[rest].T >= least)
+                for cut in range(0, len(left), 65_536):
+                    i, j = part[left[cut : cut + 65_536]], rest[right[cut : cut + 65_536]]
+                    apart = root[of[i]] != root[of[j]]
+                    i, j = i[apart], j[apart]
+                    near = np.einsum("ij,ij->i", x[i], x[j]) >= conf.threshold
+                    for a, b in _forest(root[of[i[near]]], root[of[j[near]]], len(root)):
+                        edges.append((names[a], names[b]))
+                        a, b = root[a], root[b]
+                        root[root == max(a, b)] = min(a, b)
+        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
+
+    return (
+        cells.select("label", "size", "low", "high", "own", "component", "embedding")
+        .groupBy("label", "size", "low", "high")
+        .applyInPandas(compare, "a long, b long")
+    )
+
+
 def _count_links(members: DataFrame, conf: Passes) -> DataFrame:
     """(rep, links): the weight of the other classes of the component at or above the threshold.
 
@@ -191,15 +248,16 @@ def near_duplicate_vectors(vectors: DataFrame, conf: Passes = Passes()) -> DataF
         .select("rep", "label", F.size("embedding").alias("size"), "weight", "embedding")
     )
     edges = durable(_window_edges(_ranked(_keys(classes.drop("weight"), conf)), conf))
-    found = connected_components(edges)
-    sizes = found.groupBy("component").agg(F.count("*").alias("n"))
-    members = classes.join(found.withColumnRenamed("node", "rep"), "rep").join(sizes, "component")
-    links = _count_links(members, conf)
+    found = connected_components(edges).withColumnRenamed("node", "rep")
+    first = durable(classes.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
+    joined = connected_components(_cross_edges(first, conf)).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    placed = durable(first.join(joined, "component", "left").withColumn("component", F.coalesce("whole", "component")).drop("whole"))
+    sizes = placed.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
+    links = _count_links(placed.join(sizes, "component"), conf)
     answer = (
-        classes.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-        .join(links, "rep", "left")
+        placed.join(links, "rep", "left")
         .select(
-            "label", "embedding", F.coalesce("component", "rep").alias("component_id"),
+            "label", "embedding", F.col("component").alias("component_id"),
             (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
         )
     )

@@ -74,6 +74,24 @@ def test_vectors_against_all_pairs(spark):
     assert near_duplicate_vectors(table.limit(0)).count() == 0
 
 
+def test_links_that_every_window_misses_are_found(spark):
+    """Isolated pairs just above the threshold; one pass with one neighbour finds few of them."""
+    rnd = np.random.default_rng(8)
+    base = rnd.standard_normal((400, 16))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    aside = rnd.standard_normal(base.shape)
+    aside -= (aside * base).sum(1, keepdims=True) * base
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    both = np.concatenate([base, 0.94 * base + np.sqrt(1 - 0.94**2) * aside]).astype(np.float32)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(both)]
+    links, component = brute_vectors(rows)
+    assert len(links) >= 400
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r for r in near_duplicate_vectors(table, Passes(passes=1, window=1, side=150)).collect()}
+    assert sum(r.n_links for r in got.values()) == 2 * len(links)
+    assert {i: r.component_id for i, r in got.items()} == component
+
+
 def shingles(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
