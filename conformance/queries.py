@@ -867,64 +867,83 @@ def _fresh(spark, name: str) -> str:
     return table
 
 
-def _small_panel(spark, sf, first: int = 200010, last: int = 200012):
-    panel = A.orders_panel(spark, sf, months=(first, last))
-    return read_months(panel, first, last, ["codmes", "codunicocli", "mto_tot", "ctd_tot"])
+STORED = ["codmes", "codunicocli", "mto_tot", "ctd_tot"]
 
 
-STORED = ["codmes", "codunicocli", "mto_tot", "ctd_tot"]
+def _stored_panel(spark, sf, month: int | None = None):
+    """All months of the panel, or one to run again."""
+    if month is None:
+        return A.orders_panel(spark, sf).select(*STORED)
+    return read_months(A.orders_panel(spark, sf, months=(month, month)), month, month, STORED)
 
 
 def _stored_sql(where: str, value: str = "mto_tot") -> str:
     return f"with {S.panel()} select codmes, codunicocli, {value} as mto_tot, ctd_tot from panel where {where}"
 
 
-@query("snk_write_matrix", _stored_sql("codmes between 200010 and 200012"))
+def stored_query(name: str, whole: str, part: str, value: str = "mto_tot"):
+    """Two queries of one function, which stores the whole panel: all its rows read back, and those of a few months."""
+
+    def register(fn: Query) -> Query:
+        @query(f"{name}_all_months", _stored_sql(whole, value))
+        def everything(spark, sf):
+            return fn(spark, sf).select(*STORED)
+
+        @query(name, _stored_sql(part, value))
+        def some(spark, sf):
+            return everything(spark, sf).where(part)
+
+        return fn
+
+    return register
+
+
+@stored_query("snk_write_matrix", "true", "codmes between 200010 and 200012")
 def snk_write_matrix(spark, sf):
     table = _fresh(spark, "write")
-    sinks.write_matrix(sinks.repartition_for_write(_small_panel(spark, sf), single_partition=False), table)
-    return spark.table(table).select(*STORED)
+    sinks.write_matrix(sinks.repartition_for_write(_stored_panel(spark, sf), single_partition=False), table)
+    return spark.table(table)
 
 
-@query("snk_rerun_month", _stored_sql("codmes between 200010 and 200012", "case when codmes = 200011 then -mto_tot else mto_tot end"))
+@stored_query("snk_rerun_month", "true", "codmes between 200010 and 200012", "case when codmes = 200011 then -mto_tot else mto_tot end")
 def snk_rerun_month(spark, sf):
     table = _fresh(spark, "rerun")
-    sinks.write_matrix(_small_panel(spark, sf), table)
-    again = _small_panel(spark, sf, 200011, 200011).withColumn("mto_tot", -F.col("mto_tot"))
+    sinks.write_matrix(_stored_panel(spark, sf), table)
+    again = _stored_panel(spark, sf, 200011).withColumn("mto_tot", -F.col("mto_tot"))
     sinks.write_matrix(again, table)
-    return spark.table(table).select(*STORED)
+    return spark.table(table)
 
 
-@query("snk_listed_months", _stored_sql("codmes in (200010, 200011)", "case when codmes = 200011 then mto_tot + 1 else mto_tot end"))
+@stored_query("snk_listed_months", "codmes <> 200012", "codmes in (200010, 200011)", "case when codmes = 200011 then mto_tot + 1 else mto_tot end")
 def snk_listed_months(spark, sf):
     """Two listed months: one gets new rows, the other has none any more and is cleared."""
     table = _fresh(spark, "listed")
-    sinks.write_matrix(_small_panel(spark, sf), table)
-    again = _small_panel(spark, sf, 200011, 200011).withColumn("mto_tot", F.col("mto_tot") + 1)
+    sinks.write_matrix(_stored_panel(spark, sf), table)
+    again = _stored_panel(spark, sf, 200011).withColumn("mto_tot", F.col("mto_tot") + 1)
     sinks.write_matrix(again, table, months=[200011, 200012])
-    return spark.table(table).select(*STORED)
+    return spark.table(table)
 
 
-@query("snk_stage", _stored_sql("codmes between 200010 and 200012"))
+@stored_query("snk_stage", "true", "codmes between 200010 and 200012")
 def snk_stage(spark, sf):
     """A stage table, dropped again after its rows were staged once more, and materialised at the end."""
-    first = sinks.stage_table(_small_panel(spark, sf), _fresh(spark, "stage_a"))
+    first = sinks.stage_table(_stored_panel(spark, sf), _fresh(spark, "stage_a"))
     second = sinks.stage_table(first, _fresh(spark, "stage_b"), None)
     sinks.drop_stage(spark, "conformance_stage_a")
-    return sinks.materialise(second).select(*STORED)
+    return sinks.materialise(second)
 
 
-@query("src_catalog", _stored_sql("codmes between 200010 and 200012 and ctd_tot > 1"))
+@stored_query("src_catalog", "ctd_tot > 1", "codmes between 200010 and 200012 and ctd_tot > 1")
 def src_catalog(spark, sf):
-    sinks.write_matrix(_small_panel(spark, sf), _fresh(spark, "catalog"))
+    sinks.write_matrix(_stored_panel(spark, sf), _fresh(spark, "catalog"))
     namespace = Namespace(spark.catalog.currentDatabase())
-    return read_table(spark, namespace, "conformance_catalog").where("ctd_tot > 1").select(*STORED)
+    return read_table(spark, namespace, "conformance_catalog").where("ctd_tot > 1")
 
 
 @query("src_partition", _stored_sql("codmes = 200011"))
 def src_partition(spark, sf):
     table = _fresh(spark, "partition")
-    sinks.write_matrix(_small_panel(spark, sf), table)
+    sinks.write_matrix(_stored_panel(spark, sf), table)
     path = spark.sql(f"describe formatted {table}").where("col_name = 'Location'").first()["data_type"]
     return read_partition(spark, path, 200011).select(*STORED)
 
