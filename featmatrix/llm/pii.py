@@ -2,9 +2,10 @@
 
 The patterns find e-mail addresses, IP addresses, card numbers and phone numbers. The field labels every word that
 holds a digit or an at sign. Neighbouring such words are linked in a chain; words that repeat, or that share their
-number of digits and one half of them, are linked to their last like across any distance. Beliefs come from damped
-loopy message passing, so a word that is plainly a phone number pulls a bare repetition of it along. Words believed
-with at least `sure` become further spans; spans of the patterns always stay.
+number of digits and one half of them, are linked to their last and to their first like across any distance. Beliefs
+come from damped loopy message passing until no message changes by more than `tolerance`; the turns it may take follow
+the number of marked words, so every word can be reached. So a word that is plainly a phone number pulls a bare
+repetition of it along. Words believed with at least `sure` become further spans; spans of the patterns always stay.
 
 Training is piecewise: word potentials by weighted logistic regression, link potentials from label pairs, both from
 pattern labels of a bounded sample of documents (`sample` of them, drawn by a hash of doc_id), counted in Spark.
@@ -103,6 +104,7 @@ def _graph(text: str) -> tuple[list[tuple[int, int]], list[list[int]], list[tupl
     """Marked words, their features, chain links and skip links."""
     words, feats, chain, skip = [], [], [], []
     last: dict[tuple, int] = {}
+    first: dict[tuple, int] = {}
     spots = [(m.start(), m.end()) for m in WORD.finditer(text)]
     previous = -9
     for i, (start, end) in enumerate(spots):
@@ -122,9 +124,11 @@ def _graph(text: str) -> tuple[list[tuple[int, int]], list[list[int]], list[tupl
         if len(digits) >= 6:
             half = len(digits) // 2
             keys += [(len(digits), "a", digits[:half]), (len(digits), "b", digits[half:]), ("c", digits[-7:])]
-        for other in {last[k] for k in keys if k in last}:
+        for other in sorted({at[k] for at in (last, first) for k in keys if k in at}):
             skip.append((other, n))
         last.update(dict.fromkeys(keys, n))
+        for k in keys:
+            first.setdefault(k, n)
     return words, feats, chain, skip
 
 
@@ -192,8 +196,12 @@ def fit(docs: DataFrame, sample: int = 30_000, steps: int = 300) -> Field:
     return Field(weights, link(tables["chain"]), link(tables["skip"]))
 
 
-def beliefs(feats: list[list[int]], chain: list[tuple[int, int]], skip: list[tuple[int, int]], field: Field, turns: int = 12) -> np.ndarray:
-    """Label beliefs by damped loopy sum-product; exact on a chain without skip links."""
+def beliefs(feats: list[list[int]], chain: list[tuple[int, int]], skip: list[tuple[int, int]], field: Field, tolerance: float = 1e-4) -> np.ndarray:
+    """Label beliefs by damped loopy sum-product, run until it settles; exact on a chain without skip links.
+
+    Messages cross a link per turn, so the most turns grow with the words. From turn 100 on steps get shorter, which
+    settles loops that swing.
+    """
     unary = np.array([field.words[on].sum(0) for on in feats])
     if chain or skip:
         ends = np.array(chain + skip)
@@ -203,14 +211,18 @@ def beliefs(feats: list[list[int]], chain: list[tuple[int, int]], skip: list[tup
         pair = np.concatenate([tables, tables.transpose(0, 2, 1)])
         back = np.concatenate([np.arange(len(ends)) + len(ends), np.arange(len(ends))])
         messages = np.zeros((len(source), unary.shape[1]))
-        for _ in range(turns):
+        for turn in range(200 + 4 * len(feats)):
             gathered = unary.copy()
             np.add.at(gathered, target, messages)
             outward = (gathered[source] - messages[back])[:, :, None] + pair
             top = outward.max(1, keepdims=True)
             fresh = np.log(np.exp(outward - top).sum(1)) + top[:, 0]
             fresh -= fresh.max(1, keepdims=True)
-            messages = 0.3 * messages + 0.7 * fresh
+            moved = np.abs(fresh - messages).max()
+            step = 0.7 * min(1, 100 / (turn + 1))
+            messages += step * (fresh - messages)
+            if moved <= tolerance:
+                break
         unary = unary.copy()
         np.add.at(unary, target, messages)
     chance = np.exp(unary - unary.max(1, keepdims=True))

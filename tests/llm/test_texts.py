@@ -308,6 +308,25 @@ def test_beliefs_follow_links():
     assert alone[1, 4] == pytest.approx(0.2) and linked[1, 4] > 0.75 and np.allclose(linked.sum(1), 1)
 
 
+def test_beliefs_settle_on_long_paths():
+    """The exact marginals of a path of 40 like words, of which only the first has evidence."""
+    words = np.zeros((pii.FEATURES, 5))
+    words[1, 1] = 6
+    link = np.where(np.eye(5, dtype=bool), 3.0, -3.0)
+    n = 40
+    got = pii.beliefs([[1]] + [[2]] * (n - 1), [], [(i, i + 1) for i in range(n - 1)], pii.Field(words, np.zeros((5, 5)), link))
+    step = np.exp(link) / np.exp(link).sum(1, keepdims=True)
+    belief = np.exp(words[1]) / np.exp(words[1]).sum()
+    for i in range(n):
+        assert np.allclose(got[i], belief, atol=1e-3), i
+        belief = belief @ step
+
+
+def test_repetitions_are_linked_to_their_first():
+    _, _, _, skip = pii._graph(" x x x ".join(["5551234567"] * 20))
+    assert {(0, n) for n in range(1, 20)} <= set(skip) and {(n - 1, n) for n in range(1, 20)} <= set(skip)
+
+
 def test_masking(documents):
     rows = [(1, "mail a@b.org, ip 10.0.0.1!"), (2, None), (3, "nothing")]
     table = documents(rows)
