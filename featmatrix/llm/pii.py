@@ -232,9 +232,9 @@ def beliefs(feats: list[list[int]], chain: list[tuple[int, int]], skip: list[tup
 def all_spans(text: str, field: Field, sure: float = 0.9) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(pattern spans, added spans), each as (start, kind, end)."""
     base = base_spans(text)
-    if not base:  # the field only spreads from what a pattern has found
+    words, feats, chain, skip = _graph(text) if MARKED.search(text) else ([], [], [], [])
+    if not words:
         return base, []
-    words, feats, chain, skip = _graph(text)
     chance = beliefs(feats, chain, skip, field)
     covered = _labels(words, base)
     added = []

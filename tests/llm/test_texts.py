@@ -327,6 +327,14 @@ def test_repetitions_are_linked_to_their_first():
     assert {(0, n) for n in range(1, 20)} <= set(skip) and {(n - 1, n) for n in range(1, 20)} <= set(skip)
 
 
+def test_field_needs_no_pattern_in_the_text():
+    words = np.zeros((pii.FEATURES, 5))
+    words[43, 1] = 9  # an at sign
+    field = pii.Field(words, np.zeros((5, 5)), np.zeros((5, 5)))
+    assert pii.all_spans("mail user@localhost now", field) == ([], [(5, 0, 19)])
+    assert pii.all_spans("nothing", field) == ([], [])
+
+
 def test_masking(documents):
     rows = [(1, "mail a@b.org, ip 10.0.0.1!"), (2, None), (3, "nothing")]
     table = documents(rows)
