@@ -6,7 +6,7 @@ A word's probability is that of its class given the words before it, times that
   end of a text is a class of its own.
 * Class given history: a maximum-entropy model over hashed features, namely the last word, the last two words, and
   the word before the last (a skip feature). It is trained by distributed gradient updates: each round, every task
-  runs AdaGrad over its documents from the shared weights, and the changes are averaged, weighted by tokens.
+  runs AdaGrad over all its documents from the shared weights, and the changes are averaged, weighted by tokens.
 * Word within class: smoothed relative frequency, for which counts of all training words are kept in a table.
 
 The most frequent `vocabulary` words (a fixed bound) and the weights (`buckets` x `classes`) are sent to the tasks.
@@ -293,10 +293,9 @@ def fit(training: DataFrame, conf: Settings = Settings()) -> Model:
     ends = tokens - int(mass.sum())
     mass[0], kinds[0] = ends, min(1, ends)
     weights = np.zeros((conf.buckets, conf.classes), np.float32)
-    for turn in range(conf.rounds if tokens else 0):
-        part = few.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(conf.rounds)) == turn)
+    for _ in range(conf.rounds if tokens else 0):
         held = spark.sparkContext.broadcast(weights)
-        weights = weights + _train_round(part, vocabulary, held, conf)
+        weights = weights + _train_round(few, vocabulary, held, conf)
         held.unpersist()
     found = np.log10(np.array([ends] + [n for _, n in top], float) + 0.5)
     return Model(

@@ -242,6 +242,18 @@ def test_scores_against_brute_force(documents):
     assert all(math.isfinite(r.score) for r in got)
 
 
+def test_every_round_trains_on_all_texts(documents, monkeypatch):
+    seen = []
+
+    def count(docs, vocabulary, weights, conf):
+        seen.append(docs.count())
+        return np.zeros((conf.buckets, conf.classes), np.float32)
+
+    monkeypatch.setattr(maxent, "_train_round", count)
+    maxent.fit(documents([(i, f"a{i} b c") for i in range(50)]), maxent.Settings(vocabulary=9, endings=4, classes=4, buckets=256, blocks=8))
+    assert seen == [50] * maxent.Settings.rounds
+
+
 def test_scores_without_training(documents):
     table = documents([(1, "a b"), (2, None)])
     got = maxent.score(table, maxent.fit(table.limit(0))).collect()
