@@ -80,6 +80,13 @@ def op10_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(docs, fit(docs))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from featmatrix.llm.common import crc_mod
+    from featmatrix.llm.merkle import manifest
+
+    return manifest(read_table(spark, sf_dir, "documents"), crc_mod("doc_id", 5) == 0).proofs()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sorted_projections": op1_sorted_projections,
     "op2_quality_lines": op2_quality_lines,
@@ -91,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_runs": op8_line_runs,
     "op9_hashed_maxent": op9_hashed_maxent,
     "op10_skip_chain_pii": op10_skip_chain_pii,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 VECTORS_SQL = """
@@ -128,8 +136,63 @@ smallest as (select doc_id, min(other) as component_id from reach group by 1)
 select doc_id, n as n_shingles, component_id, doc_id = component_id as kept from sized join smallest using (doc_id)
 """
 
+def _field_sql(column: str) -> str:
+    return f"coalesce(strlen({column}::varchar) || ':' || {column}, '-')"
+
+
+def _crc_sql(column: str) -> str:
+    """crc32 of the text of a column, bit by bit."""
+    step = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"""xor(4294967295, list_reduce([4294967295::bigint] || list_transform(string_split({column}::varchar, ''), lambda d: ascii(d)::bigint),
+    lambda c, b: {step}))"""
+
+
+def _sides_sql(part: str) -> str:
+    """The digests before and after a node in its run."""
+    window = f"string_agg(digest, '') over (partition by {part} order by idx rows between"
+    return f"coalesce({window} unbounded preceding and 1 preceding), '') as l, coalesce({window} 1 following and unbounded following), '') as r"
+
+
+def _levels_sql(n: str) -> str:
+    return " + ".join(f"({n} > {16**k})::int" for k in range(10))
+
+
+MERKLE_SQL = f"""
+with recursive heads as (
+  select doc_id, source, text, {" || ".join(_field_sql(c) for c in ("doc_id", "source", "lang", "n_chars"))} as head,
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as lowered from documents),
+hashed as (
+  select doc_id, source, sha256(head || {_field_sql("text")}) as leaf,
+    case when {_crc_sql("doc_id")} % 5 = 0 then sha256(head || {_field_sql("lowered")}) else sha256(head || {_field_sql("text")}) end as shown from heads),
+numbered as (
+  select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as idx,
+    dense_rank() over (order by source nulls first) - 1 as g, row_number() over () as rid from hashed),
+heights as (select g, {_levels_sql("count(*)")} as h from numbered group by g),
+up as (
+  select g, h, 0 as lvl, idx, leaf as digest from numbered join heights using (g)
+  union all select g, h, lvl + 1, idx // 16, sha256(string_agg(digest, '' order by idx)) from up where lvl < h group by g, h, lvl, idx // 16),
+subroots as (select g, digest as subroot from up where lvl = h),
+top as (
+  select {_levels_sql("count(*) over ()")} as h, 0 as lvl, g as idx, subroot as digest from subroots
+  union all select h, lvl + 1, idx // 16, sha256(string_agg(digest, '' order by idx)) from top where lvl < h group by h, lvl, idx // 16),
+steps as (select g, lvl, idx, {_sides_sql("g, lvl, idx // 16")} from up where lvl < h),
+top_steps as (select lvl, idx, {_sides_sql("lvl, idx // 16")} from top where lvl < h),
+folds as (
+  select rid, g, 0 as lvl, idx, shown as digest, '' as others from numbered
+  union all select rid, f.g, f.lvl + 1, f.idx // 16, sha256(l || digest || r), others || l || r
+  from folds f join steps s on f.g = s.g and f.lvl = s.lvl and f.idx = s.idx),
+top_folds as (
+  select rid, 0 as lvl, g as idx, digest, others from folds join heights using (g) where lvl = h
+  union all select rid, f.lvl + 1, f.idx // 16, sha256(l || digest || r), others || l || r
+  from top_folds f join top_steps s on f.lvl = s.lvl and f.idx = s.idx),
+tip as (select digest as root, h from top where lvl = h)
+select doc_id, leaf, subroot, root, sha256(others) as proof_sha256, digest as folded_root, digest = root as verified
+from numbered join subroots using (g) join top_folds f using (rid) join tip on f.lvl = tip.h
+"""
+
 ORACLES: dict[str, str] = {
     "op1_sorted_projections": VECTORS_SQL,
     "op5_odd_sketches": SHINGLES_SQL,
     "op8_line_runs": LINE_ORACLE,
+    "op11_merkle_manifest": MERKLE_SQL,
 }
