@@ -87,6 +87,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(read_table(spark, sf_dir, "documents"), crc_mod("doc_id", 5) == 0).proofs()
 
 
+def op13_bag_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from featmatrix.llm.lexical import search
+
+    return search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sorted_projections": op1_sorted_projections,
     "op2_quality_lines": op2_quality_lines,
@@ -99,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_hashed_maxent": op9_hashed_maxent,
     "op10_skip_chain_pii": op10_skip_chain_pii,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_bag_search": op13_bag_search,
 }
 
 VECTORS_SQL = """
@@ -190,9 +197,31 @@ select doc_id, leaf, subroot, root, sha256(others) as proof_sha256, digest as fo
 from numbered join subroots using (g) join top_folds f using (rid) join tip on f.lvl = tip.h
 """
 
+SEARCH_SQL = r"""
+with doc_terms as (
+  select row_number() over () as d, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents where text is not null),
+lengths as (select d, count(*) as n from doc_terms group by d),
+totals as (select count(*)::bigint as docs, sum(n)::bigint as len from lengths),
+tfs as (select d, doc_id, term, count(*) as tf from doc_terms group by all),
+weights as (
+  select term, floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)::double))::bigint as w
+  from (select term, count(*) as df from tfs group by term), totals),
+ms as (select d, 50 + (50 * n * docs) // len as m from lengths, totals),
+item_terms as (
+  select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark where text is not null),
+scored as (
+  select item_id, d, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::bigint as score
+  from item_terms join tfs using (term) join weights using (term) join ms using (d) group by all),
+ranked as (select *, row_number() over (partition by item_id order by score desc, doc_id nulls first) as rank from scored where score > 0)
+select item_id, rank::int as rank, doc_id, score from ranked where rank <= 50
+"""
+
 ORACLES: dict[str, str] = {
     "op1_sorted_projections": VECTORS_SQL,
     "op5_odd_sketches": SHINGLES_SQL,
     "op8_line_runs": LINE_ORACLE,
     "op11_merkle_manifest": MERKLE_SQL,
+    "op13_bag_search": SEARCH_SQL,
 }
