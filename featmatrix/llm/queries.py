@@ -87,6 +87,13 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(read_table(spark, sf_dir, "documents"), crc_mod("doc_id", 5) == 0).proofs()
 
 
+def op12_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from featmatrix.llm.compression import fit, score
+
+    docs = read_table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op13_bag_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from featmatrix.llm.lexical import search
 
@@ -105,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_hashed_maxent": op9_hashed_maxent,
     "op10_skip_chain_pii": op10_skip_chain_pii,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_compression_quality": op12_compression_quality,
     "op13_bag_search": op13_bag_search,
 }
 
