@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -860,11 +860,9 @@ def agg_frequency_april(spark, sf):
 # Sources and sinks: written through the session's catalog, read back
 
 
-def _fresh(spark, name: str) -> str:
-    """A table of this name that does not exist; each call starts anew."""
-    table = f"conformance_{name}"
-    sinks.drop_stage(spark, table)
-    return table
+def _fresh(name: str) -> str:
+    """A table name that no earlier session has used: a warehouse outlives the catalog of a session."""
+    return f"conformance_{name}_{uuid.uuid4().hex[:12]}"
 
 
 STORED = ["codmes", "codunicocli", "mto_tot", "ctd_tot"]
@@ -900,14 +898,14 @@ def stored_query(name: str, whole: str, part: str, value: str = "mto_tot"):
 
 @stored_query("snk_write_matrix", "true", "codmes between 200010 and 200012")
 def snk_write_matrix(spark, sf):
-    table = _fresh(spark, "write")
+    table = _fresh("write")
     sinks.write_matrix(sinks.repartition_for_write(_stored_panel(spark, sf), single_partition=False), table)
     return spark.table(table)
 
 
 @stored_query("snk_rerun_month", "true", "codmes between 200010 and 200012", "case when codmes = 200011 then -mto_tot else mto_tot end")
 def snk_rerun_month(spark, sf):
-    table = _fresh(spark, "rerun")
+    table = _fresh("rerun")
     sinks.write_matrix(_stored_panel(spark, sf), table)
     again = _stored_panel(spark, sf, 200011).withColumn("mto_tot", -F.col("mto_tot"))
     sinks.write_matrix(again, table)
@@ -917,7 +915,7 @@ def snk_rerun_month(spark, sf):
 @stored_query("snk_listed_months", "codmes <> 200012", "codmes in (200010, 200011)", "case when codmes = 200011 then mto_tot + 1 else mto_tot end")
 def snk_listed_months(spark, sf):
     """Two listed months: one gets new rows, the other has none any more and is cleared."""
-    table = _fresh(spark, "listed")
+    table = _fresh("listed")
     sinks.write_matrix(_stored_panel(spark, sf), table)
     again = _stored_panel(spark, sf, 200011).withColumn("mto_tot", F.col("mto_tot") + 1)
     sinks.write_matrix(again, table, months=[200011, 200012])
@@ -927,22 +925,24 @@ def snk_listed_months(spark, sf):
 @stored_query("snk_stage", "true", "codmes between 200010 and 200012")
 def snk_stage(spark, sf):
     """A stage table, dropped again after its rows were staged once more, and materialised at the end."""
-    first = sinks.stage_table(_stored_panel(spark, sf), _fresh(spark, "stage_a"))
-    second = sinks.stage_table(first, _fresh(spark, "stage_b"), None)
-    sinks.drop_stage(spark, "conformance_stage_a")
+    name = _fresh("stage_a")
+    first = sinks.stage_table(_stored_panel(spark, sf), name)
+    second = sinks.stage_table(first, _fresh("stage_b"), None)
+    sinks.drop_stage(spark, name)
     return sinks.materialise(second)
 
 
 @stored_query("src_catalog", "ctd_tot > 1", "codmes between 200010 and 200012 and ctd_tot > 1")
 def src_catalog(spark, sf):
-    sinks.write_matrix(_stored_panel(spark, sf), _fresh(spark, "catalog"))
+    name = _fresh("catalog")
+    sinks.write_matrix(_stored_panel(spark, sf), name)
     namespace = Namespace(spark.catalog.currentDatabase())
-    return read_table(spark, namespace, "conformance_catalog").where("ctd_tot > 1")
+    return read_table(spark, namespace, name).where("ctd_tot > 1")
 
 
 @query("src_partition", _stored_sql("codmes = 200011"))
 def src_partition(spark, sf):
-    table = _fresh(spark, "partition")
+    table = _fresh("partition")
     sinks.write_matrix(_stored_panel(spark, sf), table)
     path = spark.sql(f"describe formatted {table}").where("col_name = 'Location'").first()["data_type"]
     return read_partition(spark, path, 200011).select(*STORED)

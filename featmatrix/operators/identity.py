@@ -14,7 +14,7 @@ attached to the snapshot beforehand. So the panel is shuffled once for both join
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -105,43 +105,86 @@ def resolve_identity(
     panel: DataFrame,
     identity: DataFrame,
     trim: str = "group",
-    by: Sequence[str] = (),
     duplicates: str = "raise",
     broadcast_rows: int | None = None,
     keys: KeyColumns = KEYS,
-    months: Column | None = None,
 ) -> DataFrame:
     """Panel with client and party replaced by the ones valid in the snapshot.
 
-    ``by`` names the analysis month of the identity table when several snapshots are resolved together;
-    ``months`` then gives the analysis months of a panel row as an array. The panel is joined as it is and copied
-    to its months after the join, so its rows are shuffled once and not once per month.
     ``duplicates='multiply'`` repeats a panel row per match instead of failing.
     """
-    if bool(by) != (months is not None):
-        raise ValueError("give months together with by")
-    at_join, at_group = _trims(trim)
-    padded = F.rpad(F.lit(ANONYMOUS_ID), PARTY_WIDTH, " ")
-    client, party = F.col(keys.client), at_join(F.col(keys.party))
-    known = F.trim(party) != ANONYMOUS_ID
-    named = _not_unknown(client)
-    lookup = F.when(known, _tagged(_BY_PARTY, (), party)).when(named, _tagged(_BY_CLIENT, (), client))
-    table = broadcast_if_small(identity_lookup(identity, trim, by, duplicates, keys), broadcast_rows)
-    new_client = F.when(known, F.col("new_client")).otherwise(at_group(client))
-    new_party = (
-        F.when(known, F.col("new_party"))
-        .when(named, F.coalesce(F.col("new_party"), padded))
-        .otherwise(at_group(party))
-    )
+    ids = _Ids(trim, keys)
+    table = broadcast_if_small(identity_lookup(identity, trim, (), duplicates, keys), broadcast_rows)
+    found = lookup_join(panel, table, ids.lookup, "lookup")
     rest = F.expr(f"* except ({keys.client}, {keys.party}, new_client, new_party)")
-    found = lookup_join(panel, table, lookup, "lookup")
-    if by:
-        own = F.filter("answers", lambda a: a["month"] == F.col(by[0]))
-        copied = found.withColumn(by[0], F.explode(months)).withColumn("_answer", F.explode_outer(own))
-        found = copied.select("*", "_answer.new_client", "_answer.new_party").drop("answers", "_answer")
-    return found.select(
-        rest, new_client.alias(keys.client), new_party.alias(keys.party)
+    return found.select(rest, *ids.replaced(F.col("new_client"), F.col("new_party")))
+
+
+class _Ids:
+    """What a panel row is looked up by, and how an answer replaces its ids."""
+
+    def __init__(self, trim: str, keys: KeyColumns) -> None:
+        at_join, at_group = _trims(trim)
+        client, party = F.col(keys.client), at_join(F.col(keys.party))
+        self.keys, self.known, self.named = keys, F.trim(party) != ANONYMOUS_ID, _not_unknown(client)
+        self.own = at_group(client), at_group(party)
+        self.lookup = F.when(self.known, _tagged(_BY_PARTY, (), party)).when(self.named, _tagged(_BY_CLIENT, (), client))
+
+    def replaced(self, new_client: Column, new_party: Column) -> tuple[Column, Column]:
+        padded = F.rpad(F.lit(ANONYMOUS_ID), PARTY_WIDTH, " ")
+        client = F.when(self.known, new_client).otherwise(self.own[0])
+        party = F.when(self.known, new_party).when(self.named, F.coalesce(new_party, padded)).otherwise(self.own[1])
+        return client.alias(self.keys.client), party.alias(self.keys.party)
+
+
+def analysis_bits(months: Sequence[int]) -> dict[int, int]:
+    """One bit per analysis month, in ascending order; a set of months is a 64-bit integer."""
+    if len(set(months)) > 62:
+        raise ValueError("at most 62 analysis months fit into one set")
+    return {m: 1 << i for i, m in enumerate(sorted(set(months)))}
+
+
+def resolve_spans(
+    panel: DataFrame, identity: DataFrame, bits: Mapping[int, int], window: Column, trim: str = "group",
+    by: str = KEYS.analysis, duplicates: str = "raise", broadcast_rows: int | None = None, keys: KeyColumns = KEYS,
+    analyses: str = "analyses",
+) -> DataFrame:
+    """Panel rows with the identity that each set of analysis months gives them.
+
+    The identity table has the analysis month in column ``by``; ``bits`` numbers those months and ``window`` gives, as
+    bits, the analysis months that a row belongs to. A row comes out once for each *different* answer of the
+    snapshots, with the months of that answer in ``analyses``: once in all where its identity did not change, and
+    not once per analysis month. With ``duplicates='multiply'`` every match is an answer of its own.
+    """
+    ids = _Ids(trim, keys)
+    month_bits = F.create_map(*(F.lit(x) for m, b in bits.items() for x in (m, b)))
+    single = lambda x: F.struct(x["new_client"].alias("c"), x["new_party"].alias("p"), month_bits[x["month"]].alias("m"))
+    answers = F.transform("answers", single)
+    if duplicates != "multiply":
+        different = F.array_distinct(F.transform("answers", lambda x: F.struct(x["new_client"].alias("c"), x["new_party"].alias("p"))))
+
+        def months_of(x: Column) -> Column:
+            same = F.filter("answers", lambda a: a["new_client"].eqNullSafe(x["c"]) & a["new_party"].eqNullSafe(x["p"]))
+            return F.aggregate(same, F.lit(0).cast("long"), lambda s, a: s.bitwiseOR(month_bits[a["month"]]))
+
+        answers = F.transform(different, lambda x: F.struct(x["c"].alias("c"), x["p"].alias("p"), months_of(x).alias("m")))
+    table = identity_lookup(identity.where(F.col(by).isin(*bits)), trim, (by,), duplicates, keys)
+    table = table.select("lookup", answers.cast("array<struct<c:string,p:string,m:bigint>>").alias("answers"))
+    found = lookup_join(panel.withColumn("_window", window), broadcast_if_small(table, broadcast_rows), ids.lookup, "lookup")
+
+    given = F.coalesce("answers", F.array().cast("array<struct<c:string,p:string,m:bigint>>"))
+    answered = F.aggregate(given, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x["m"]))
+    nothing = F.struct(
+        F.lit(None).cast("string").alias("c"), F.lit(None).cast("string").alias("p"),
+        F.col("_window").bitwiseAND(F.bitwise_not(answered)).alias("m"),
+    )
+    own = F.transform(
+        F.concat(given, F.array(nothing)), lambda x: F.struct(x["c"].alias("c"), x["p"].alias("p"), x["m"].bitwiseAND(F.col("_window")).alias("m"))
     )
+    spans = found.withColumn("_answer", F.explode(F.filter(own, lambda x: x["m"] != 0)))
+    rest = F.expr(f"* except ({keys.client}, {keys.party}, answers, _window, _answer)")
+    replaced = ids.replaced(F.col("_answer.c"), F.col("_answer.p"))
+    return spans.select(rest, *replaced, F.col("_answer.m").alias(analyses))
 
 
 def consolidation_rule(column: str) -> str:

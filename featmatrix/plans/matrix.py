@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import date, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featmatrix.config import CTD, FLG, HORIZONS, LOOK_BACK, MTO, TKT, Channel, FeatureSpec
 from featmatrix.functions.naming import feature_suffix, frequency_suffix
-from featmatrix.functions.periods import audit_cols, month_index_col, shift_month
+from featmatrix.functions.periods import audit_cols, shift_month
 from featmatrix.operators.densify import distinct_periods
 from featmatrix.operators.derive import GROWTH, exactly_sql, growth_sql, min_gate_sql, party_key
-from featmatrix.operators.identity import consolidate, resolve_identity
+from featmatrix.operators.identity import analysis_bits, consolidate, resolve_identity
 from featmatrix.operators.trailing import (
     BlockExpressions,
     FeatureGroup,
@@ -23,6 +24,7 @@ from featmatrix.operators.trailing import (
     month_slots,
     present_ordinals,
 )
+from featmatrix.plans.sliding import SPAN_MONTHS, gather_states, month_states, slide
 from featmatrix.sources.tables import read_months
 
 _TRAILING = tuple(1 - n for n in HORIZONS)
@@ -35,6 +37,9 @@ _MINIMA = ("min", _TRAILING, 0)
 _SUMS = ("sum", _TRAILING, 0)
 _LATEST = ("avg", (0,), 0)
 
+# Measure classes in the order of the slot arrays.
+SLOT_ORDER = (MTO, TKT, CTD, FLG)
+
 
 def _families(channel: Channel, cls: str) -> list[tuple[str, tuple[int, ...], int]]:
     if cls == FLG:
@@ -102,55 +107,46 @@ def class_template(channel: Channel, cls: str, ordinals: Sequence[int]) -> Featu
 
 
 def consolidated_panel(
-    concept: DataFrame, identity: DataFrame, channel: Channel, months: Sequence[int | str],
+    concept: DataFrame, identity: DataFrame, channel: Channel, month: int,
     duplicates: str = "raise", broadcast_rows: int | None = None,
 ) -> DataFrame:
-    """Window rows of every analysis month, re-keyed and summed per customer and month.
-
-    Several analysis months are handled in one job: a row is looked up once, then copied to each (at most
-    twelve) analysis months whose window holds it, with an explode and no range join, right below the map-side
-    part of the consolidation. The analysis month becomes part of every key; for a single month there is no such
-    column.
-    """
+    """Window rows of one analysis month, re-keyed and consolidated per customer and month."""
     keys = channel.keys
-    codes = sorted(int(m) for m in months)
     measures = [m.name for m in channel.measures]
-    panel = read_months(
-        concept, shift_month(codes[0], -LOOK_BACK), codes[-1], [keys.period, *keys.ids, *measures], keys.period
-    )
-    snapshots = identity.where(F.col(keys.period).isin(codes)).select(
-        F.col(keys.period).cast("int").alias(keys.analysis), keys.client, keys.party, keys.concept
-    )
-    by = [] if len(codes) == 1 else [keys.analysis]
-    months_of_row = None
-    if by:
-        index = month_index_col(F.col(keys.period))
-        targets = F.array(*(F.lit(m) for m in codes))
-        inside = lambda m: (month_index_col(m) - index).between(0, LOOK_BACK)
-        months_of_row = F.filter(targets, inside)
-    resolved = resolve_identity(panel, snapshots, channel.trim, by, duplicates, broadcast_rows, keys, months_of_row)
-    return consolidate(resolved, measures, (*by, keys.period, *keys.ids))
+    columns = [keys.period, *keys.ids, *measures]
+    panel = read_months(concept, shift_month(month, -LOOK_BACK), month, columns, keys.period)
+    snapshot = identity.where(F.col(keys.period) == int(month)).select(keys.client, keys.party, keys.concept)
+    resolved = resolve_identity(panel, snapshot, channel.trim, duplicates, broadcast_rows, keys)
+    return consolidate(resolved, measures, (keys.period, *keys.ids))
 
 
-def expand_matrix(
-    consolidated: DataFrame, channel: Channel, ordinals: Sequence[int], month: int | None = None,
-    partitions: int | None = None,
-) -> DataFrame:
-    """Feature columns of consolidated rows whose analysis months share the same present months.
+def feature_groups(channel: Channel, ordinals: Sequence[int]) -> list[FeatureGroup]:
+    return [class_template(channel, c, ordinals) for c in SLOT_ORDER if channel.names(c)]
 
-    ``month`` is the analysis month; without it the rows carry it as a column.
-    """
+
+def slot_measures(channel: Channel) -> list[str]:
+    """Measures in the order of the slot arrays."""
+    return channel.names(*SLOT_ORDER)
+
+
+def expand_slots(slots: DataFrame, channel: Channel, ordinals: Sequence[int], month: int | None = None) -> DataFrame:
+    """Feature columns of month slots; ``month`` is the analysis month, without it the rows carry it as a column."""
     keys = channel.keys
-    groups = [class_template(channel, c, ordinals) for c in (MTO, TKT, CTD, FLG) if channel.names(c)]
-    ordered = [m for g in groups for m in g.measures]
     by = keys.ids if month is not None else keys.matrix
-    analysis = F.lit(month) if month is not None else F.col(keys.analysis)
-    slots = month_slots(consolidated, ordered, by, ordinals, analysis, keys.period, partitions)
-    packed, paths = expand_groups(slots, groups, by, len(ordinals))
+    packed, paths = expand_groups(slots, feature_groups(channel, ordinals), by, len(ordinals))
     first = keys.analysis if month is None else f"{month} as {keys.analysis}"
     return packed.selectExpr(first, *keys.ids, *(f"{paths[f]} as {f.lower()}" for f in feature_types(channel)))
 
 
+def expand_matrix(
+    consolidated: DataFrame, channel: Channel, ordinals: Sequence[int], month: int, partitions: int | None = None
+) -> DataFrame:
+    """Feature columns of the consolidated rows of one analysis month."""
+    keys = channel.keys
+    slots = month_slots(consolidated, slot_measures(channel), keys.ids, ordinals, F.lit(month), keys.period, partitions)
+    return expand_slots(slots, channel, ordinals, month)
+
+
 def project_matrix(
     features: DataFrame, channel: Channel, run_date: date | str, ts: datetime | None = None
 ) -> DataFrame:
@@ -182,6 +178,7 @@ def build_features(
 ) -> DataFrame:
     """Keys and feature columns for the given analysis months, one row per customer and month.
 
+    Several months slide over one set of month states; a single month takes its twelve months as they are.
     Customers without an identity in the snapshot (NULL ids) are left out unless ``drop_null_keys`` is
     off. The months that count as present are those of the concept table, before that filter; a run over many
     months hands them down as ``present``.
@@ -191,18 +188,25 @@ def build_features(
     window = read_months(concept, shift_month(codes[-1], -LOOK_BACK), codes[0], None, keys.period)
     if present is None:
         present = distinct_periods(window, keys.period) if periods == "present" else ()
-    by_pattern: dict[tuple[int, ...], list[int]] = {}
-    for m in codes:
-        by_pattern.setdefault(present_ordinals(present, m, periods), []).append(m)
-
-    result = None
-    for ordinals, group in by_pattern.items():
-        rows = consolidated_panel(concept, identity, channel, group, duplicates, broadcast_rows)
-        if drop_null_keys:
-            rows = rows.where(F.col(keys.client).isNotNull() & F.col(keys.party).isNotNull())
-        part = expand_matrix(rows, channel, ordinals, group[0] if len(group) == 1 else None, partitions)
-        result = part if result is None else result.unionByName(part)
-    return result
+    named = F.col(keys.client).isNotNull() & F.col(keys.party).isNotNull()
+    kept = (lambda rows: rows.where(named)) if drop_null_keys else (lambda rows: rows)
+    if len(codes) == 1:
+        ordinals = present_ordinals(present, codes[0], periods)
+        rows = kept(consolidated_panel(concept, identity, channel, codes[0], duplicates, broadcast_rows))
+        return expand_matrix(rows, channel, ordinals, codes[0], partitions)
+
+    measures, parts = slot_measures(channel), []
+    for at in range(0, len(codes), SPAN_MONTHS):
+        span = codes[at : at + SPAN_MONTHS]
+        states = kept(month_states(concept, identity, channel, span, duplicates, broadcast_rows))
+        gathered = gather_states(states, channel, measures, span, partitions)
+        by_pattern: dict[tuple[int, ...], list[int]] = {}
+        for m in span:
+            by_pattern.setdefault(present_ordinals(present, m, periods), []).append(m)
+        for ordinals, group in by_pattern.items():
+            slots = slide(gathered, channel, measures, ordinals, group, analysis_bits(span))
+            parts.append(expand_slots(slots, channel, ordinals))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def build_matrix(

@@ -167,6 +167,82 @@ def test_several_months_equal_single_months(spark, concept, identity):
     assert ordered(together) == sorted(singles, key=repr) and len(singles) >= 10
 
 
+RULED = tuple(Measure(n, MTO) for n in ("X_MTO_T", "X_MTO_ANTMAX_T", "X_MTO_ANTMIN_T", "X_MTO_U")) + (Measure("X_CTD_T", CTD), Measure("X_FLG_T", FLG))
+
+
+def moving_panel(spark, seed=5, customers=40, months=tuple(range(202301, 202313))):
+    """Customers that merge, split, go missing and are anonymous, in a panel with NULLs and repeated rows."""
+    import random
+
+    rnd = random.Random(seed)
+    rows = [
+        (m, rnd.choice([f"U{c}", f"U{c // 2}", "U1"]), rnd.choice([f"P{c}", f"P{c}", "."]),
+         *(rnd.choice([None, float(rnd.randint(-9, 9))]) for _ in range(5)), rnd.choice([None, 0, 1]))
+        for m in months for c in range(customers) for _ in range(rnd.choice([0, 1, 1, 2]))
+    ]
+    schema = "codmes int, codunicocli string, codinternocomputacional string, " + ", ".join(f"{m.name} double" for m in RULED[:-1])
+    ids = [
+        (m, f"U{c if rnd.random() < 0.7 else c // 3}", f"P{c}", f"P{c if rnd.random() < 0.8 else c // 2}")
+        for m in months for c in range(customers) if rnd.random() < 0.95
+    ]
+    return spark.createDataFrame(rows, schema + ", X_FLG_T int"), spark.createDataFrame(ids, IDENTITY)
+
+
+@pytest.mark.parametrize(("span", "duplicates"), [(24, "raise"), (3, "raise"), (24, "multiply")])
+def test_sliding_months_equal_single_months(spark, monkeypatch, span, duplicates):
+    """Identities change between the snapshots, so months have several states that merge by every rule."""
+    from featmatrix.plans import matrix
+
+    monkeypatch.setattr(matrix, "SPAN_MONTHS", span)
+    concept, identity = moving_panel(spark)
+    if duplicates == "multiply":
+        identity = identity.unionByName(identity.where("codinternocomputacional like '%3'").withColumn("codunicocli", F.lit("U3")))
+    channel = tiny_channel(measures=RULED)
+    months = [202312, 202311, 202308, 202305]
+    ordered = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    together = ordered(build_features(concept, identity, channel, months, duplicates=duplicates, drop_null_keys=False))
+    singles = [row for m in months for row in ordered(build_features(concept, identity, channel, [m], duplicates=duplicates, drop_null_keys=False))]
+    assert together == sorted(singles, key=repr) and len(singles) > 60
+
+
+def test_a_row_is_looked_up_once_and_copied_per_different_answer_only(spark):
+    from featmatrix.operators.identity import analysis_bits, resolve_spans
+    from featmatrix.plans.sliding import _window_bits, month_states
+
+    concept, identity = moving_panel(spark)
+    months = [202307, 202308, 202309, 202310, 202311, 202312]
+    bits = analysis_bits(months)
+    stable = identity.where("codmes = 202312").drop("codmes")
+    same = stable.crossJoin(spark.createDataFrame([(m,) for m in months], "codmes int"))
+    for snapshots, most in ((same, 1), (identity, 6)):
+        named = snapshots.withColumnRenamed("codmes", "codmesanalisis")
+        spans = resolve_spans(concept, named, bits, _window_bits(F.col("codmes"), bits), "join")
+        assert (spans.count() == concept.count()) if most == 1 else concept.count() < spans.count() < 4 * concept.count()
+    states = month_states(concept, same, tiny_channel(measures=RULED), months)
+    distinct = states.select("codmes", "codunicocli", "codinternocomputacional").distinct().count()
+    assert states.count() == distinct  # one state for each identity and month
+    with pytest.raises(ValueError, match="62"):
+        analysis_bits(range(1, 64))
+
+
+def test_sliding_plan_has_the_exchanges_of_one_month(spark, plan_of):
+    """Lookup, consolidation, slots: as many exchanges of the panel for twelve analysis months as for one."""
+    concept, identity = moving_panel(spark)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = [
+            plan_of(build_features(concept, identity, tiny_channel(measures=RULED), months, present=range(202301, 202313)), "simple")
+            for months in ([202312], [202312, 202311, 202310])
+        ]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    panel = [[x for x in p.splitlines() if "Exchange hashpartitioning(codunicocli" in x or "Exchange hashpartitioning(_lookup_key" in x] for p in plans]
+    assert plans[1].count("Scan ExistingRDD[codmes") <= 3 + plans[0].count("Scan ExistingRDD[codmes")
+    assert panel[0] and "Window" not in plans[1] and "Python" not in plans[1]
+
+
 def test_classify():
     got = classify(["POS_MTO_TRX_G01", "POS_FLG_TRX_G01", "CODMES", "CAN_MTO_X"], "POS")
     assert got == (Measure("POS_MTO_TRX_G01", "MTO"), Measure("POS_FLG_TRX_G01", "FLG"))
@@ -187,7 +263,7 @@ def test_full_width_plan_is_small(spark, plan_of):
     from featmatrix.plans.matrix import consolidated_panel
 
     identity = spark.createDataFrame([], IDENTITY)
-    rows = consolidated_panel(concept, identity, channel, [202412])
+    rows = consolidated_panel(concept, identity, channel, 202412)
     df = expand_matrix(rows, channel, tuple(range(1, 13)), 202412)
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
