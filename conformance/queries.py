@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +28,10 @@ from featmatrix.operators.metadata import meta_find, meta_groups, meta_lengths,
 from featmatrix.operators.trailing import expand_specs, trailing_by_window, trailing_matrix
 from featmatrix.plans.channels import agent_channel, atm_channel, pos_channel
 from featmatrix.plans.matrix import build_matrix
+from featmatrix.plans.pipeline import SESSION_OPTIONS, RunConfig, run_backfill
+from featmatrix.plans.refresh import refresh_month
 from featmatrix.sources import sinks
-from featmatrix.sources.tables import measure_rows, read_identity, read_months, read_partition, read_run_params, read_table
+from featmatrix.sources.tables import measure_rows, measures_for, read_identity, read_months, read_partition, read_run_params, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -523,25 +528,36 @@ def der_flag_u1m(spark, sf):
     return exactly_n(_features(spark, sf, specs), {"c_flg_p1_U1M": 1})
 
 
-# Fixed value: how the SHA-512 of the prefix and "." begins.
-ANONYMOUS_KEY = "0daf56d58498b9fb7d8fc66038e24370"
-
-
 @query(
     "der_party_key",
-    f"""with {S.panel(sentinels=True)} select trim(codinternocomputacional) as party, count(*) as n_rows, 1::bigint as n_keys,
-128 as key_length, trim(codinternocomputacional) = '.' as is_known_key from panel group by 1""",
+    f"""with {S.panel(sentinels=True)} select codmes, codunicocli, trim(codinternocomputacional) as party, 128 as key_length,
+true as same_key from panel""",
 )
 def der_party_key(spark, sf):
-    """The oracle engine has no SHA-512, so: one key per trimmed party, its length, and the known key of one party."""
+    """The oracle engine has no SHA-512, so every key is compared whole with that of another library."""
     rows = A.orders_panel(spark, sf, sentinels=True)
-    keyed = rows.select(F.trim("codinternocomputacional").alias("party"), party_key(F.col("codinternocomputacional")).alias("key"))
-    return keyed.groupBy("party").agg(
-        F.count("*").alias("n_rows"),
-        F.countDistinct("key").alias("n_keys"),
-        F.max(F.length("key")).alias("key_length"),
-        F.bool_and(F.col("key").startswith(ANONYMOUS_KEY)).alias("is_known_key"),
-    )
+    keyed = rows.select("codmes", "codunicocli", F.trim("codinternocomputacional").alias("party"), party_key(F.col("codinternocomputacional")).alias("key"))
+
+    def again(batches):
+        for batch in batches:
+            own = [hashlib.sha512(f"0001{party}".encode()).hexdigest() for party in batch["party"]]
+            yield batch.assign(same_key=batch["key"].eq(own), key_length=batch["key"].str.len()).drop(columns="key")
+
+    return keyed.mapInPandas(again, "codmes int, codunicocli string, party string, same_key boolean, key_length int")
+
+
+@query(
+    "src_measure_list",
+    f"with {GROUPS_SQL} select distinct upper(trim(nomconcepto)) as measure from g where upper(nomgrupo) = 'P2' and upper(trim(nomtablaconcepto)) = 'HM_CONCEPTO_ECONOMY'",
+)
+def src_measure_list(spark, sf):
+    """The list that a run checks its layout against; a group without measures is an error."""
+    groups = A.measure_groups(spark, sf).withColumn("nomconcepto", F.concat(F.lit(" "), "nomconcepto"))
+    try:
+        measures_for(groups, "P2", "no such table")
+    except ValueError:
+        return spark.createDataFrame([(m,) for m in measures_for(groups, " p2", "hm_concepto_economy ")], "measure string")
+    raise AssertionError("a group without measures must raise")
 
 
 # Metadata
@@ -808,6 +824,74 @@ matrix_query(
 )
 
 
+# Runs that write
+
+
+def _agent_run(spark, sf, months, concept=None) -> RunConfig:
+    """Catalog tables for a run of the agent channel: the whole panel, every snapshot of the analysis months, the run parameters."""
+    names = {t: _fresh(t) for t in ("concept", "identity", "params", "matrix")}
+    panel = A.agent_panel(spark, sf) if concept is None else concept
+    sinks.write_matrix(panel, names["concept"])
+    A.identity_map(spark, sf, months).write.saveAsTable(names["identity"])
+    spark.createDataFrame([(float(min(months)), float(max(months)))], "codmesinicio double, codmesfin double").write.saveAsTable(names["params"])
+    return RunConfig(
+        Namespace(spark.catalog.currentDatabase()), agent_channel(), names["concept"], RUN_DATE, names["identity"], names["params"],
+        target_table=names["matrix"], ts=RUN_TIME,
+    )
+
+
+@contextmanager
+def _options_kept(spark):
+    """Runs set options of their session; the other queries go on with theirs."""
+    before = {option: spark.conf.get(option, None) for option in SESSION_OPTIONS}
+    try:
+        yield
+    finally:
+        for option, value in before.items():
+            spark.conf.unset(option) if value is None else spark.conf.set(option, value)
+
+
+def _written(spark, cfg: RunConfig) -> DataFrame:
+    matrix = spark.table(cfg.target).drop(*NOT_IN_ORACLE)
+    return C.cast_cols(matrix, {"fecactualizacionregistro": "timestamp_ntz"})
+
+
+@query("pip_run_backfill", S.matrix("agent", BACKFILL))
+def pip_run_backfill(spark, sf):
+    """All months of the run parameters in one job, written to the target and read back."""
+    cfg = _agent_run(spark, sf, BACKFILL)
+    with _options_kept(spark):
+        run_backfill(spark, cfg, one_job=True)
+    return _written(spark, cfg)
+
+
+@query("pip_run_month", S.matrix("agent", (200011,)))
+def pip_run_month(spark, sf):
+    """Equal run parameters: the month closed on the run date, which is the one before, written by itself."""
+    cfg = replace(_agent_run(spark, sf, (200011,)), run_date="2000-12-05")
+    with _options_kept(spark):
+        run_backfill(spark, cfg)
+    return _written(spark, cfg).withColumn("fecrutina", F.lit(RUN_DATE).cast("date"))
+
+
+@query("pip_late_data", S.matrix("agent"))
+def pip_late_data(spark, sf):
+    """A month computed before some customers' rows arrived, others' were corrected and some withdrawn; then brought up to date."""
+    panel = A.agent_panel(spark, sf)
+    n = F.crc32(F.col("codunicocli").cast("binary")) % 40
+    early = panel.where(~((n == 1) & (F.col("codmes") == 200009))).withColumn(
+        "CAN_MTO_TMO_AGT", F.when(n == 2, F.col("CAN_MTO_TMO_AGT") + 100).otherwise(F.col("CAN_MTO_TMO_AGT"))
+    )
+    withdrawn = panel.where(n == 3).withColumn("codmes", F.lit(200011)).dropDuplicates(["codunicocli"])
+    cfg = _agent_run(spark, sf, (MONTH,), early.unionByName(withdrawn))
+    late = replace(cfg, concept_table=_fresh("concept"))
+    sinks.write_matrix(panel, late.concept_table)
+    with _options_kept(spark):
+        refresh_month(spark, cfg, MONTH)
+        refresh_month(spark, late, MONTH)
+    return _written(spark, late)
+
+
 # Windows of other months, several at once, and with months missing
 
 SPREAD = expand_specs(["mto_tot", "ctd_tot"], ("avg", "max", "min", "sum"), (-11, -2, 0), (0,))
@@ -922,6 +1006,25 @@ def snk_listed_months(spark, sf):
     return spark.table(table)
 
 
+@stored_query("snk_swap_months", "codmes <> 200012", "codmes in (200010, 200011)", "case when codmes = 200011 then mto_tot + 1 else mto_tot end")
+def snk_swap_months(spark, sf):
+    """The same replacement in two steps, computed from the months that it replaces."""
+    table = _fresh("swap")
+    sinks.write_matrix(_stored_panel(spark, sf), table)
+    again = spark.table(table).where("codmes = 200011").withColumn("mto_tot", F.col("mto_tot") + 1)
+    sinks.swap_months(again, table, [200011, 200012])
+    return spark.table(table)
+
+
+@query("snk_stage_path", _stored_sql("true"))
+def snk_stage_path(spark, sf):
+    """Staged to a folder beside the catalog's tables, and checkpointed where the session has a folder for that."""
+    table = _fresh("path")
+    staged = sinks.stage_path(_stored_panel(spark, sf), f"{spark.conf.get('spark.sql.warehouse.dir')}/{table}")
+    durable = spark.sparkContext.getCheckpointDir() is not None
+    return sinks.materialise(staged, durable)
+
+
 @stored_query("snk_stage", "true", "codmes between 200010 and 200012")
 def snk_stage(spark, sf):
     """A stage table, dropped again after its rows were staged once more, and materialised at the end."""

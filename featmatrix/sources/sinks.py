@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator, Sequence
 from contextlib import contextmanager
 
@@ -54,9 +55,7 @@ def write_matrix(
     listed = [] if months is None else sorted({int(m) for m in months})
     written = Observation() if listed else None
     if months is not None:
-        month = F.col(partition)
-        message = F.concat(F.lit("a row of a month that is not listed: "), F.coalesce(month.cast("string"), F.lit("null")))
-        df = df.where(F.coalesce(month.isin(listed), F.lit(False)) | F.raise_error(message).cast("boolean"))
+        df = _listed_only(df, partition, listed)
     if written is not None:
         df = df.observe(written, *(F.count_if(F.col(partition) == m).alias(f"m{m}") for m in listed))
     if spark.catalog.tableExists(table):
@@ -73,6 +72,99 @@ def write_matrix(
         df.write.format(fmt).option("compression", "snappy").partitionBy(partition).saveAsTable(table)
 
 
+def _listed_only(df: DataFrame, partition: str, listed: Sequence[int]) -> DataFrame:
+    month = F.col(partition)
+    message = F.concat(F.lit("a row of a month that is not listed: "), F.coalesce(month.cast("string"), F.lit("null")))
+    return df.where(F.coalesce(month.isin(listed), F.lit(False)) | F.raise_error(message).cast("boolean"))
+
+
+def partition_location(spark: SparkSession, table: str, month: int | str, partition: str = KEYS.period) -> str | None:
+    """Folder that the catalog has for a month, None without such a partition.
+
+    After ``swap_months`` a month need not lie where its name says, so readers by path ask here.
+    """
+    names = {r[0] for r in spark.sql(f"SHOW PARTITIONS {table} PARTITION ({partition} = {int(month)})").collect()}
+    if not names:
+        return None
+    rows = spark.sql(f"DESCRIBE FORMATTED {table} PARTITION ({partition} = {int(month)})")
+    return rows.where("col_name = 'Location'").first()["data_type"]
+
+
+def _table_location(spark: SparkSession, table: str) -> str:
+    return spark.sql(f"DESCRIBE FORMATTED {table}").where("col_name = 'Location'").first()["data_type"]
+
+
+def _point(spark: SparkSession, table: str, partition: str, month: int, folder: str | None, exists: bool) -> None:
+    """Let the catalog find a month in a folder; without a folder the month is forgotten."""
+    spec = f"PARTITION ({partition} = {month})"
+    if folder is None:
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {spec}")
+    elif exists:
+        spark.sql(f"ALTER TABLE {table} {spec} SET LOCATION '{folder}'")
+    else:
+        spark.sql(f"ALTER TABLE {table} ADD {spec} LOCATION '{folder}'")
+
+
+def _folder(spark: SparkSession, path: str):
+    """A path and the file system that it names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    system, where = _folder(spark, path)
+    system.delete(where, True)
+
+
+def swap_months(
+    df: DataFrame, table: str, months: Iterable[int | str], partition: str = KEYS.period, fmt: str = "parquet",
+    keep_old: bool = False,
+) -> dict[int, str]:
+    """Replace the listed months of a catalogued table in two steps, so that no reader meets half a replacement.
+
+    First all rows are written to fresh folders that nobody reads. Only then does the catalog point the months there,
+    which moves no data; if that fails on the way, the months already moved are pointed back. Whatever fails, every
+    month is whole, and before the second step all of them are as they were. A listed month without rows is
+    cleared; a row of any other month is an error. Since nothing is overwritten, ``df`` may read the same months.
+    Old folders go last, unless ``keep_old``. Returns the new folders; path readers use ``partition_location``.
+    """
+    spark = df.sparkSession
+    listed = sorted({int(m) for m in months})
+    columns = [c for c in df.columns if c.lower() != partition.lower()] + [partition]
+    if [c.lower() for c in spark.table(table).columns] != [c.lower() for c in columns]:
+        raise ValueError(f"columns of {table} differ from the columns to write")
+    fresh = f"{_table_location(spark, table)}/_swap/{uuid.uuid4().hex}"
+    written = Observation()
+    counts = (F.count_if(F.col(partition) == m).alias(f"m{m}") for m in listed)
+    rows = _listed_only(df.select(*columns), partition, listed).observe(written, F.count(F.lit(1)).alias("all"), *counts)
+    rows.write.format(fmt).option("compression", "snappy").partitionBy(partition).save(fresh)
+
+    before = {m: partition_location(spark, table, m, partition) for m in listed}
+    filled = {m: f"{fresh}/{partition}={m}" for m in listed if written.get.get(f"m{m}")}
+    moved: list[int] = []
+    try:
+        for m in listed:
+            if m in filled or before[m]:
+                folder = f"{fresh}/{partition}={m}"
+                system, where = _folder(spark, folder)
+                system.mkdirs(where)  # a cleared month gets an empty one
+                moved.append(m)
+                _point(spark, table, partition, m, folder, before[m] is not None)
+    except BaseException:
+        for m in reversed(moved):
+            _point(spark, table, partition, m, before[m], True)
+        raise
+    for m in listed:
+        if m not in filled and before[m]:
+            _point(spark, table, partition, m, None, True)
+    spark.catalog.refreshTable(table)
+    if not keep_old:
+        for old in before.values():
+            if old:
+                delete_folder(spark, old)
+    return filled
+
+
 def stage_path(df: DataFrame, path: str, fmt: str = "parquet") -> DataFrame:
     """Write to a shared path and read back, which also cuts the lineage."""
     df.write.format(fmt).mode("overwrite").save(path)
@@ -92,9 +184,12 @@ def stage_table(
     return df.sparkSession.table(name)
 
 
-def drop_stage(spark: SparkSession, *names: str) -> None:
+def drop_stage(spark: SparkSession, *names: str, folders: Iterable[str] = ()) -> None:
+    """Drop stage tables, and the ``folders`` of external ones or of tables that the catalog has forgotten."""
     for name in names:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+    for path in folders:
+        delete_folder(spark, path)
 
 
 def materialise(df: DataFrame, durable: bool = False) -> DataFrame:

@@ -98,3 +98,74 @@ def test_materialise(panel):
     cached.unpersist()
     durable = sinks.materialise(panel, durable=True)
     assert durable.count() == 60 and not durable.is_cached
+
+
+def months_of(spark, table):
+    return {r.codmes: (r.n, r.v) for r in spark.table(table).groupBy("codmes").agg(F.count("*").alias("n"), F.sum("v").alias("v")).collect()}
+
+
+def test_swap_replaces_clears_and_adds_months(spark, panel):
+    spark.sql("DROP TABLE IF EXISTS swap_a")
+    sinks.write_matrix(panel.where("codmes < 202405"), "swap_a")
+    before = months_of(spark, "swap_a")
+    old = sinks.partition_location(spark, "swap_a", 202402)
+    again = spark.table("swap_a").where("codmes = 202402").withColumn("v", F.col("v") + 1)  # reads what it replaces
+    new = panel.where("codmes = 202407")
+    moved = sinks.swap_months(again.unionByName(new), "swap_a", [202402, 202403, "202407"])
+    after = months_of(spark, "swap_a")
+    assert set(moved) == {202402, 202407} and set(after) == {202401, 202402, 202404, 202407}
+    assert after[202402] == (5, before[202402][1] + 5) and after[202401] == before[202401]
+    where = sinks.partition_location(spark, "swap_a", 202402)
+    assert where != old and spark.read.parquet(where).count() == 5
+    assert sinks.partition_location(spark, "swap_a", 202403) is None
+    system, path = sinks._folder(spark, old)
+    assert not system.exists(path)
+    # a swapped month is an ordinary partition to later writes
+    sinks.write_matrix(panel.where("codmes = 202402"), "swap_a")
+    assert months_of(spark, "swap_a") == {**after, 202402: before[202402]}
+
+
+@pytest.mark.parametrize("failing", [0, 1, 2])
+def test_a_failure_between_the_steps_leaves_the_old_months_whole(spark, panel, monkeypatch, failing):
+    """Before the catalog is asked, and after it has moved one or two of three months."""
+    spark.sql("DROP TABLE IF EXISTS swap_b")
+    sinks.write_matrix(panel.where("codmes < 202405"), "swap_b")
+    before = months_of(spark, "swap_b")
+    point, calls = sinks._point, []
+
+    def broken(spark, table, partition, month, folder, exists):
+        calls.append(month)
+        if len(calls) == failing + 1:
+            raise OSError("catalog is gone")
+        point(spark, table, partition, month, folder, exists)
+
+    monkeypatch.setattr(sinks, "_point", broken)
+    changed = panel.where("codmes in (202401, 202402)").withColumn("v", -F.col("v"))
+    with pytest.raises(OSError, match="gone"):
+        sinks.swap_months(changed, "swap_b", [202401, 202402, 202403])
+    monkeypatch.undo()
+    assert months_of(spark, "swap_b") == before
+    sinks.swap_months(changed, "swap_b", [202401, 202402, 202403])
+    after = months_of(spark, "swap_b")
+    assert after[202401] == (5, -before[202401][1]) and 202403 not in after and after[202404] == before[202404]
+
+
+def test_swap_refuses_other_months_and_columns(spark, panel):
+    from pyspark.errors import PySparkException
+
+    spark.sql("DROP TABLE IF EXISTS swap_c")
+    sinks.write_matrix(panel, "swap_c")
+    before = months_of(spark, "swap_c")
+    with pytest.raises(PySparkException, match="not listed"):
+        sinks.swap_months(panel.where("codmes <= 202402"), "swap_c", [202401])
+    with pytest.raises(ValueError, match="columns"):
+        sinks.swap_months(panel.drop("v"), "swap_c", [202401])
+    assert months_of(spark, "swap_c") == before
+
+
+def test_drop_stage_takes_folders_that_the_catalog_has_forgotten(spark, panel, tmp_path):
+    path = str(tmp_path / "left_over")
+    sinks.stage_table(panel, "stage_x", path=path)
+    sinks.drop_stage(spark, "stage_x", folders=[path])
+    sinks.drop_stage(spark, "stage_x")
+    assert not (tmp_path / "left_over").exists()
