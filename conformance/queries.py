@@ -20,18 +20,23 @@ from featmatrix.functions import periods as P
 from featmatrix.operators import columns as C
 from featmatrix.operators import library as L
 from featmatrix.operators import parity as PAR
-from featmatrix.operators.densify import assert_has_month, at_analysis_month, densify
+from featmatrix.operators.densify import assert_has_month, at_analysis_month, densify, distinct_periods
 from featmatrix.operators.derive import exactly_n, growth, min_gate, party_key
-from featmatrix.operators.identity import base_client, consolidate, resolve_identity
-from featmatrix.operators.joins import combine_blocks
+from featmatrix.operators.digest_tree import differing_nodes, tree_cell_diff, trees
+from featmatrix.operators.identity import base_client, consolidate, resolve_identity, with_lookup_key
+from featmatrix.operators.joins import LOOKUP_KEY, combine_blocks
 from featmatrix.operators.metadata import meta_find, meta_groups, meta_lengths, meta_pairs
+from featmatrix.operators.sketches import (
+    difference_sketches, error_distribution, key_counts, key_sketches, merge_difference_sketches, merge_key_sketches,
+)
 from featmatrix.operators.trailing import expand_specs, trailing_by_window, trailing_matrix
 from featmatrix.plans.channels import agent_channel, atm_channel, pos_channel
-from featmatrix.plans.matrix import build_matrix
+from featmatrix.plans.matrix import build_matrix, features_of_states
 from featmatrix.plans.pipeline import SESSION_OPTIONS, RunConfig, run_backfill
 from featmatrix.plans.refresh import refresh_month
+from featmatrix.plans.sliding import month_states
 from featmatrix.sources import sinks
-from featmatrix.sources.tables import measure_rows, measures_for, read_identity, read_months, read_partition, read_run_params, read_table
+from featmatrix.sources.tables import listed_periods, measure_rows, measures_for, read_identity, read_months, read_partition, read_run_params, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -694,6 +699,69 @@ def par_cells(spark, sf):
     return _cells(spark, sf).select(*PARITY_KEYS, "column_name", "abs_diff")
 
 
+@query("par_cells_tree", f"with {CELLS_SQL} select * from cells")
+def par_cells_tree(spark, sf):
+    """The same cells, from the buckets whose digests differ."""
+    a, b = _versions(spark, sf)
+    cells = tree_cell_diff(a, b, PARITY_KEYS, eps_by_column={"mto_tot": 1.0})
+    return cells.select(*PARITY_KEYS, "column_name", "abs_diff")
+
+
+@query(
+    "par_tree_nodes",
+    f"""with {VERSIONS_SQL}, t as (select count(*) as n from a), u as (select count(*) as n from b)
+select 0 as level, 1::bigint as nodes, t.n as rows_a, u.n as rows_b from t, u""",
+)
+def par_tree_nodes(spark, sf):
+    """How much of the tree differs: the root, over all rows; a copy of a table has no differing node at all."""
+    a, b = _versions(spark, sf)
+    same = differing_nodes(*trees(a, a.repartition(3), PARITY_KEYS))
+    nodes = differing_nodes(*trees(a, b, PARITY_KEYS)).unionByName(same).where("level = 0")
+    sums = (F.sum(c).alias(c) for c in ("rows_a", "rows_b"))
+    return nodes.groupBy("level").agg(F.count(F.lit(1)).alias("nodes"), *sums)
+
+
+FRACTIONS = (0.1, 0.5, 0.9, 0.99)
+
+
+@query(
+    "par_error_quantiles",
+    f"""with {CELLS_SQL}, f(fraction) as (values {", ".join(f"({f}::double)" for f in FRACTIONS)})
+select column_name, fraction, count(*) as n_cells, max(abs_diff) as max_diff, avg(abs_diff) as mean_diff, case when count(abs_diff) > 0 then true end as within
+from cells, f group by column_name, fraction""",
+)
+def par_error_quantiles(spark, sf):
+    """Sketches per month, merged; every quantile is held against the exact ranks of its column."""
+    cells = _cells(spark, sf)
+    merged = merge_difference_sketches(difference_sketches(cells, ["codmes", "column_name"]))
+    found = error_distribution(merged, FRACTIONS)
+    ranks = cells.join(F.broadcast(found.select("column_name", "fraction", "quantile", "rank_error")), "column_name").groupBy("column_name", "fraction").agg(
+        (F.try_divide(F.count_if(F.col("abs_diff") < F.col("quantile")), F.count("abs_diff")) - F.max("rank_error")).alias("low"),
+        (F.try_divide(F.count_if(F.col("abs_diff") <= F.col("quantile")), F.count("abs_diff")) + F.max("rank_error")).alias("high"),
+    )
+    within = F.col("fraction").between(F.col("low"), F.col("high")).alias("within")
+    return found.join(ranks, ["column_name", "fraction"]).select("column_name", "fraction", "n_cells", "max_diff", "mean_diff", within)
+
+
+@query(
+    "par_key_counts",
+    f"""with {S.panel()}, each as (select 'month' as part, codmes, count(*) as row_count, count(distinct codunicocli) as exact from panel group by codmes)
+select *, true as within from each union all
+select 'all', null, count(*), count(distinct codunicocli), true from panel""",
+)
+def par_key_counts(spark, sf):
+    """Distinct customers per month and over all months, by merged sketches, next to the exact counts."""
+    panel = A.orders_panel(spark, sf)
+    parts = key_sketches(panel, ["codunicocli"], ["codmes"], "month")
+    whole = merge_key_sketches(parts.withColumns({"stage": F.lit("all"), "codmes": F.lit(None).cast("int")}), ["stage", "codmes"])
+    counted = key_counts(parts.unionByName(whole)).withColumnRenamed("stage", "part")
+    by_month = panel.groupBy("codmes").agg(F.countDistinct("codunicocli").alias("exact"))
+    exact = by_month.unionByName(panel.agg(F.lit(None).cast("int").alias("codmes"), F.countDistinct("codunicocli").alias("exact")))
+    met = counted.join(exact.withColumnRenamed("codmes", "_m"), F.col("codmes").eqNullSafe(F.col("_m")))
+    near = F.abs(F.col("key_count") - F.col("exact")) <= F.greatest(3 * F.col("relative_error") * F.col("exact"), F.lit(1))
+    return met.select("part", "codmes", "row_count", "exact", near.alias("within"))
+
+
 @query(
     "par_top_diffs",
     f"""with {CELLS_SQL} select * from (select cells.*, cast(row_number() over (partition by column_name
@@ -892,6 +960,41 @@ def pip_late_data(spark, sf):
     return _written(spark, late)
 
 
+@query("joi_stored_lookup", _identity_oracle("group"))
+def joi_stored_lookup(spark, sf):
+    """The panel is stored by its lookup key, and looked up where it lies."""
+    stored = sinks.stage_table(with_lookup_key(_identity_panel(spark, sf)), _fresh("keyed"), None, bucket_by=[LOOKUP_KEY])
+    return resolve_identity(stored, A.identity_map(spark, sf), "group")
+
+
+@query(
+    "pip_stored_states",
+    S.matrix("agent", BACKFILL).replace("date '2001-01-05' as fecrutina", "null as a").split(", null as a")[0].replace(
+        "select rolled.cuc as codunicocli, rolled.cuc as codclaveunicocli,", "select rolled.cuc as codunicocli,"
+    ) + " from rolled join activity using (am, cuc, cic) where rolled.codmes = rolled.am",
+)
+def pip_stored_states(spark, sf):
+    """Month states are stored by customer once; every analysis month is then a scan of them."""
+    channel, span = agent_channel(), int(P.shift_month(min(BACKFILL), -11))
+    concept = A.agent_panel(spark, sf, months=(span, max(BACKFILL)))
+    states = month_states(concept, A.identity_map(spark, sf, BACKFILL), channel, BACKFILL)
+    named = states.where("codunicocli is not null and codinternocomputacional is not null")
+    stored = sinks.stage_table(named, _fresh("states"), "codmes", bucket_by=channel.keys.ids)
+    present = distinct_periods(concept, "codmes")
+    months = [features_of_states(stored, channel, [m], BACKFILL, present, stored=True) for m in BACKFILL]
+    return months[0].unionByName(months[1]).unionByName(months[2])
+
+
+@query("src_listed_months", f"with {S.panel()} select distinct codmes from panel")
+def src_listed_months(spark, sf):
+    """Months of a stored table from the catalog; one that is not laid out by month has to be read."""
+    table, flat = _fresh("listed"), _fresh("flat")
+    sinks.write_matrix(_stored_panel(spark, sf), table)
+    sinks.stage_table(spark.table(table), flat, None)
+    assert listed_periods(spark, flat) is None
+    return spark.createDataFrame([(m,) for m in listed_periods(spark, table)], "codmes int")
+
+
 # Windows of other months, several at once, and with months missing
 
 SPREAD = expand_specs(["mto_tot", "ctd_tot"], ("avg", "max", "min", "sum"), (-11, -2, 0), (0,))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featmatrix.config import ANONYMOUS_ID, KEYS, PARTY_WIDTH, UNKNOWN_CLIENT, KeyColumns
-from featmatrix.operators.joins import broadcast_if_small, lookup_join
+from featmatrix.operators.joins import broadcast_if_small, keyed_for_lookup, lookup_join
 
 _BY_PARTY, _BY_CLIENT = "P", "C"
 
@@ -120,6 +120,15 @@ def resolve_identity(
     return found.select(rest, *ids.replaced(F.col("new_client"), F.col("new_party")))
 
 
+def with_lookup_key(panel: DataFrame, trim: str = "group", keys: KeyColumns = KEYS) -> DataFrame:
+    """The panel with its lookup key, to be stored by it (``stage_table`` with ``bucket_by=[LOOKUP_KEY]``).
+
+    A stored panel is looked up for month after month without moving its rows; only the identity side is
+    shuffled. Store one panel per way of trimming.
+    """
+    return keyed_for_lookup(panel, _Ids(trim, keys).lookup)
+
+
 class _Ids:
     """What a panel row is looked up by, and how an answer replaces its ids."""
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 # Starts the join key of rows that need no match; no id starts with it.
 UNMATCHED = "\u0000"
+LOOKUP_KEY = "_lookup_key"
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int | None) -> DataFrame:
@@ -22,6 +23,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int | None) -> DataFrame:
     return F.broadcast(df)
 
 
+def keyed_for_lookup(left: DataFrame, left_key: Column) -> DataFrame:
+    """``left`` with the key that ``lookup_join`` joins on; a table stored by it (``LOOKUP_KEY``) is looked up as it lies."""
+    content = F.expr("xxhash64(spark_partition_id(), *)")
+    spread = F.concat(F.lit(UNMATCHED), content.cast("string"))
+    return left.select("*", F.coalesce(left_key, spread).alias(LOOKUP_KEY))
+
+
 def lookup_join(left: DataFrame, right: DataFrame, left_key: Column, right_key: str) -> DataFrame:
     """Left join on one nullable text key, where rows with a NULL key need no match.
 
@@ -30,11 +38,8 @@ def lookup_join(left: DataFrame, right: DataFrame, left_key: Column, right_key:
     spread, and a retried task sends every row to the same place again. Other hot keys are left to the
     skew-join splitting of adaptive execution. Columns of ``right`` other than its key are added.
     """
-    key = "_lookup_key"
-    content = F.expr("xxhash64(spark_partition_id(), *)")
-    spread = F.concat(F.lit(UNMATCHED), content.cast("string"))
-    keyed = left.select("*", F.coalesce(left_key, spread).alias(key))
-    return keyed.join(right.withColumnRenamed(right_key, key), key, "left").drop(key)
+    keyed = left if LOOKUP_KEY in left.columns else keyed_for_lookup(left, left_key)
+    return keyed.join(right.withColumnRenamed(right_key, LOOKUP_KEY), LOOKUP_KEY, "left").drop(LOOKUP_KEY)
 
 
 def combine_blocks(blocks: Sequence[DataFrame], keys: Sequence[str], how: str = "inner") -> DataFrame:

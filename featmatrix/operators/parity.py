@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from featmatrix.config import KEYS
 
 HASH_SPREAD = 64
+#: Size of the sketch of distinct keys in a profile, as a power of two.
+KEY_SKETCH = 14
 
 
 def schema_diff(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -55,6 +57,38 @@ def _exact_type(x: T.DataType, y: T.DataType) -> str:
     return f"decimal(38,{scale})"
 
 
+class PairedColumns:
+    """The columns that two tables share besides their keys, by how they are compared: pairs of fields."""
+
+    def __init__(self, a: DataFrame, b: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None) -> None:
+        named = {f.name.lower(): f for f in b.schema.fields}
+        wanted = {c.lower() for c in (columns or a.columns)} - {k.lower() for k in keys}
+        pairs = [(f, named[f.name.lower()]) for f in a.schema.fields if f.name.lower() in wanted and f.name.lower() in named]
+        if not pairs:
+            raise ValueError("the two sides share no columns besides the keys")
+        self.exact = [(x, y) for x, y in pairs if _is_exact(x) and _is_exact(y)]
+        self.numbers = [(x, y) for x, y in pairs if _is_number(x) and _is_number(y) and not (_is_exact(x) and _is_exact(y))]
+        self.texts = [(x, y) for x, y in pairs if not (_is_number(x) and _is_number(y))]
+
+    @staticmethod
+    def _col(pair: tuple, which: int) -> Column:
+        return F.col(f"`{pair[which].name}`")
+
+    def exact_values(self, which: int) -> list[Column]:
+        return [self._col(p, which).cast(_exact_type(p[0].dataType, p[1].dataType)).cast("string") for p in self.exact]
+
+    def number_values(self, which: int) -> list[Column]:
+        return [self._col(p, which).cast("double") for p in self.numbers]
+
+    def text_values(self, which: int) -> list[Column]:
+        return [F.trim(self._col(p, which).cast("string")) for p in self.texts]
+
+    def normal(self, which: int) -> list[Column]:
+        """Values of one side in the form that both sides share; each NULL is followed by a mark of its own."""
+        values = [*self.exact_values(which), *self.number_values(which), *self.text_values(which)]
+        return [x for v in values for x in (v, v.isNull())]
+
+
 def cell_diff(
     a: DataFrame, b: DataFrame, keys: Sequence[str] = KEYS.matrix, eps: float = 0.0,
     eps_by_column: Mapping[str, float] | None = None, ignore_case: bool = False, columns: Sequence[str] | None = None,
@@ -67,24 +101,16 @@ def cell_diff(
     produce no intermediate rows and wide ones no wide expressions.
     """
     limits = eps_by_column or {}
-    named = {f.name.lower(): f for f in b.schema.fields}
-    wanted = {c.lower() for c in (columns or a.columns)} - {k.lower() for k in keys}
-    pairs = [(f, named[f.name.lower()]) for f in a.schema.fields if f.name.lower() in wanted and f.name.lower() in named]
-    if not pairs:
-        raise ValueError("the two sides share no columns besides the keys")
-    exact = [(x, y) for x, y in pairs if _is_exact(x) and _is_exact(y)]
-    numbers = [(x, y) for x, y in pairs if _is_number(x) and _is_number(y) and not (_is_exact(x) and _is_exact(y))]
-    texts = [(x, y) for x, y in pairs if not (_is_number(x) and _is_number(y))]
+    pairs = PairedColumns(a, b, keys, columns)
+    exact, numbers, texts = pairs.exact, pairs.numbers, pairs.texts
 
     def side(df: DataFrame, which: int) -> DataFrame:
-        col = lambda pair: F.col(f"`{pair[which].name}`")
-        exact_values = (col(p).cast(_exact_type(p[0].dataType, p[1].dataType)).cast("string") for p in exact)
         return df.select(
             *keys,
             F.lit(which).alias("_side"),
-            F.array(*(col(p).cast("double") for p in numbers)).cast("array<double>").alias("_n"),
-            F.array(*(F.trim(col(p).cast("string")) for p in texts)).cast("array<string>").alias("_t"),
-            F.array(*exact_values).cast("array<string>").alias("_e"),
+            F.array(*pairs.number_values(which)).cast("array<double>").alias("_n"),
+            F.array(*pairs.text_values(which)).cast("array<string>").alias("_t"),
+            F.array(*pairs.exact_values(which)).cast("array<string>").alias("_e"),
         )
 
     def names(group: list) -> Column:
@@ -182,9 +208,16 @@ def metric_sums(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = KEY
 
 
 def sample_keys(df: DataFrame, keys: Sequence[str] = KEYS.matrix, n: int = 100, seed: int = 42) -> DataFrame:
-    """``n`` keys chosen by a seeded SHA-256 of the key: the same keys on every run."""
-    seeded = df.select(*keys).distinct().withColumn("_seed", F.lit(seed))
-    return seeded.withColumn("_order", _digest([*keys, "_seed"])).orderBy("_order", *keys).limit(n).select(*keys)
+    """``n`` keys chosen by a seeded SHA-256 of the key: the same keys on every run.
+
+    A bottom-k by hash: every task keeps the keys with its ``n`` smallest hashes before anything is shuffled, then a
+    few tasks do, then one. Keys are never all sorted or made distinct.
+    """
+    hashed = df.select(*keys).withColumn("_seed", F.lit(seed)).withColumn("_order", _digest([*keys, "_seed"])).drop("_seed")
+    spread = hashed.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(HASH_SPREAD)))
+    smallest = F.dense_rank().over(Window.partitionBy("_part").orderBy("_order"))
+    leaders = spread.withColumn("_rank", smallest).where(F.col("_rank") <= n).select("_order", *keys).distinct()
+    return leaders.orderBy("_order", *keys).limit(n).select(*keys)
 
 
 def sample_diff(
@@ -211,7 +244,10 @@ def sample_diff(
 
 
 def diff_summary(cells: DataFrame) -> DataFrame:
-    """Distribution of the differences per column; the median is exact up to ten thousand distinct differences."""
+    """Distribution of the differences per column; the median is exact up to ten thousand distinct differences.
+
+    ``sketches`` has the form that merges over months and states its error.
+    """
     return cells.groupBy("column_name").agg(
         F.count(F.lit(1)).alias("n_cells"),
         F.max("abs_diff").alias("max_diff"),
@@ -231,22 +267,34 @@ def top_diffs(cells: DataFrame, n: int, keys: Sequence[str] = KEYS.matrix) -> Da
     return ranked.drop("_part", "_r")
 
 
-def profile(df: DataFrame, keys: Sequence[str] = KEYS.matrix) -> DataFrame:
+def profile(df: DataFrame, keys: Sequence[str] = KEYS.matrix, key_count: str = "exact") -> DataFrame:
     """One row per column: rows, distinct keys of the stage, NULL count and sum.
 
     Cells are aggregated by column name and combine map-side to one row per column and task, so a wide
-    table needs no wide aggregate. The key count is one number, counted first: a distinct count next to
-    other aggregates would group all of them by key.
+    table needs no wide aggregate. ``key_count`` is "exact", by a subquery over the keys alone, or "sketch", which counts
+    them in the same pass with the error that ``sketches.key_error`` states.
     """
+    if key_count not in ("exact", "sketch"):
+        raise ValueError(f"key_count must be exact or sketch, not {key_count!r}")
     fields = [f for f in df.schema.fields if f.name not in keys]
     numbers = [F.col(f.name).cast("double") if _is_number(f) else F.lit(None).cast("double") for f in fields]
+    names, empty, key = [F.lit(f.name) for f in fields], [F.col(f.name).isNull() for f in fields], F.lit(None).cast("long")
+    if key_count == "sketch":  # one more cell per row, with the key and without a name
+        names, empty, numbers = [*names, F.lit(None)], [*empty, F.lit(False)], [*numbers, F.lit(None).cast("double")]
+        key = F.xxhash64(*keys)
     cells = F.arrays_zip(
-        F.array(*(F.lit(f.name) for f in fields)).alias("column_name"),
-        F.array(*(F.col(f.name).isNull() for f in fields)).alias("empty"),
-        F.array(*numbers).alias("number"),
-    )
-    columns = df.select(F.inline(cells)).groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("row_count"), F.count_if("empty").alias("null_count"), F.sum("number").alias("total")
+        F.array(*names).alias("column_name"), F.array(*empty).alias("empty"), F.array(*numbers).alias("number"),
+        F.array(*[F.lit(None).cast("long")] * len(fields), *([key] if key_count == "sketch" else [])).alias("key"),
     )
-    key_count = df.select(*keys).distinct().count()
-    return columns.select("row_count", F.lit(key_count).cast("long").alias("key_count"), "column_name", "null_count", "total")
+    measures = [F.count(F.lit(1)).alias("row_count"), F.count_if("empty").alias("null_count"), F.sum("number").alias("total")]
+    if key_count == "sketch":
+        measures.append(F.hll_sketch_agg("key", KEY_SKETCH).alias("sketch"))
+    columns = df.select(F.inline(cells)).groupBy("column_name").agg(*measures)
+    if key_count == "sketch":
+        counted = F.when(F.col("column_name").isNull(), F.hll_sketch_estimate("sketch"))
+        everywhere = columns.withColumn("key_count", F.max(counted).over(Window.partitionBy(F.lit(1))))  # one row per column
+        columns = everywhere.where("column_name is not null")
+        keys_of = F.col("key_count")
+    else:
+        keys_of = df.select(*keys).distinct().agg(F.count(F.lit(1))).scalar()
+    return columns.select("row_count", keys_of.alias("key_count"), "column_name", "null_count", "total")

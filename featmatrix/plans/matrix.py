@@ -195,17 +195,31 @@ def build_features(
         rows = kept(consolidated_panel(concept, identity, channel, codes[0], duplicates, broadcast_rows))
         return expand_matrix(rows, channel, ordinals, codes[0], partitions)
 
-    measures, parts = slot_measures(channel), []
+    parts = []
     for at in range(0, len(codes), SPAN_MONTHS):
         span = codes[at : at + SPAN_MONTHS]
         states = kept(month_states(concept, identity, channel, span, duplicates, broadcast_rows))
-        gathered = gather_states(states, channel, measures, span, partitions)
-        by_pattern: dict[tuple[int, ...], list[int]] = {}
-        for m in span:
-            by_pattern.setdefault(present_ordinals(present, m, periods), []).append(m)
-        for ordinals, group in by_pattern.items():
-            slots = slide(gathered, channel, measures, ordinals, group, analysis_bits(span))
-            parts.append(expand_slots(slots, channel, ordinals))
+        parts.append(features_of_states(states, channel, span, span, present, periods, partitions))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def features_of_states(
+    states: DataFrame, channel: Channel, months: Sequence[int], span: Sequence[int], present: Sequence[int],
+    periods: str = "present", partitions: int | None = None, stored: bool = False,
+) -> DataFrame:
+    """Feature columns of some analysis months from the month states of a span of them.
+
+    ``stored`` states lie in buckets by the ids, so each further month is a scan and no shuffle.
+    """
+    measures, bits = slot_measures(channel), analysis_bits(span)
+    gathered = gather_states(states, channel, measures, months, partitions, stored)
+    by_pattern: dict[tuple[int, ...], list[int]] = {}
+    for m in months:
+        by_pattern.setdefault(present_ordinals(present, m, periods), []).append(m)
+    parts = [
+        expand_slots(slide(gathered, channel, measures, ordinals, group, bits), channel, ordinals)
+        for ordinals, group in by_pattern.items()
+    ]
     return reduce(DataFrame.unionByName, parts)
 
 

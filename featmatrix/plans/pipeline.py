@@ -14,7 +14,7 @@ from featmatrix.operators.columns import classify
 from featmatrix.operators.densify import distinct_periods
 from featmatrix.plans.matrix import LOOK_BACK, build_matrix
 from featmatrix.sources.sinks import repartition_for_write, write_matrix
-from featmatrix.sources.tables import measures_for, read_months, read_run_params, read_table
+from featmatrix.sources.tables import listed_periods, measures_for, read_months, read_run_params, read_table
 
 # Session options a run relies on; months are overwritten one partition at a time.
 SESSION_OPTIONS = {
@@ -87,13 +87,19 @@ def months_to_run(spark: SparkSession, cfg: RunConfig) -> list[str]:
 
 
 def present_months(spark: SparkSession, cfg: RunConfig, months: Sequence[int | str]) -> list[int] | None:
-    """Months with rows in the windows of the analysis months, read once for a whole run."""
+    """Months in the windows of the analysis months, found once for a whole run.
+
+    They come from the catalog's partitions if the concept table is laid out by month, else from its rows.
+    """
     if cfg.periods != "present":
         return None
-    concept = read_table(spark, cfg.namespace, cfg.concept_table)
     codes = sorted(int(m) for m in months)
-    period = cfg.channel.keys.period
-    return distinct_periods(read_months(concept, shift_month(codes[0], -LOOK_BACK), codes[-1], [period], period), period)
+    first, period = int(shift_month(codes[0], -LOOK_BACK)), cfg.channel.keys.period
+    listed = listed_periods(spark, cfg.namespace.source(cfg.concept_table), period)
+    if listed is not None:
+        return [m for m in listed if first <= m <= codes[-1]]
+    concept = read_table(spark, cfg.namespace, cfg.concept_table)
+    return distinct_periods(read_months(concept, first, codes[-1], [period], period), period)
 
 
 def matrix_for(

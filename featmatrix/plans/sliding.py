@@ -62,11 +62,13 @@ def month_states(
 
 
 def gather_states(
-    states: DataFrame, channel: Channel, measures: Sequence[str], months: Sequence[int], partitions: int | None = None
+    states: DataFrame, channel: Channel, measures: Sequence[str], months: Sequence[int], partitions: int | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """One row per identity: for every month ``m<code>`` of the windows, the states of that month.
 
     A month has one state unless the identity changed between snapshots, so a row stays as small as its months.
+    States that are ``stored`` in buckets by the ids are gathered where they lie.
     """
     keys = channel.keys
     if partitions is None:
@@ -76,7 +78,8 @@ def gather_states(
     wanted = sorted({int(shift_month(m, -back)) for m in months for back in range(LOOK_BACK + 1)})
     state = f"struct({ANALYSES} as a, _values as v)"
     slots = (F.expr(f"collect_list({state}) filter (where _month = {code})").alias(f"m{code}") for code in wanted)
-    return rows.repartition(partitions, *keys.ids).groupBy(*keys.ids).agg(*slots)
+    together = rows if stored else rows.repartition(partitions, *keys.ids)
+    return together.groupBy(*keys.ids).agg(*slots)
 
 
 def _merge_sql(measures: Sequence[str]) -> str:

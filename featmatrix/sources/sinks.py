@@ -172,10 +172,21 @@ def stage_path(df: DataFrame, path: str, fmt: str = "parquet") -> DataFrame:
 
 
 def stage_table(
-    df: DataFrame, name: str, partition: str | None = KEYS.period, path: str | None = None, fmt: str = "parquet"
+    df: DataFrame, name: str, partition: str | None = KEYS.period, path: str | None = None, fmt: str = "parquet",
+    bucket_by: Sequence[str] = (), buckets: int | None = None,
 ) -> DataFrame:
-    """Write to a stage table (external when ``path`` is given, else managed) and read it back."""
+    """Write to a stage table (external when ``path`` is given, else managed) and read it back.
+
+    With ``bucket_by`` the rows are stored by those columns, in ``buckets`` (the session's shuffle partitions by default)
+    and sorted, so that joins and aggregates on them read the table without a shuffle. Rows are brought together by
+    bucket first, so each bucket of a month is one file.
+    """
+    if bucket_by:
+        buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        df = df.repartition(buckets, *bucket_by)
     writer = df.write.format(fmt).mode("overwrite")
+    if bucket_by:
+        writer = writer.bucketBy(buckets, *bucket_by).sortBy(*bucket_by)
     if partition is not None:
         writer = writer.partitionBy(partition)
     if path is not None:

@@ -29,6 +29,27 @@ def read_months(
     return rows if cols is None else rows.select(*cols)
 
 
+def listed_periods(spark: SparkSession, table: str, period: str = KEYS.period) -> list[int] | None:
+    """Months of a table from the catalog's list of partitions, newest first; None if the table is not laid out by month.
+
+    No data is read. A month whose partition has no rows is listed too, as is one that is stored under several
+    further partition columns.
+    """
+    described = spark.sql(f"DESCRIBE TABLE {table}").collect()
+    names = [r.col_name for r in described]
+    if "# Partition Information" not in names or period.lower() not in {
+        n.lower() for n in names[names.index("# Partition Information") + 1 :]
+    }:
+        return None
+    found = set()
+    for (spec,) in spark.sql(f"SHOW PARTITIONS {table}").collect():
+        values = dict(part.split("=", 1) for part in spec.split("/"))
+        value = {k.lower(): v for k, v in values.items()}[period.lower()]
+        if value.lstrip("-").isdigit():
+            found.add(int(value))
+    return sorted(found, reverse=True)
+
+
 def read_identity(df: DataFrame, month: int | str, trim_party: bool = False, keys: KeyColumns = KEYS) -> DataFrame:
     """Identity snapshot of one month."""
     party = F.trim(keys.party) if trim_party else F.col(keys.party)

@@ -169,3 +169,87 @@ def test_drop_stage_takes_folders_that_the_catalog_has_forgotten(spark, panel, t
     sinks.drop_stage(spark, "stage_x", folders=[path])
     sinks.drop_stage(spark, "stage_x")
     assert not (tmp_path / "left_over").exists()
+
+
+def test_months_from_the_partition_listing(spark, panel):
+    for table in ("list_a", "list_b"):
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    sinks.write_matrix(panel.where("codmes in (202403, 202401)"), "list_a")
+    assert tables.listed_periods(spark, "list_a") == [202403, 202401]
+    panel.withColumn("part", F.lit("x/y")).write.partitionBy("part", "codmes").saveAsTable("list_b")
+    assert tables.listed_periods(spark, "list_b") == list(range(202412, 202400, -1))
+    spark.sql("DROP TABLE list_b")
+    sinks.stage_table(panel, "list_b", None)
+    assert tables.listed_periods(spark, "list_b") is None
+
+
+def without_broadcasts(spark):
+    from contextlib import contextmanager
+
+    @contextmanager
+    def off():
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            yield
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+    return off()
+
+
+def exchanged_scans(plan):
+    """Tables whose scan has an exchange above it on its own branch, from the indented plan."""
+    lines, open_exchanges, found = plan.splitlines(), [], set()
+    for line in lines:
+        depth = next((i for i, c in enumerate(line) if c.isalpha() or c == "*"), None)
+        if depth is None:
+            continue
+        open_exchanges = [d for d in open_exchanges if d < depth]
+        if "Exchange " in line:
+            open_exchanges.append(depth)
+        if "Scan parquet" in line and open_exchanges:
+            found.add(line.split("default.")[1].split("[")[0].strip())
+    return found
+
+
+def test_a_panel_stored_by_its_lookup_key_is_not_shuffled(spark, plan_of):
+    from featmatrix.operators.identity import resolve_identity, with_lookup_key
+    from featmatrix.operators.joins import LOOKUP_KEY
+    from tests.test_matrix import moving_panel
+
+    concept, identity = moving_panel(spark)
+    for table in ("keyed_panel", "plain_panel", "keyed_ids"):
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    keyed = sinks.stage_table(with_lookup_key(concept, "join"), "keyed_panel", "codmes", bucket_by=[LOOKUP_KEY], buckets=8)
+    plain = sinks.stage_table(concept, "plain_panel", "codmes")
+    ids = sinks.stage_table(identity, "keyed_ids", "codmes")
+    results = []
+    with without_broadcasts(spark):
+        for panel, name in ((keyed, "keyed_panel"), (plain, "plain_panel")):
+            rows = []
+            for month in (202311, 202312):
+                found = resolve_identity(tables.read_months(panel, 202301, month), ids.where(f"codmes = {month}"), "join")
+                assert (name in exchanged_scans(plan_of(found, "simple"))) == (name == "plain_panel")
+                rows += [tuple(r[c] for c in concept.columns) for r in found.collect()]
+            results.append(sorted(rows, key=repr))
+    assert results[0] == results[1]
+
+
+def test_states_stored_by_customer_are_not_shuffled(spark, plan_of):
+    from featmatrix.plans.matrix import build_features, features_of_states
+    from featmatrix.plans.sliding import month_states
+    from tests.test_matrix import RULED, moving_panel, tiny_channel
+
+    concept, identity = moving_panel(spark)
+    channel, span = tiny_channel(measures=RULED), [202310, 202311, 202312]
+    named = "codunicocli is not null and codinternocomputacional is not null"
+    spark.sql("DROP TABLE IF EXISTS stored_states")
+    stored = sinks.stage_table(month_states(concept, identity, channel, span).where(named), "stored_states", "codmes", bucket_by=channel.keys.ids, buckets=8)
+    ordered = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    for month in span:
+        found = features_of_states(stored, channel, [month], span, range(202301, 202313), stored=True)
+        with without_broadcasts(spark):
+            assert "Exchange" not in plan_of(found, "simple")
+        assert ordered(found) == ordered(build_features(concept, identity, channel, [month]))
