@@ -37,6 +37,10 @@ SCHEMA = (
 )
 
 
+#: Characters of text that are encoded together.
+TOGETHER = 200_000
+
+
 @dataclass(frozen=True)
 class Limits:
     tokens: int = 2048
@@ -46,16 +50,25 @@ class Limits:
     window: int = 512
 
 
+def _plain_pieces() -> re.Pattern:
+    """The tokenizer file's pattern for text of a plain range of characters, as a pattern of the faster library."""
+    plain = [chr(c) for c in (*range(0x20, 0x7F), *range(0xA1, 0x180)) if c != 0x131]
+    letters = "".join(c for c in plain if regex.match(r"\p{L}", c))
+    numbers = "".join(c for c in plain if regex.match(r"\p{N}", c))
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\\s{letters}{numbers}]+")
+
+
 class WordBpe:
-    """Ids of a lower-casing word tokenizer, with a memory of words.
+    """Ids of a lower-casing word tokenizer, with a memory of pieces.
 
-    Text of a plain range of characters is split here as the tokenizer file does and known words are looked up; new
-    words are encoded together by the library. Any other text is encoded by the library as a whole.
+    Text of a plain range of characters is split here as the tokenizer file does and known pieces are looked up; new
+    pieces of several texts are encoded together by the library. Any other text is encoded by the library as a whole.
+    The memory has two generations: when the younger is full the older is dropped, so pieces in use stay known.
     """
 
     CACHE = 120_000
     SPECIAL = re.compile(r"[^\t\n\r\x20-\x7e\xa1-įĲ-ſ]|<\|")
-    PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    PIECES = _plain_pieces()
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -65,46 +78,52 @@ class WordBpe:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
-        self.pieces: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def forget(self) -> None:
-        self.known.clear()
-        self.pieces.clear()
-
-    def _learn(self, words: list[str]) -> None:
-        """Words between blanks are split into pieces; new pieces are encoded in one call and cut at word ends."""
-        split = [self.PIECES.findall(word) for word in words]
-        pieces = self.pieces
-        new = list({p for parts in split for p in parts if p not in pieces})
+        self.known, self.older = {}, {}
+
+    def _learn(self, new: set[str]) -> None:
+        """Look pieces up in the older generation; encode the rest in one call and cut the ids at word ends."""
+        known, older = self.known, self.older
+        for piece in new & older.keys():
+            known[piece] = older[piece]
+        rest = [p for p in new if p not in known]
+        if not rest:
+            return
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(rest)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(rest):
+            raise ValueError("pieces must end with a word end")
+        raw, start = ids.tobytes(), 0
+        for piece, cut in zip(rest, (cuts * 4).tolist()):
+            known[piece] = raw[start:cut]
+            start = cut
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        if len(self.known) > self.CACHE:
+            self.older, self.known = self.known, {}
+        split: list[list[str] | None] = []
+        for text in texts:
+            if self.SPECIAL.search(text):
+                split.append(None)
+                continue
+            if not unicodedata.is_normalized("NFC", text):
+                text = unicodedata.normalize("NFC", text)
+            split.append(self.PIECES.findall(text.lower()))
+        new = set().union(*(parts for parts in split if parts)).difference(self.known)
         if new:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(new):
-                raise ValueError("pieces must end with a word end")
-            raw = ids.tobytes()
-            start = 0
-            for piece, cut in zip(new, (cuts * 4).tolist()):
-                pieces[piece] = raw[start:cut]
-                start = cut
-        for word, parts in zip(words, split):
-            self.known[word] = b"".join(map(pieces.__getitem__, parts))
+            self._learn(new)
+        ids = self.known.__getitem__
+        return [
+            np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if parts is None else b"".join(map(ids, parts))
+            for text, parts in zip(texts, split)
+        ]
 
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if self.SPECIAL.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-        words = text.lower().split()
-        if len(self.known) > self.CACHE:
-            self.known.clear()
-        if len(self.pieces) > self.CACHE:
-            self.pieces.clear()
-        new = set(words).difference(self.known)
-        if new:
-            self._learn(list(new))
-        return b"".join(map(self.known.__getitem__, words))
+        return self.encode_all([text])[0]
 
 
 @lru_cache(maxsize=2)
@@ -183,9 +202,22 @@ def pack_examples(docs: DataFrame, path: str, end_id: int, limits: Limits = Limi
             lengths = np.array([p[2] for p in pieces], np.int64)
             return pack_vectors(np.stack([lengths, np.ones_like(lengths), lengths], 1), bound, limits.window)
 
+        def encoded() -> Iterator[tuple]:
+            """Documents with their ids; a few texts are encoded together, a long one by itself."""
+            held: list[tuple] = []
+            size = 0
+            for row in rows:
+                held.append(row)
+                size += len(row[1] or "")
+                if size >= TOGETHER:
+                    yield from zip((d for d, _ in held), tokenizer.encode_all([t or "" for _, t in held]))
+                    held, size = [], 0
+            if held:
+                yield from zip((d for d, _ in held), tokenizer.encode_all([t or "" for _, t in held]))
+
         pool: list[tuple] = []
-        for doc_id, text in rows:
-            for piece in _pieces(doc_id, tokenizer.encode(text or "") + end, limits):
+        for doc_id, ids in encoded():
+            for piece in _pieces(doc_id, ids + end, limits):
                 if piece[2] == limits.tokens:
                     yield from emit([piece], [[0]])
                 else:
@@ -201,7 +233,6 @@ def pack_examples(docs: DataFrame, path: str, end_id: int, limits: Limits = Limi
                 pool = [pool[i] for i in sorted(back)]
         if pool:
             yield from emit(pool, pack(pool))
-        tokenizer.forget()  # the worker lives on and shares its executor's memory with later stages
 
     return map_rows(docs, ["doc_id", "text"], SCHEMA, rows_of, batch=4096)
 
