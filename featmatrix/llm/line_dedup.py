@@ -1,24 +1,24 @@
-"""Repeated line runs, found by prefix doubling over line ids; later copies are deleted. DataFrame functions only.
+"""Repeated line runs, grouped by the hashes of their shortest blocks; later copies are deleted. DataFrame functions only.
 
-A document is the sequence of its lines that hold a word. The prefix-doubling step of a suffix array names every
-block of 1, 2, 4, ... lines by hashing the names of its halves, so suffixes with equal names form the
-longest-common-prefix interval of that depth; two overlapping names give the interval of any depth. Names depend on
-content alone, so all doubling is done inside the rows and no shuffle ranks anything.
+A document is the sequence of its lines that hold a word. No suffix of the corpus is ranked: within each row the names of
+blocks of 1, 2, 4, ... lines are hashed from the names of their halves, and two overlapping names give that of a block of
+any length. Names depend on content alone, so no shuffle is needed to make them.
 
 A run counts from `min_words` words on. For each line there is one shortest such block that starts there and one that
 ends there; every maximal repeated run with enough words is the union of those of them that lie in it. So it is enough
-to group these two blocks per line by name: all but the first occurrence (by doc_id, then line) are later copies.
-Their lines are deleted, with blank lines between them. A block never has more than `min_words` lines, as each holds
-a word, which bounds the doubling.
-
-Null text stays null and rows with a null doc_id are returned as they are. Rows that repeat a doc_id count as one
-document, so an exact repetition of a row is no later copy. An empty table gives an empty table. `remove_repeats`
-keeps all further columns, whatever their names.
+to group these two blocks per line by name: all but the first occurrence (by doc_id, then text, then line) are later
+copies. Their lines are deleted, with blank lines between them. A block never has more than `min_words` lines, as each
+holds a word, which bounds the doubling. With `min_words` 1 every repeated line with a word is found.
+
+Null text stays null and rows with a null doc_id are returned as they are. Rows that repeat a doc_id with other texts are
+documents of their own; exact repetitions of a row count as one document and are no later copies. An empty table gives
+an empty table. The work on a document grows with its lines. `remove_repeats` keeps all further columns, whatever
+their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from featmatrix.llm.common import durable
@@ -26,12 +26,19 @@ from featmatrix.llm.common import durable
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def _key() -> Column:
+    """Tells texts of one doc_id apart."""
+    return F.unhex(F.md5("text"))
+
+
 def _blocks(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, name, first, last): shortest blocks with enough words, by the original line numbers."""
+    """(doc_id, key, name, first, last): shortest blocks with enough words, by the original line numbers."""
     levels = max(1, min_words).bit_length()
-    rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.split("text", "\n").alias("lines"))
+    rows = docs.where("doc_id is not null and text is not null")
+    rows = rows.select("doc_id", _key().alias("key"), F.split("text", "\n").alias("lines"))
     rows = rows.select(
         "doc_id",
+        "key",
         F.filter(
             F.transform("lines", lambda x, i: F.struct(i.alias("at"), F.regexp_count(x, F.lit(WORD)).alias("w"), F.unhex(F.md5(x)).alias("id"))),
             lambda x: x["w"] > 0,
@@ -39,6 +46,7 @@ def _blocks(docs: DataFrame, min_words: int) -> DataFrame:
     ).where(F.size("l") > 0)
     rows = rows.select(
         "doc_id",
+        "key",
         F.transform("l", lambda x: x["at"]).alias("at"),
         F.transform("l", lambda x: x["id"]).alias("n0"),
         F.transform("l", lambda x: F.least(x["w"], F.lit(min_words))).alias("f0"),
@@ -88,46 +96,41 @@ def _blocks(docs: DataFrame, min_words: int) -> DataFrame:
     forward = F.transform("fs", lambda x, i: block(i, x["h"] + 1))
     backward = F.transform("bs", lambda x, i: block(size - 1 - i - x["h"], x["h"] + 1))
     found = F.array_distinct(F.filter(F.concat(forward, backward), lambda x: x.isNotNull()))
-    return rows.select("doc_id", F.explode(found).alias("b")).select("doc_id", "b.name", "b.first", "b.last")
+    return rows.select("doc_id", "key", F.explode(found).alias("b")).select("doc_id", "key", "b.name", "b.first", "b.last")
 
 
 def later_copies(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """(doc_id, runs): the line ranges of each document that repeat an earlier run, as maximal ranges."""
+    """(doc_id, key, runs): the line ranges of each document that repeat an earlier run, as maximal ranges in order."""
     blocks = durable(_blocks(docs, min_words))  # used twice; far smaller than the texts
-    here = F.struct("doc_id", "first")
+    here = F.struct("doc_id", "key", "first")
     firsts = blocks.groupBy("name").agg(F.min(here).alias("origin"), F.count("*").alias("n")).where("n > 1").drop("n")
-    hits = blocks.join(firsts, "name").where(here > F.col("origin")).select("doc_id", "first", "last").distinct()
+    hits = blocks.join(firsts, "name").where(here > F.col("origin")).select("doc_id", "key", "first", "last").distinct()
     # join overlapping and touching ranges; a document's ranges are at most two per line
-    hits = hits.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("all"))
-    empty = F.array().cast("array<struct<first:int,last:int>>")
-
-    def merge(runs: Column, x: Column) -> Column:
-        top = F.element_at(runs, -1)
-        return F.when(
-            (F.size(runs) > 0) & (x["first"] <= F.try_element_at(runs, F.lit(-1))["last"] + 1),
-            F.concat(
-                F.slice(runs, 1, F.size(runs) - 1),
-                F.array(F.struct(top["first"].alias("first"), F.greatest(top["last"], x["last"]).alias("last"))),
-            ),
-        ).otherwise(F.concat(runs, F.array(x)))
-
-    return hits.select("doc_id", F.aggregate("all", empty, merge).alias("runs"))
+    own = Window.partitionBy("doc_id", "key").orderBy("first", "last")
+    before = F.max("last").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    hits = hits.withColumn("_new", F.when(F.col("first") <= before + 1, 0).otherwise(1))
+    hits = hits.withColumn("_run", F.sum("_new").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    runs = hits.groupBy("doc_id", "key", "_run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return runs.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"))
 
 
 def _marked(docs: DataFrame, min_words: int) -> DataFrame:
     """The documents with `_kept`, `_lost` and `_runs`."""
-    runs = later_copies(docs.select("doc_id", "text"), min_words).withColumnsRenamed({"doc_id": "_id", "runs": "_runs"})
+    runs = later_copies(docs.select("doc_id", "text"), min_words).withColumnsRenamed({"doc_id": "_id", "key": "_key", "runs": "_runs"})
     lines = F.split("text", "\n")
 
-    def covered(i: Column) -> Column:
-        return F.exists("_runs", lambda r: (i >= r["first"]) & (i <= r["last"]))
+    def between(i: Column) -> Column:
+        """The lines after the run before and before run `i`."""
+        start = F.coalesce(F.get(F.col("_runs"), i - 1)["last"] + 1, F.lit(0))
+        end = F.coalesce(F.get(F.col("_runs"), i)["first"], F.size("_lines"))
+        return F.slice("_lines", start + 1, end - start)
 
-    joined = docs.join(runs, F.col("doc_id") == F.col("_id"), "left").drop("_id")
-    kept = F.when(F.col("_runs").isNull(), F.col("text")).otherwise(
-        F.array_join(F.filter(lines, lambda _, i: ~covered(i)), "\n")
-    )
+    same = (F.col("doc_id") == F.col("_id")) & (_key() == F.col("_key"))
+    joined = docs.join(runs, same, "left").drop("_id", "_key").withColumn("_lines", F.when(F.col("_runs").isNotNull(), lines))
+    left = F.flatten(F.transform(F.sequence(F.lit(0), F.size("_runs")), between))
+    kept = F.when(F.col("_runs").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     lost = F.coalesce(F.aggregate("_runs", F.lit(0), lambda s, r: s + r["last"] - r["first"] + 1), F.lit(0))
-    return joined.withColumns({"_kept": kept, "_lost": lost})
+    return joined.withColumns({"_kept": kept, "_lost": lost}).drop("_lines")
 
 
 def remove_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
