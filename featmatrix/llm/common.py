@@ -21,11 +21,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """The rows in the shared folder of `spark.checkpoint.dir`, cut from their lineage.
 
-    A session without that setting (tests) gets a temporary folder of its own.
+    A local session without that setting (tests) gets a temporary folder of its own; on a cluster it is an error, since
+    other machines could not read such a folder.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp())
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+        context.setCheckpointDir(folder or tempfile.mkdtemp())
     return df.checkpoint(eager=True)
 
 

@@ -9,7 +9,7 @@ training text of its own has.
 The model is fitted on a bounded sample: about `per_language` texts of each language, drawn by a hash of doc_id, so the
 same ones every time. Prediction reads nothing but the text.
 
-Null text, or text without a letter, gives `und` with score 0 and counts as rejected. Ties go to the language first
+Null text, or text without a letter, gives `und` with score 0 and counts as rejected. A null doc_id is not held out. Ties go to the language first
 in alphabetical order. Training rows with null text or language are left out; without any training row every text is
 `und`. Repeated rows are predicted each by itself; an empty table gives an empty table; further columns are ignored.
 """
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from featmatrix.llm.common import crc_mod, durable, map_rows
 
-LETTER = re.compile(r"[^\W\d_]")
+WORDLIKE = re.compile(r"[^\W\d_]")
 BLANKED = bytes(32 if c < 128 and not chr(c).isalpha() else c for c in range(256))
 SCHEMA = "doc_id long, lang_pred string, score double, rejected boolean"
 
@@ -117,8 +117,13 @@ def fit(
     )
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text holds a letter; number signs such as a half are none."""
+    return any(m[0].isalpha() for m in WORDLIKE.finditer(text))
+
+
 def predict_one(text: str | None, model: LanguageModel) -> tuple[str, float, bool]:
-    if not text or not model.languages or not LETTER.search(text):
+    if not text or not model.languages or not has_letter(text):
         return "und", 0.0, True
     found, counts = gram_counts(text, len(model.idf))
     sims = _weighted(found, counts, model.idf) @ model.centroids[found]
@@ -150,4 +155,5 @@ def keep_recognised(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def held_out(divisor: int = 3) -> Column:
-    return crc_mod("doc_id", divisor) == 1
+    """A null doc_id is not held out."""
+    return F.coalesce(crc_mod("doc_id", divisor) == 1, F.lit(False))

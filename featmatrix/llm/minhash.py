@@ -15,12 +15,13 @@ rules out pairs for certain. Documents with equal sets are one class before the
 A pair is looked at only in its first common bucket. A pair at the threshold shares a band with a chance of 0.999995,
 and the estimate from the first sketch leaves four standard deviations of room.
 
-Null and blank texts have an empty set, link with nothing and are kept. Rows that repeat a doc_id with one text get
-one answer each. Ties go to the smaller doc_id. An empty table gives an empty table; further columns are ignored.
+Null and blank texts have an empty set, link with nothing and are kept. Every row is searched by its own text, also
+where rows repeat a doc_id with one text or several; `text_hash` tells their answers apart. Ties go to the smaller doc_id. An empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -98,8 +99,13 @@ def estimate(differing_bits: np.ndarray, samples: int, bits: int) -> np.ndarray:
     return 1 + bits / (4 * samples) * np.log(1 - share)
 
 
+def text_hash(text: str | None) -> bytes | None:
+    """What `F.unhex(F.md5("text"))` gives: null for null."""
+    return None if text is None else hashlib.md5(text.encode("utf-8"), usedforsecurity=False).digest()
+
+
 def signatures(docs: DataFrame, conf: Sketching) -> DataFrame:
-    """(doc_id, n_shingles, set_hash, bands, sketch); the sketch holds the odd sketch, then the set's parity bitmap."""
+    """(doc_id, n_shingles, set_hash, bands, sketch, text_hash); the sketch holds the odd sketch, then the set's parity bitmap."""
     draw = np.random.default_rng(conf.seed)
     count = conf.bands * conf.rows
     multipliers = draw.integers(0, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -108,9 +114,9 @@ def signatures(docs: DataFrame, conf: Sketching) -> DataFrame:
     def rows_of(rows: Iterator[tuple]) -> Iterator[tuple]:
         known = _Words()
         for doc_id, text in rows:
-            values = shingle_set(text, conf.shingle, known)
+            values, own = shingle_set(text, conf.shingle, known), text_hash(text)
             if not len(values):
-                yield doc_id, 0, None, None, None
+                yield doc_id, 0, None, None, None, own
                 continue
             mins = minima(values, multipliers, addends)
             grid = mins.reshape(conf.bands, conf.rows)
@@ -119,10 +125,10 @@ def signatures(docs: DataFrame, conf: Sketching) -> DataFrame:
                 key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + grid[:, i])
             yield (
                 doc_id, len(values), xxhash.xxh3_128_digest(values.tobytes()), key.view(np.int64),
-                odd_sketch(mins, conf.sketch_bits) + parity(values, conf.parity_bits),
+                odd_sketch(mins, conf.sketch_bits) + parity(values, conf.parity_bits), own,
             )
 
-    schema = "doc_id long, n_shingles long, set_hash binary, bands array<long>, sketch binary"
+    schema = "doc_id long, n_shingles long, set_hash binary, bands array<long>, sketch binary, text_hash binary"
     return map_rows(docs, ["doc_id", "text"], schema, rows_of, batch=1024)
 
 
@@ -138,8 +144,8 @@ def _confirm(pairs: DataFrame, sets: DataFrame, conf: Sketching) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
     percent = conf.percent
     joined = (
-        pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("one")), "a")
-        .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("two")), "b")
+        pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("one")), "a")
+        .join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("two")), "b")
         .select("a", "b", "one", "two")
     )
 
@@ -234,20 +240,23 @@ def _components(edges: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, conf: Sketching = Sketching()) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of (doc_id, text)."""
+    """(doc_id, n_shingles, component_id, kept, text_hash) of every row of (doc_id, text).
+
+    A class is all rows of one set, and is named by the number of its first row.
+    """
     docs = docs.select("doc_id", "text")
-    signed = durable(signatures(docs, conf))
+    signed = durable(signatures(docs, conf).withColumn("row", F.monotonically_increasing_id()))
     real = signed.where("n_shingles > 0 and doc_id is not null")
-    reps = real.groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
+    firsts = real.groupBy("set_hash").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    reps = firsts.select("set_hash", F.col("first.row").alias("rep"))
     classes = durable(
-        real.join(reps.select(F.col("rep").alias("doc_id")), "doc_id")
-        .dropDuplicates(["doc_id"])
-        .select(F.col("doc_id").alias("rep"), "n_shingles", "sketch", "bands")
+        real.join(firsts.select(F.col("first.row").alias("row")), "row")
+        .select(F.col("row").alias("rep"), "doc_id", "set_hash", "n_shingles", "sketch", "bands")
     )
     banded = classes.select("rep", F.explode("bands").alias("bucket"))
     buckets = banded.groupBy("bucket").agg(F.min("rep").alias("first"), F.count("*").alias("n")).where("n > 1")
     shared = durable(banded.join(buckets, "bucket"))  # only classes that share a bucket
-    traits = classes.drop("bands")
+    traits = classes.select("rep", "n_shingles", "sketch")
 
     def with_sketches(pairs: DataFrame) -> DataFrame:
         one = traits.select(F.col("rep").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a"))
@@ -258,34 +267,40 @@ def near_duplicates(docs: DataFrame, conf: Sketching = Sketching()) -> DataFrame
     rated = _sketch_filter(with_sketches(stars), conf).select("a", "b", "similar")
     best = durable(rated.groupBy("a").agg(F.max(F.struct("similar", -F.col("b"))).alias("top")).select("a", (-F.col("top.col2")).alias("b")))
 
-    known_words = map_sets(docs.join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), conf)
-    sets = durable(known_words.dropDuplicates(["doc_id"]))
+    searched = classes.select("rep", "doc_id", "set_hash").join(shared.select("rep").distinct(), "rep", "left_semi")
+    found_sets = map_sets(docs.join(searched.select("doc_id").distinct(), "doc_id", "left_semi"), conf)
+    by_class = found_sets.join(searched.select("rep", "doc_id", "set_hash"), ["doc_id", "set_hash"])
+    sets = durable(by_class.select("rep", "shingles").dropDuplicates(["rep"]))
     first = durable(_confirm(best, sets, conf))
     state = durable(_components(first, classes))
 
     placed = shared.join(state, "rep")
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    members = placed.join(mixed.select("bucket"), "bucket").join(classes, "rep")
+    members = placed.join(mixed.select("bucket"), "bucket").join(classes.select("rep", "n_shingles", "sketch", "bands"), "rep")
     more = _pairs_across(members, conf).join(best, ["a", "b"], "left_anti")
     second = _confirm(more, sets, conf)
     final = _components(durable(first.unionByName(second)), classes)
 
-    # by set, so that a large group of copies meets its answer in a join that can be split
-    answer = reps.join(final, "rep").select("set_hash", "component")
+    # a component is named by its smallest doc_id; by set, so that a large group of copies meets its answer in a join
+    # that can be split
+    named = final.join(classes.select("rep", "doc_id"), "rep").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    answer = reps.join(final, "rep").join(named, "component").select("set_hash", "component_id")
+    own = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component_id")), "doc_id")
     return (
-        signed.select("doc_id", "n_shingles", "set_hash")
+        signed.select("doc_id", "n_shingles", "set_hash", "text_hash")
         .join(answer, "set_hash", "left")
-        .select("doc_id", "n_shingles", F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component")), "doc_id").alias("component_id"))
+        .select("doc_id", "n_shingles", own.alias("component_id"), "text_hash")
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 
 
 def map_sets(docs: DataFrame, conf: Sketching) -> DataFrame:
-    """(doc_id, shingles): the full set of each document as sorted 64-bit integers in bytes."""
+    """(doc_id, set_hash, shingles): the full set of each document as sorted 64-bit integers in bytes."""
 
     def rows_of(rows: Iterator[tuple]) -> Iterator[tuple]:
         known = _Words()
         for doc_id, text in rows:
-            yield doc_id, shingle_set(text, conf.shingle, known).tobytes()
+            values = shingle_set(text, conf.shingle, known).tobytes()
+            yield doc_id, xxhash.xxh3_128_digest(values), values
 
-    return map_rows(docs, ["doc_id", "text"], "doc_id long, shingles binary", rows_of, batch=256)
+    return map_rows(docs, ["doc_id", "text"], "doc_id long, set_hash binary, shingles binary", rows_of, batch=256)

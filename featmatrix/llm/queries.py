@@ -42,7 +42,7 @@ def op4_front_coded_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     from featmatrix.llm.minhash import near_duplicates
 
-    return near_duplicates(read_table(spark, sf_dir, "documents"))
+    return near_duplicates(read_table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op6_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +69,7 @@ def op9_hashed_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     from featmatrix.llm.maxent import fit, score
 
     docs = read_table(spark, sf_dir, "documents")
-    held_out = crc_mod("doc_id", 5) == 1
+    held_out = F.coalesce(crc_mod("doc_id", 5) == 1, F.lit(False))
     return score(docs, fit(docs.where(~held_out))).withColumn("held_out", held_out)
 
 

@@ -133,6 +133,13 @@ def test_empty_and_repeated_rows(documents):
     assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(0, 0, True), (1, 0, False), (1, 0, False)]
 
 
+def test_rows_that_share_a_doc_id_are_searched_by_their_own_text(documents):
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(5, one), (5, two), (2, two + " end"), (9, one + " end"), (7, two), (7, "c d e f g h")]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(documents(rows)).collect())
+    assert got == sorted([(5, 36, 5, True), (5, 36, 2, False), (2, 37, 2, True), (9, 37, 5, False), (7, 36, 2, False), (7, 2, 7, True)])
+
+
 def test_sketches_estimate_and_bound():
     rnd = np.random.default_rng(2)
     mins = rnd.integers(0, 1 << 63, 128, dtype=np.uint64)

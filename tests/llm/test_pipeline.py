@@ -44,6 +44,17 @@ def test_stages_take_effect(spark, table):
     assert {r.doc_id for r in pieces} == set(seen["personal_data"]) and all(r["n"] == r["all"] for r in pieces)
 
 
+def test_rows_that_share_a_doc_id_or_repeat(spark, table):
+    """Only what repeats goes: another text of the same doc_id stays, an exact repetition is the same document."""
+    w, u = (" ".join(f"{x}{i}" for i in range(60)) for x in "wu")
+    rows = [(0, w), (1, u), (1, w + " and more"), (3, u), (4, "x " * 200_000), (4, "x " * 200_000)]
+    docs = spark.createDataFrame([(i, t, "aa", "s", 1, None) for i, t in rows], table.schema)
+    lines = corpus_pipeline.line_runs(spark, docs, "")
+    assert sorted(r.doc_id for r in lines.collect()) == [0, 1, 1, 4, 4]
+    kept = corpus_pipeline.near_duplicates(spark, lines, "")
+    assert sorted((r.doc_id, r.text[:2]) for r in kept.collect()) == [(0, "w0"), (1, "u0"), (4, "x "), (4, "x ")]
+
+
 def test_empty_table(spark, table):
     docs = table.limit(0)
     for _, stage in corpus_pipeline.STAGES:

@@ -207,6 +207,22 @@ def test_line_runs_against_brute_force(documents):
     assert line_dedup.line_report(documents(rows).limit(0)).count() == 0
 
 
+def test_lines_of_rows_that_share_a_doc_id_are_not_lost(documents):
+    """Two texts of one doc_id have runs of their own; only what repeats goes."""
+    w, u = (" ".join(f"{x}{i}" for i in range(60)) for x in "wu")
+    kept = [(r.doc_id, r.text) for r in line_dedup.remove_repeats(documents([(0, w), (1, u), (1, w), (1, u)])).collect()]
+    assert sorted(kept) == [(0, w), (1, u), (1, u)]
+
+
+def test_a_long_text_of_many_runs(documents):
+    lines = [" ".join(f"l{i}w{k}" for k in range(10)) for i in range(4000)]
+    text = "\n".join(x for i in range(0, 4000, 10) for x in (*lines[i : i + 6], f"own {i}", ""))
+    found = {r.doc_id: r for r in line_dedup.line_report(documents([(1, "\n".join(lines)), (2, text)])).collect()}
+    assert (found[2].n_removed, found[2].n_runs, found[1].n_removed) == (2400, 400, 0)
+    kept = {r.doc_id: r.text for r in line_dedup.remove_repeats(documents([(1, "\n".join(lines)), (2, text)])).collect()}
+    assert kept[2] == "\n".join(x for i in range(0, 4000, 10) for x in (f"own {i}", ""))
+
+
 def test_line_plan_has_no_python(spark, plan_of):
     docs = spark.range(3).select(F.col("id").alias("doc_id"), F.lit("a\nb").alias("text"))
     plan = plan_of(line_dedup.line_report(docs)) + plan_of(line_dedup.remove_repeats(docs))
@@ -353,3 +369,12 @@ def test_masking(documents):
     got = pii.mask(table, pii.fit(table))
     assert got.columns == table.columns
     assert {r.doc_id: r.text for r in got.collect()} == {1: "mail <EMAIL>, ip <IP>!", 2: None, 3: "nothing"}
+
+
+def test_number_signs_are_no_letters_and_a_null_doc_id_is_learned_from(spark):
+    rows = [(None if i == 3 else i, "la ra ti mo " * 5, "aa") for i in range(12)] + [(50, "½ ²", "aa"), (51, "½ ² é", "aa"), (52, "①", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = langid.predict(docs, langid.fit(docs.where(~langid.held_out())))
+    by_id = {r.doc_id: r.lang_pred for r in found.collect()}
+    assert (by_id[50], by_id[51], by_id[52], by_id[None]) == ("und", "aa", "und", "aa")
+    assert docs.select(langid.held_out().alias("h")).where("h is null").count() == 0
