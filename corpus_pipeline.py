@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from featmatrix.llm import langid, line_dedup, minhash, packing, pii
 from featmatrix.llm.common import durable
@@ -25,9 +26,13 @@ def line_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest doc_id."""
-    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    """One document of each group of near-duplicates, that with the smallest doc_id.
+
+    Rows that repeat a doc_id with other texts are documents of their own.
+    """
+    gone = minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    same = (F.col("doc_id") == F.col("_id")) & (F.unhex(F.md5("text")) == F.col("_hash"))
+    return docs.join(gone, same, "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
