@@ -14,7 +14,9 @@ would move the corpus a hundred times over, so a sparse set of suffixes is sorte
 * Neighbours in merged order with one anchor form a group. The common prefixes known from the merge tell how far two
   items agree to the right, the bytes before the anchor how far to the left; both give the windows that are equal.
 * Anchors with very many different surroundings (`hot` occurrences or more) are not grouped: each of their windows is
-  an item of its own, sorted and merged in the same way and dealt by its own hash, so such a group spreads out.
+  an item of its own, sorted and merged in the same way. It is dealt by the `lowest` grams of smallest hash in it, so
+  such a group spreads out while neighbouring windows mostly meet again; what a run or a range finds of a document
+  leaves it as ranges, not as windows.
 
 The texts are first written, compressed, to the shared checkpoint folder; a run is one partition of that copy, so a
 lost executor never changes what a run holds.
@@ -25,7 +27,6 @@ documents. An empty table gives an empty table; further columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -46,6 +47,7 @@ class Repeats:
     length: int = 200
     gram: int = 80
     hot: int = 2000
+    lowest: int = 3
     range_items: int = 40_000
 
 
@@ -70,17 +72,35 @@ class _Powers:
 _POWERS = _Powers()
 
 
+def gram_hashes(raw: bytes, conf: Repeats) -> tuple[np.ndarray, np.ndarray]:
+    """(sums that give the hash of any part, hash of the gram at each place) of a text."""
+    size = len(raw)
+    values = np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1)
+    up, down = _POWERS.upto(size + 1)
+    sums = np.zeros(size + 1, np.uint64)
+    np.cumsum(values * up[:-1], dtype=np.uint64, out=sums[1:])
+    return sums, mix64((sums[conf.gram :] - sums[: -conf.gram]) * down[: size - conf.gram + 1])
+
+
+def window_codes(grams: np.ndarray, first: int, last: int, conf: Repeats) -> np.ndarray:
+    """A hash of each window's `lowest` grams of smallest hash: equal for equal windows, mostly equal for neighbours."""
+    width = conf.length - conf.gram + 1
+    inside = np.lib.stride_tricks.sliding_window_view(grams[first : last + width], width)
+    low = np.sort(np.partition(inside, conf.lowest - 1, axis=1)[:, : conf.lowest], axis=1)
+    code = low[:, 0]
+    for i in range(1, conf.lowest):
+        code = mix64(code + low[:, i])
+    return code
+
+
 def anchors(raw: bytes, conf: Repeats) -> tuple[np.ndarray, ...]:
     """(anchor hash, anchor position, first window, last window, item hash) of each item of a text."""
     size = len(raw)
     if size < conf.length:
         empty = np.zeros(0, np.int64)
         return empty.astype(np.uint64), empty, empty, empty, empty.astype(np.uint64)
-    values = np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1)
-    up, down = _POWERS.upto(size + 1)
-    sums = np.zeros(size + 1, np.uint64)
-    np.cumsum(values * up[:-1], dtype=np.uint64, out=sums[1:])
-    grams = mix64((sums[conf.gram :] - sums[: -conf.gram]) * down[: size - conf.gram + 1])
+    sums, grams = gram_hashes(raw, conf)
+    _, down = _POWERS.upto(size + 1)
     width = conf.length - conf.gram + 1
     n = len(grams)
     padded = np.full(n + -n % width, np.iinfo(np.uint64).max, np.uint64)
@@ -309,6 +329,22 @@ def _unpack(blob: bytes) -> tuple[list[bytes], list[int], list[tuple]]:
     return keys, shared, rest
 
 
+def fuse(ranges: list[tuple[int, int, int]]) -> np.ndarray:
+    """Ranges (row, first, last) with those of one row that overlap or touch as one, by row and place."""
+    found = np.array(ranges, np.int64).reshape(-1, 3)
+    found = found[np.lexsort((found[:, 1], found[:, 0]))]
+    if not len(found):
+        return found
+    rows = np.concatenate([[0], np.cumsum(found[1:, 0] != found[:-1, 0])])
+    step = int(found[:, 2].max()) + 2  # rows apart, so that the running maximum of one never reaches the next
+    reach = np.maximum.accumulate(found[:, 2] + rows * step)
+    new = np.concatenate([[True], found[1:, 1] + rows[1:] * step > reach[:-1] + 1])
+    new |= np.concatenate([[True], rows[1:] != rows[:-1]])
+    starts = np.flatnonzero(new)
+    lasts = np.maximum.reduceat(found[:, 2], starts)
+    return np.stack([found[starts, 0], found[starts, 1], lasts], 1)
+
+
 def _make_runs(packed: DataFrame, wanted: DataFrame, ranges: int, conf: Repeats) -> DataFrame:
     """(range, kind, blob): sorted front-coded runs of the suffixes at wanted anchors.
 
@@ -320,6 +356,7 @@ def _make_runs(packed: DataFrame, wanted: DataFrame, ranges: int, conf: Repeats)
         unpress = zstandard.ZstdDecompressor()
         grouped: dict[tuple, list] = {}
         windows: dict[bytes, list] = {}
+        codes: dict[bytes, int] = {}
         repeated: list[tuple[int, int, int]] = []
         wanted_anchors = np.sort(wanted_anchors)
         hot = set(hot_anchors.tolist())
@@ -329,12 +366,16 @@ def _make_runs(packed: DataFrame, wanted: DataFrame, ranges: int, conf: Repeats)
             signed = anchor.view(np.int64)
             if not len(wanted_anchors) or not len(signed):
                 continue
+            grams = None
             spot = np.minimum(np.searchsorted(wanted_anchors, signed), len(wanted_anchors) - 1)
             for i in np.flatnonzero(wanted_anchors[spot] == signed).tolist():
                 name, a, b, p = int(signed[i]), int(first[i]), int(last[i]), int(place[i])
                 if name in hot:
-                    for w in range(a, b + 1):
-                        windows.setdefault(raw[w : w + conf.length], []).append((row, w))
+                    grams = gram_hashes(raw, conf)[1] if grams is None else grams
+                    for w, code in zip(range(a, b + 1), (window_codes(grams, a, b, conf) % np.uint64(ranges)).tolist()):
+                        window = raw[w : w + conf.length]
+                        windows.setdefault(window, []).append((row, w))
+                        codes[window] = code
                 else:
                     key = (name, raw[p : b + conf.length], raw[a:p], p - b, p - a)
                     grouped.setdefault(key, []).append((row, a))
@@ -348,13 +389,13 @@ def _make_runs(packed: DataFrame, wanted: DataFrame, ranges: int, conf: Repeats)
             if len(spots) > 1:
                 repeated += [(row_id, w, w) for row_id, w in spots]
             row_id, w = spots[0] if len(spots) == 1 else (-1, 0)
-            code = int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little")
-            dealt.setdefault((code % ranges, b"w"), []).append((window, b"", 0, 0, row_id, w, 0))
+            dealt.setdefault((codes[window], b"w"), []).append((window, b"", 0, 0, row_id, w, 0))
         for (target, kind), entries in dealt.items():
             entries.sort(key=lambda e: (e[0], e[1], e[2], e[3]))
             yield target, kind.decode(), _pack(kind, entries)
-        for at in range(0, len(repeated), 100_000):
-            part = np.array(repeated[at : at + 100_000], "<i8").tobytes()
+        fused = fuse(repeated)
+        for at in range(0, len(fused), 100_000):
+            part = fused[at : at + 100_000].astype("<i8").tobytes()
             yield (number + at) % ranges, "r", zstandard.ZstdCompressor(level=3).compress(part)
 
     def run(key: tuple, flags: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
@@ -429,8 +470,8 @@ def _merge_ranges(runs: DataFrame, conf: Repeats) -> DataFrame:
         current, blobs = None, []
 
         def done() -> pd.DataFrame:
-            found = list((suffixes if current[1] == "s" else windows)(blobs))
-            return pd.DataFrame(found, columns=["row_id", "first", "last"], dtype="int64")
+            found = fuse(list((suffixes if current[1] == "s" else windows)(blobs)))
+            return pd.DataFrame(found, columns=["row_id", "first", "last"])
 
         for frame in frames:
             for target, kind, blob in zip(frame["range"], frame["kind"], frame["blob"]):

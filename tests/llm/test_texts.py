@@ -378,3 +378,48 @@ def test_number_signs_are_no_letters_and_a_null_doc_id_is_learned_from(spark):
     by_id = {r.doc_id: r.lang_pred for r in found.collect()}
     assert (by_id[50], by_id[51], by_id[52], by_id[None]) == ("und", "aa", "und", "aa")
     assert docs.select(langid.held_out().alias("h")).where("h is null").count() == 0
+
+
+def test_fused_ranges():
+    rnd = random.Random(2)
+    for _ in range(200):
+        ranges = [(r, a, a + rnd.randrange(4)) for r in rnd.sample([0, 1, 7, 1 << 33], 2) for a in (rnd.randrange(30) for _ in range(rnd.randrange(8)))]
+        covered = {(r, x) for r, a, b in ranges for x in range(a, b + 1)}
+        fused = [tuple(x) for x in sd.fuse(ranges).tolist()]
+        assert {(r, x) for r, a, b in fused for x in range(a, b + 1)} == covered
+        assert fused == sorted(fused) and all(r != s or b + 1 < c for (r, _, b), (s, c, _) in zip(fused, fused[1:]))
+
+
+def near_copies(n, size=1000, edits=2):
+    rnd = random.Random(n)
+    base = [rnd.choice("abcdefghij klm") for _ in range(size)]
+    rows = []
+    for i in range(n):
+        own = list(base)
+        for _ in range(edits):
+            own[rnd.randrange(size)] = rnd.choice("XYZUVW")
+        rows.append((i, "".join(own)))
+    return rows
+
+
+def test_rows_of_a_large_group_of_near_copies_grow_with_its_documents(spark):
+    """Also where its anchors are hot: ranges of windows stay ranges."""
+    made = {}
+    for n in (500, 4000):
+        docs = spark.createDataFrame(near_copies(n), "doc_id long, text string").repartition(8)
+        made[n] = sd.repeated_windows(sd._packed(docs)).count() / n
+    assert made[4000] <= 2 * made[500]
+
+
+def test_a_large_group_of_near_copies_against_all_windows(spark):
+    rows = near_copies(4000)
+    seen = Counter(text[i : i + 200] for _, text in rows for i in range(801))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {r.doc_id: (r.n_removed, r.n_spans, bytes(r.kept).decode()) for r in sd.remove_repeats(docs).collect()}
+    for i, text in rows:
+        lost = bytearray(len(text))
+        for at in range(801):
+            if seen[text[at : at + 200]] > 1:
+                lost[at : at + 200] = b"\x01" * 200
+        spans = sum(1 for k, x in enumerate(lost) if x and (k == 0 or not lost[k - 1]))
+        assert got[i] == (sum(lost), spans, "".join(c for c, x in zip(text, lost) if not x))
