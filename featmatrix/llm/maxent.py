@@ -121,16 +121,30 @@ def _few_tasks(docs: DataFrame, tokens: int, conf: Settings) -> DataFrame:
     return docs.coalesce(max(least, math.ceil(tokens / conf.task_tokens)))
 
 
-def _id_batches(texts: Iterator[tuple], vocabulary: Vocabulary, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids of whole texts, each with two ends before it, in batches of about `size` tokens, and which are tokens."""
+def _encoded(docs: DataFrame, vocabulary: Broadcast) -> DataFrame:
+    """(ids): the ids of every text, as 32-bit integers; written once, since every pass of the training reads them."""
+
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        words = vocabulary.value
+        for (text,) in rows:
+            yield (words.encode(tokens_of(text)).astype("<i4").tobytes(),)
+
+    return durable(map_rows(docs, ["text"], "ids binary", run, batch=1024))
+
+
+def _id_batches(texts: Iterator[tuple], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids of whole texts, each with two ends before it, in batches of about `size` tokens, and which are tokens.
+
+    A very long text comes in several batches; each goes on with the history of the one before.
+    """
     held: list[np.ndarray] = []
     marks: list[np.ndarray] = []
-    total, before = 0, np.zeros(2, np.int64)
-    for (text,) in texts:
-        ids = vocabulary.encode(tokens_of(text))
-        for at in range(0, len(ids), size):  # a very long text comes in several batches; its history starts anew
+    total, start = 0, np.zeros(2, np.int64)
+    for (raw,) in texts:
+        ids = np.frombuffer(raw, "<i4").astype(np.int64)
+        for at in range(0, len(ids), size):
             part = ids[at : at + size]
-            held += [before, part]
+            held += [ids[at - 2 : at] if at else start, part]
             marks += [np.zeros(2, bool), np.ones(len(part), bool)]
             total += len(part)
             if total >= size:
@@ -140,19 +154,19 @@ def _id_batches(texts: Iterator[tuple], vocabulary: Vocabulary, size: int) -> It
         yield np.concatenate(held), np.concatenate(marks)
 
 
-def _ending_neighbours(docs: DataFrame, vocabulary: Broadcast, n: int, conf: Settings) -> np.ndarray:
+def _ending_neighbours(encoded: DataFrame, vocabulary: Broadcast, n: int, conf: Settings) -> np.ndarray:
     """n x n counts of which ending follows which."""
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         words = vocabulary.value
         total = np.zeros(n * n, np.int64)
-        for ids, good in _id_batches(rows, words, conf.batch):
+        for ids, good in _id_batches(rows, conf.batch):
             own = words.ending[ids]
             total += np.bincount((own[:-1] * n + own[1:])[good[1:]], minlength=n * n)
         room = np.zeros(-len(total) % conf.blocks, np.int64)
         yield from _as_blocks(np.concatenate([total, room]), conf.blocks, int(total.sum() % 64))
 
-    parts = map_rows(docs, ["text"], "block int, salt int, values binary", run, batch=conf.blocks)
+    parts = map_rows(encoded, ["ids"], "block int, salt int, values binary", run, batch=conf.blocks)
     return _sum_blocks(parts, n * n, "<i8")[: n * n].reshape(n, n)
 
 
@@ -198,7 +212,7 @@ def _chances(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return scores
 
 
-def _train_round(docs: DataFrame, vocabulary: Broadcast, weights: Broadcast, conf: Settings) -> np.ndarray:
+def _train_round(encoded: DataFrame, vocabulary: Broadcast, weights: Broadcast, conf: Settings) -> np.ndarray:
     """The averaged change of the weights after one pass over these documents."""
     shape = (conf.buckets, conf.classes)
 
@@ -207,7 +221,7 @@ def _train_round(docs: DataFrame, vocabulary: Broadcast, weights: Broadcast, con
         own = weights.value.copy()
         squares = np.full(shape, 1e-3, np.float32)
         seen = 0
-        for ids, marks in _id_batches(rows, words, conf.batch):
+        for ids, marks in _id_batches(rows, conf.batch):
             good = marks[2:]
             where = _rows(ids, conf.buckets)[:, good]
             error = _chances(own, where)
@@ -228,7 +242,7 @@ def _train_round(docs: DataFrame, vocabulary: Broadcast, weights: Broadcast, con
             for b, part in enumerate(parts):
                 yield b, salt, np.append(part, np.float32(seen)).tobytes()
 
-    parts = map_rows(docs, ["text"], "block int, salt int, values binary", run, batch=conf.blocks)
+    parts = map_rows(encoded, ["ids"], "block int, salt int, values binary", run, batch=conf.blocks)
     width = shape[0] * shape[1]
     total = _sum_blocks(parts, width + conf.blocks, "<f4").reshape(conf.blocks, -1)
     return (total[:, :-1] / np.maximum(total[:, -1:], 1)).reshape(shape)
@@ -280,9 +294,9 @@ def fit(training: DataFrame, conf: Settings = Settings()) -> Model:
     endings = [e for e, _, _ in by_size[: conf.endings]]
     words = [w for w, _ in top]
     plain = spark.sparkContext.broadcast(Vocabulary(words, endings))
-    few = _few_tasks(texts, tokens, conf)
+    encoded = _encoded(_few_tasks(texts, tokens, conf), plain)
     n = len(endings) + 2
-    classes = _cluster_endings(_ending_neighbours(few, plain, n, conf), conf.classes)
+    classes = _cluster_endings(_ending_neighbours(encoded, plain, n, conf), conf.classes)
     vocabulary = spark.sparkContext.broadcast(Vocabulary(words, endings, classes))
     mass, kinds = np.zeros(conf.classes), np.zeros(conf.classes)
     place = {e: i + 2 for i, e in enumerate(endings)}
@@ -295,7 +309,7 @@ def fit(training: DataFrame, conf: Settings = Settings()) -> Model:
     weights = np.zeros((conf.buckets, conf.classes), np.float32)
     for _ in range(conf.rounds if tokens else 0):
         held = spark.sparkContext.broadcast(weights)
-        weights = weights + _train_round(few, vocabulary, held, conf)
+        weights = weights + _train_round(encoded, vocabulary, held, conf)
         held.unpersist()
     found = np.log10(np.array([ends] + [n for _, n in top], float) + 0.5)
     return Model(
