@@ -38,7 +38,7 @@ SCHEMA = (
 
 
 #: Characters of text that are encoded together.
-TOGETHER = 200_000
+TOGETHER = 800_000
 
 
 @dataclass(frozen=True)
@@ -66,7 +66,7 @@ class WordBpe:
     The memory has two generations: when the younger is full the older is dropped, so pieces in use stay known.
     """
 
-    CACHE = 120_000
+    CACHE = 300_000
     SPECIAL = re.compile(r"[^\t\n\r\x20-\x7e\xa1-įĲ-ſ]|<\|")
     PIECES = _plain_pieces()
 
