@@ -27,11 +27,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import Broadcast
+import pyarrow as pa
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featmatrix.llm.common import durable, map_rows
+from featmatrix.llm.common import durable, map_rows, small_batches
+
+#: Parts of scores: sums of a document without its rare words, and rows of its rare words.
+SCORED = pa.schema([
+    ("row", pa.int64()), ("doc_id", pa.int64()), ("token", pa.binary()), ("times", pa.int64()), ("n", pa.int64()),
+    ("known", pa.int64()), ("base", pa.float64()), ("model", pa.float64()),
+])
 
 #: The end of a text; no word holds a line feed.
 END = b"\n"
@@ -78,16 +85,23 @@ class Vocabulary(dict):
 def count_tokens(docs: DataFrame) -> DataFrame:
     """(token, n) over all texts; tasks combine before the shuffle."""
 
-    def rows_of(rows: Iterator[tuple]) -> Iterator[tuple]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[bytes] = Counter()
-        for (text,) in rows:
-            counts.update(tokens_of(text))
-            if len(counts) > 400_000:
-                yield from counts.items()
-                counts.clear()
-        yield from counts.items()
 
-    parts = map_rows(docs, ["text"], "token binary, n long", rows_of, batch=20_000)
+        def found() -> Iterator[pa.RecordBatch]:
+            words, times = pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())
+            for at in range(0, len(words), 50_000):
+                yield pa.record_batch([words.slice(at, 50_000), times.slice(at, 50_000)], names=["token", "n"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                counts.update(tokens_of(text))
+                if len(counts) > 400_000:
+                    yield from found()
+                    counts.clear()
+        yield from found()
+
+    parts = small_batches(docs).select("text").mapInArrow(run, "token binary, n long")
     return parts.groupBy("token").agg(F.sum("n").alias("n"))
 
 
@@ -203,9 +217,9 @@ def _rows(ids: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _chances(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    scores = weights[rows[0]]
-    scores += weights[rows[1]]
-    scores += weights[rows[2]]
+    scores = weights.take(rows[0], axis=0)
+    scores += weights.take(rows[1], axis=0)
+    scores += weights.take(rows[2], axis=0)
     scores -= scores.max(1, keepdims=True)
     np.exp(scores, out=scores)
     scores /= scores.sum(1, keepdims=True)
@@ -222,19 +236,24 @@ def _train_round(encoded: DataFrame, vocabulary: Broadcast, weights: Broadcast,
         squares = np.full(shape, 1e-3, np.float32)
         seen = 0
         for ids, marks in _id_batches(rows, conf.batch):
-            good = marks[2:]
-            where = _rows(ids, conf.buckets)[:, good]
+            good = np.flatnonzero(marks[2:])
+            where = _rows(ids, conf.buckets).take(good, axis=1)
             error = _chances(own, where)
             error[np.arange(error.shape[0]), words.classes[ids[2:][good]]] -= 1
             for feature in where:
                 order = np.argsort(feature.astype(np.uint16) if conf.buckets <= 1 << 16 else feature, kind="stable")
                 sorted_rows = feature[order]
                 starts = np.flatnonzero(np.diff(sorted_rows, prepend=-1))
-                slope = np.add.reduceat(error[order], starts, axis=0)
+                slope = np.add.reduceat(error.take(order, axis=0), starts, axis=0)
                 touched = sorted_rows[starts]
-                squares[touched] += slope * slope
-                own[touched] -= conf.rate * slope / np.sqrt(squares[touched])
-            seen += int(good.sum())
+                square = squares.take(touched, axis=0)
+                square += slope * slope
+                squares[touched] = square
+                slope *= -conf.rate
+                slope /= np.sqrt(square, out=square)
+                slope += own.take(touched, axis=0)
+                own[touched] = slope
+            seen += len(good)
         if seen:
             change = (own - weights.value).astype(np.float64) * seen
             parts = np.split(change.ravel().astype(np.float32), conf.blocks)
@@ -327,16 +346,16 @@ def score(docs: DataFrame, model: Model, conf: Settings = Settings()) -> DataFra
     vocabulary, weights, top, class_logs = model.vocabulary, model.weights, model.top, model.class_logs
     trained = model.tokens > 0
 
-    def rows_of(rows: Iterator[tuple]) -> Iterator[tuple]:
-        from pyspark import TaskContext
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, table, logs = vocabulary.value, weights.value, top.value
         row = TaskContext.get().partitionId() << 33
         held: list[tuple] = []
+        rare_words: list[bytes] = []
+        rare_times: list[int] = []
 
-        def done() -> Iterator[tuple]:
-            ids = np.concatenate([x for _, _, own in held for x in (np.zeros(2, np.int64), own)])
-            starts = np.cumsum([0] + [len(own) + 2 for _, _, own in held])[:-1]
+        def documents() -> pa.RecordBatch:
+            ids = np.concatenate([x for _, _, own, _ in held for x in (np.zeros(2, np.int64), own)])
+            starts = np.cumsum([0] + [len(own) + 2 for _, _, own, _ in held])[:-1]
             shown = ids[2:]
             chance = np.empty(len(ids))
             chance[:2] = 0
@@ -349,29 +368,41 @@ def score(docs: DataFrame, model: Model, conf: Settings = Settings()) -> DataFra
             frequent = ids < words.first_rare
             known = frequent & trained  # without training text not even the end is known
             base = np.where(frequent, logs[np.minimum(ids, words.first_rare - 1)], 0.0)
-            for (number, doc_id, own), start in zip(held, starts.tolist()):
+            rows = []
+            for (number, doc_id, own, _), start in zip(held, starts.tolist()):
                 span = slice(start + 2, start + 2 + len(own))
                 sums = float(base[span].sum())
-                yield number, doc_id, None, 0, len(own), int(known[span].sum()), sums, sums + float(chance[span].sum())
+                rows.append((number, doc_id, None, 0, len(own), int(known[span].sum()), sums, sums + float(chance[span].sum())))
+            return pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows), SCORED)], schema=SCORED)
+
+        def rare_rows() -> pa.RecordBatch:
+            n = len(rare_words)
+            owners = np.repeat([r for r, _, _, _ in held], [c for _, _, _, c in held])
+            zeros, nothing = np.zeros(n, np.int64), np.zeros(n)
+            columns = [owners, pa.nulls(n, pa.int64()), pa.array(rare_words, pa.binary()), rare_times, zeros, zeros, nothing, nothing]
+            return pa.record_batch([pa.array(x, f.type) for x, f in zip(columns, SCORED)], schema=SCORED)
 
         size = 0
-        for doc_id, text in rows:
-            tokens = tokens_of(text)
-            own = words.encode(tokens)
-            rare = np.flatnonzero(own >= words.first_rare)
-            for word, times in Counter(tokens[i] for i in rare.tolist()).items():
-                yield row, doc_id, word, times, 0, 0, 0.0, 0.0
-            held.append((row, doc_id, own))
-            row += 1
-            size += len(own)
-            if size >= conf.batch:
-                yield from done()
-                held, size = [], 0
+        for batch in batches:
+            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+                tokens = tokens_of(text)
+                own = words.encode(tokens)
+                rare = Counter(map(tokens.__getitem__, np.flatnonzero(own >= words.first_rare).tolist()))
+                rare_words.extend(rare.keys())
+                rare_times.extend(rare.values())
+                held.append((row, doc_id, own, len(rare)))
+                row += 1
+                size += len(own)
+                if size >= conf.batch:
+                    yield documents()
+                    yield rare_rows()
+                    held, size, rare_words, rare_times = [], 0, [], []
         if held:
-            yield from done()
+            yield documents()
+            yield rare_rows()
 
     schema = "row long, doc_id long, token binary, times long, n long, known long, base double, model double"
-    parts = durable(map_rows(docs, ["doc_id", "text"], schema, rows_of, batch=20_000))
+    parts = durable(small_batches(docs).select("doc_id", "text").mapInArrow(run, schema))
     rare = (
         parts.where("token is not null").select("row", "doc_id", "token", "times")
         .join(model.counts.withColumnRenamed("n", "count"), "token", "left")
