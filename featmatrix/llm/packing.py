@@ -3,7 +3,8 @@
 An example has three demands: tokens, one segment, and tokens that bear loss. A sequence has a limit on each. While
 a sequence is open, the example that fits and has the largest dot product of its demand with the room that is left,
 both as shares of the limits and weighted by the total demand of each kind, goes in next; when none fits, the
-sequence is closed. Texts longer than a sequence are cut into whole sequences plus a rest, so only rests compete.
+sequence is closed. Texts longer than a sequence are cut into whole sequences plus a rest, so only rests compete; one with
+a prompt, whose tokens bear no loss, is cut where either its tokens or its loss-bearing tokens reach their limit.
 
 Every partition packs its own examples in pools of bounded size: no shuffle and no group that grows with the data.
 A pool hands the examples of its last, half-filled sequences on to the next pool, so only the end of a partition
@@ -44,7 +45,7 @@ TOGETHER = 800_000
 @dataclass(frozen=True)
 class Limits:
     tokens: int = 2048
-    segments: int = 64
+    segments: int = 512
     loss_tokens: int = 2048
     pool: int = 2048
     window: int = 512
@@ -167,19 +168,25 @@ def pack_vectors(demands: np.ndarray, limits: np.ndarray, window: int) -> list[l
     return bins
 
 
-def _pieces(doc_id: int, ids: bytes, limits: Limits) -> list[tuple]:
-    """(doc_id, start, length, crc, doc tokens) of whole sequences and the rest."""
-    total, step = len(ids) // 4, min(limits.tokens, limits.loss_tokens)
-    return [
-        (doc_id, at, min(step, total - at), zlib.crc32(ids[4 * at : 4 * (at + step)]), total)
-        for at in range(0, total, step)
-    ]
+def _pieces(doc_id: int, ids: bytes, limits: Limits, prompt: int = 0) -> list[tuple]:
+    """(doc_id, start, length, crc, doc tokens, loss tokens) of whole sequences and the rest; the first `prompt` ids bear no loss."""
+    total, at, out = len(ids) // 4, 0, []
+    while at < total:
+        # as long as the tokens allow, or as the loss-bearing ones among them do
+        end = min(total, at + limits.tokens, max(at, prompt) + limits.loss_tokens)
+        out.append((doc_id, at, end - at, zlib.crc32(ids[4 * at : 4 * end]), total, max(0, end - max(at, prompt))))
+        at = end
+    return out
 
 
-def pack_examples(docs: DataFrame, path: str, end_id: int, limits: Limits = Limits()) -> DataFrame:
+def pack_examples(
+    docs: DataFrame, path: str, end_id: int, limits: Limits = Limits(), prompt: str | None = None
+) -> DataFrame:
     """Tokenize every whole text, add the end id, cut and pack. One row per piece.
 
-    Every token of a document bears loss, as plain text has no prompt.
+    `prompt` names a column of texts that come before the text of a row and bear no loss (instructions, earlier turns);
+    null is an empty one. The rest of an example and its end bear loss. Without it every token does, as plain text
+    has no prompt.
     """
 
     def rows_of(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -194,30 +201,38 @@ def pack_examples(docs: DataFrame, path: str, end_id: int, limits: Limits = Limi
             for one in bins:
                 offset = 0
                 for segment, i in enumerate(one):
-                    yield (*pieces[i], number, offset, pieces[i][2], segment)
+                    yield (*pieces[i][:5], number, offset, pieces[i][5], segment)
                     offset += pieces[i][2]
                 number += 1
 
         def pack(pieces: list[tuple]) -> list[list[int]]:
-            lengths = np.array([p[2] for p in pieces], np.int64)
-            return pack_vectors(np.stack([lengths, np.ones_like(lengths), lengths], 1), bound, limits.window)
+            lengths, loss = (np.array([p[i] for p in pieces], np.int64) for i in (2, 5))
+            return pack_vectors(np.stack([lengths, np.ones_like(lengths), loss], 1), bound, limits.window)
 
         def encoded() -> Iterator[tuple]:
             """Documents with their ids; a few texts are encoded together, a long one by itself."""
             held: list[tuple] = []
             size = 0
+
+            def done() -> Iterator[tuple]:
+                ids = tokenizer.encode_all([t or "" for row in held for t in row[1:]])
+                parts = len(held[0]) - 1
+                for i, row in enumerate(held):
+                    own = ids[i * parts : (i + 1) * parts]  # the text, and its prompt if there is one
+                    yield row[0], b"".join(reversed(own)) + end, len(b"".join(own[1:])) // 4
+
             for row in rows:
                 held.append(row)
-                size += len(row[1] or "")
+                size += sum(len(t or "") for t in row[1:])
                 if size >= TOGETHER:
-                    yield from zip((d for d, _ in held), tokenizer.encode_all([t or "" for _, t in held]))
+                    yield from done()
                     held, size = [], 0
             if held:
-                yield from zip((d for d, _ in held), tokenizer.encode_all([t or "" for _, t in held]))
+                yield from done()
 
         pool: list[tuple] = []
-        for doc_id, ids in encoded():
-            for piece in _pieces(doc_id, ids + end, limits):
+        for doc_id, ids, before in encoded():
+            for piece in _pieces(doc_id, ids, limits, before):
                 if piece[2] == limits.tokens:
                     yield from emit([piece], [[0]])
                 else:
@@ -234,7 +249,8 @@ def pack_examples(docs: DataFrame, path: str, end_id: int, limits: Limits = Limi
         if pool:
             yield from emit(pool, pack(pool))
 
-    return map_rows(docs, ["doc_id", "text"], SCHEMA, rows_of, batch=4096)
+    columns = ["doc_id", "text"] if prompt is None else ["doc_id", "text", prompt]
+    return map_rows(docs, columns, SCHEMA, rows_of, batch=4096)
 
 
 def padding(sequences: pd.Series) -> float:

@@ -4,9 +4,10 @@ import base64
 import hashlib
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -95,6 +96,41 @@ def test_every_id_is_packed_once(spark, documents):
     assert pack_examples(documents(rows).limit(0), WORDS, 1).count() == 0
 
 
+def test_loss_bearing_tokens_limit_a_sequence(spark):
+    """Instruction data: prompts bear no loss, and sequences close when their answers reach the third limit."""
+    rnd = random.Random(7)
+    say = lambda n: " ".join(rnd.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(n))
+    rows = [(i, say(rnd.randint(0, 60)), say(rnd.choice([0, 5, 40, 300]))) for i in range(400)]
+    rows += [(900, say(10), None), (901, None, say(900)), (902, say(700), say(3)), (903, "", ""), (904, say(2), say(1500))]
+    docs = spark.createDataFrame([(i, t, p, 1) for i, t, p in rows], "doc_id long, text string, asked string, loss_tokens int").repartition(2)
+    limits = Limits(tokens=512, segments=64, loss_tokens=100, pool=100, window=32)
+    got = pack_examples(docs, WORDS, 1, limits, "asked").collect()
+    tokens = {i: (len((p or "").split()), len((t or "").split()) + 1) for i, t, p in rows}
+    sums = {}
+    for r in got:
+        one = sums.setdefault(r.sequence_id, [0, 0, 0])
+        for k, x in enumerate((r.length, 1, r.loss_tokens)):
+            one[k] += x
+    for i, (before, own) in tokens.items():
+        pieces = sorted((r for r in got if r.doc_id == i), key=lambda r: r.start)
+        assert sum(r.length for r in pieces) == before + own == pieces[0].doc_tokens and sum(r.loss_tokens for r in pieces) == own
+        assert [r.start for r in pieces] == [sum(x.length for x in pieces[:k]) for k in range(len(pieces))]
+        assert all(r.loss_tokens == max(0, r.start + r.length - max(r.start, before)) for r in pieces)
+    assert all(s[0] <= 512 and s[1] <= 64 and s[2] <= 100 for s in sums.values())
+    bound = sum(s[2] >= 90 and s[0] < 480 for s in sums.values())
+    assert bound > len(sums) / 4  # closed by the third limit, with room for tokens
+    free = pack_examples(docs, WORDS, 1, Limits(tokens=512, segments=64, loss_tokens=512, pool=100, window=32), "asked")
+    assert free.select("sequence_id").distinct().count() < len(sums)
+
+
+def test_very_short_texts_leave_little_padding(documents):
+    got = pack_examples(documents([(i, "one two three four five six seven") for i in range(6000)], partitions=1), WORDS, 1).collect()
+    sums = Counter()
+    for r in got:
+        sums[r.sequence_id] += r.length
+    assert padding(pd.Series(list(sums.values()))) < 0.05
+
+
 def test_bins_hold_all_limits_and_everything():
     rnd = np.random.default_rng(1)
     demands = np.stack([rnd.integers(1, 100, 300), np.ones(300, int), rnd.integers(0, 60, 300)], 1)
