@@ -269,8 +269,9 @@ def near_duplicates(docs: DataFrame, conf: Sketching = Sketching()) -> DataFrame
 
     searched = classes.select("rep", "doc_id", "set_hash").join(shared.select("rep").distinct(), "rep", "left_semi")
     found_sets = map_sets(docs.join(searched.select("doc_id").distinct(), "doc_id", "left_semi"), conf)
-    by_class = found_sets.join(searched.select("rep", "doc_id", "set_hash"), ["doc_id", "set_hash"])
-    sets = durable(by_class.select("rep", "shingles").dropDuplicates(["rep"]))
+    # made distinct by the keys of the join, so that full sets are shuffled once
+    one_each = found_sets.dropDuplicates(["doc_id", "set_hash"])
+    sets = durable(one_each.join(searched, ["doc_id", "set_hash"]).select("rep", "shingles"))
     first = durable(_confirm(best, sets, conf))
     state = durable(_components(first, classes))
 
