@@ -67,7 +67,7 @@ class WordBpe:
     The memory has two generations: when the younger is full the older is dropped, so pieces in use stay known.
     """
 
-    CACHE = 300_000
+    CACHE = 240_000
     SPECIAL = re.compile(r"[^\t\n\r\x20-\x7e\xa1-įĲ-ſ]|<\|")
     PIECES = _plain_pieces()
 
@@ -248,6 +248,7 @@ def pack_examples(
                 pool = [pool[i] for i in sorted(back)]
         if pool:
             yield from emit(pool, pack(pool))
+        tokenizer.forget()  # the worker lives on and shares its executor's memory with other stages
 
     columns = ["doc_id", "text"] if prompt is None else ["doc_id", "text", prompt]
     return map_rows(docs, columns, SCHEMA, rows_of, batch=4096)
