@@ -251,7 +251,7 @@ def near_duplicates(docs: DataFrame, conf: Sketching = Sketching()) -> DataFrame
     reps = firsts.select("set_hash", F.col("first.row").alias("rep"))
     classes = durable(
         real.join(firsts.select(F.col("first.row").alias("row")), "row")
-        .select(F.col("row").alias("rep"), "doc_id", "set_hash", "n_shingles", "sketch", "bands")
+        .select(F.col("row").alias("rep"), "doc_id", "text_hash", "n_shingles", "sketch", "bands")
     )
     banded = classes.select("rep", F.explode("bands").alias("bucket"))
     buckets = banded.groupBy("bucket").agg(F.min("rep").alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -267,11 +267,10 @@ def near_duplicates(docs: DataFrame, conf: Sketching = Sketching()) -> DataFrame
     rated = _sketch_filter(with_sketches(stars), conf).select("a", "b", "similar")
     best = durable(rated.groupBy("a").agg(F.max(F.struct("similar", -F.col("b"))).alias("top")).select("a", (-F.col("top.col2")).alias("b")))
 
-    searched = classes.select("rep", "doc_id", "set_hash").join(shared.select("rep").distinct(), "rep", "left_semi")
-    found_sets = map_sets(docs.join(searched.select("doc_id").distinct(), "doc_id", "left_semi"), conf)
-    # made distinct by the keys of the join, so that full sets are shuffled once
-    one_each = found_sets.dropDuplicates(["doc_id", "set_hash"])
-    sets = durable(one_each.join(searched, ["doc_id", "set_hash"]).select("rep", "shingles"))
+    searched = classes.select("rep", "doc_id", "text_hash").join(shared.select("rep").distinct(), "rep", "left_semi")
+    # one text of each class; made distinct by the keys of the join, so that neither texts nor full sets are shuffled again
+    texts = docs.withColumn("text_hash", F.unhex(F.md5("text"))).join(searched, ["doc_id", "text_hash"])
+    sets = durable(map_sets(texts.dropDuplicates(["doc_id", "text_hash"]).select("rep", "text"), conf))
     first = durable(_confirm(best, sets, conf))
     state = durable(_components(first, classes))
 
@@ -295,13 +294,12 @@ def near_duplicates(docs: DataFrame, conf: Sketching = Sketching()) -> DataFrame
     )
 
 
-def map_sets(docs: DataFrame, conf: Sketching) -> DataFrame:
-    """(doc_id, set_hash, shingles): the full set of each document as sorted 64-bit integers in bytes."""
+def map_sets(texts: DataFrame, conf: Sketching) -> DataFrame:
+    """(rep, shingles): the full set of each text as sorted 64-bit integers in bytes."""
 
     def rows_of(rows: Iterator[tuple]) -> Iterator[tuple]:
         known = _Words()
-        for doc_id, text in rows:
-            values = shingle_set(text, conf.shingle, known).tobytes()
-            yield doc_id, xxhash.xxh3_128_digest(values), values
+        for rep, text in rows:
+            yield rep, shingle_set(text, conf.shingle, known).tobytes()
 
-    return map_rows(docs, ["doc_id", "text"], "doc_id long, set_hash binary, shingles binary", rows_of, batch=256)
+    return map_rows(texts, ["rep", "text"], "rep long, shingles binary", rows_of, batch=256)
