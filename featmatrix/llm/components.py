@@ -25,21 +25,15 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     )
     seen = None
     for _ in range(rounds):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = now.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
+        # larger neighbours go to the smallest neighbour or u itself; u keeps its own link to a smaller minimum
         large = (
             both.join(_minima(both), "u")
-            .where("v > u")
-            .select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-        )
-        # u keeps its own link to a smaller minimum
-        large = large.unionByName(_minima(both).where("m < u").select("u", F.col("m").alias("v"))).distinct()
-        low = _minima(large)
-        small = large.join(low, "u")
-        now = durable(
-            small.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(low.select("u", F.col("m").alias("v")))
-            .distinct()
+            .where((F.col("v") > F.col("u")) | (F.col("v") == F.col("m")))
+            .select(F.greatest("u", "v").alias("u"), F.least("m", "u").alias("v"))
         )
+        small = large.join(_minima(large), "u")
+        now = durable(small.select(F.when(F.col("v") > F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v")).distinct())
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break
@@ -48,3 +42,19 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     members = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return members.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def forest_roots(links: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, component) for links (a, b) in which each `a` has one `b` below it; roots themselves are not listed.
+
+    Pointers are doubled, so the rounds follow the logarithm of the depth; each is one join, which adaptive execution
+    can split at a popular parent. The driver sees one sum per round.
+    """
+    now = durable(links.select(F.col("a").alias("node"), F.col("b").alias("component")))
+    for _ in range(rounds):
+        above = now.select(F.col("node").alias("component"), F.col("component").alias("up"))
+        step = now.select("node", "component").join(above, "component", "left")
+        now = durable(step.select("node", F.coalesce("up", "component").alias("component"), F.col("up").isNotNull().cast("int").alias("moved")))
+        if not now.agg(F.sum("moved")).first()[0]:
+            return now.drop("moved")
+    raise RuntimeError("a chain of links is too deep or turns back")

@@ -9,8 +9,9 @@ rules out pairs for certain. Documents with equal sets are one class before the
 1. In each band bucket every class is paired with the bucket's smallest; of these pairs each class keeps the one
    with the best sketch estimate. Full sets confirm or refute it. Confirmed pairs are united.
 2. Buckets whose classes are still in several components get the rest of their pairs: members are cut into chunks,
-   chunk is compared with chunk by sketches, and pairs across components that the sketch lets through are confirmed
-   on full sets. So no link is lost, though no bucket is expanded where one component already holds it.
+   and chunk is compared with chunk by sketches. Of the pairs across components that the sketch lets through, each
+   class first has its best one confirmed on full sets, and components are united; then all pairs that still lie
+   across components are confirmed. So no link is lost, though a dense group needs about one confirmation a class.
 
 A pair is looked at only in its first common bucket. A pair at the threshold shares a band with a chance of 0.999995,
 and the estimate from the first sketch leaves four standard deviations of room.
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featmatrix.llm.common import durable, map_rows, mix64
-from featmatrix.llm.components import connected_components
+from featmatrix.llm.components import connected_components, forest_roots
 
 
 @dataclass(frozen=True)
@@ -141,18 +142,18 @@ def _similar_enough(first: bytes, second: bytes, percent: int) -> bool:
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, conf: Sketching) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity."""
+    """(a, b): the components `ca` and `cb` of those pairs whose full sets reach the similarity."""
     percent = conf.percent
     joined = (
         pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("one")), "a")
         .join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("two")), "b")
-        .select("a", "b", "one", "two")
+        .select("ca", "cb", "one", "two")
     )
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             good = [_similar_enough(x, y, percent) for x, y in zip(frame["one"], frame["two"])]
-            yield frame.loc[good, ["a", "b"]]
+            yield frame.loc[good, ["ca", "cb"]].set_axis(["a", "b"], axis=1)
 
     return joined.mapInPandas(run, "a long, b long")
 
@@ -184,7 +185,10 @@ def _sketch_filter(pairs: DataFrame, conf: Sketching) -> DataFrame:
 
 
 def _pairs_across(members: DataFrame, conf: Sketching) -> DataFrame:
-    """Pairs of different components in one bucket that the sketch lets through, chunk against chunk."""
+    """(a, b, ca, cb, similar): pairs of different components `ca` and `cb` in one bucket that the sketch lets through.
+
+    Chunk is compared with chunk; each pair comes once, from its first common bucket.
+    """
     chunks = F.ceil(F.col("n") / conf.chunk).cast("int")
     cells = (
         members.withColumn("own", F.pmod(F.xxhash64("rep"), chunks).cast("int"))
@@ -206,17 +210,22 @@ def _pairs_across(members: DataFrame, conf: Sketching) -> DataFrame:
             against = two if low != high else two[two > i]
             against = against[comp[against] != comp[i]]
             if len(against):
-                against = against[_likely(words[against], words[i][None], size[against], size[i], conf)[1]]
+                similar, good = _likely(words[against], words[i][None], size[against], size[i], conf)
+                against, similar = against[good], similar[good]
                 first = np.argmax(bands[against] == bands[i], axis=1)  # their first common bucket
-                for j in against[bands[i][first] == bucket]:
-                    yield max(rep[i], rep[j]), min(rep[i], rep[j])
+                here = bands[i][first] == bucket
+                for j, value in zip(against[here], similar[here]):
+                    x, y = (i, j) if rep[i] > rep[j] else (j, i)
+                    yield rep[x], rep[y], comp[x], comp[y], value
+
+    kinds = {"a": "int64", "b": "int64", "ca": "int64", "cb": "int64", "similar": "float64"}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
 
         def done() -> pd.DataFrame:
             whole = pd.concat(held) if len(held) > 1 else held[0]
-            return pd.DataFrame(compare(whole), columns=["a", "b"], dtype="int64")
+            return pd.DataFrame(compare(whole), columns=["a", "b", "ca", "cb", "similar"]).astype(kinds)
 
         for frame in frames:
             key = frame[["bucket", "low", "high"]].to_numpy()
@@ -231,12 +240,14 @@ def _pairs_across(members: DataFrame, conf: Sketching) -> DataFrame:
             yield done()
 
     order = ["bucket", "low", "high"]
-    return cells.repartition(*order).sortWithinPartitions(*order).mapInPandas(run, "a long, b long").distinct()
+    schema = "a long, b long, ca long, cb long, similar double"
+    return cells.repartition(*order).sortWithinPartitions(*order).mapInPandas(run, schema)
 
 
-def _components(edges: DataFrame, classes: DataFrame) -> DataFrame:
-    found = connected_components(edges).withColumnRenamed("node", "rep")
-    return classes.select("rep").join(found, "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"))
+def _renamed(rows: DataFrame, column: str, found: DataFrame) -> DataFrame:
+    """The rows with a component column as `found` (node, component) names it now."""
+    now = found.select(F.col("node").alias(column), F.col("component").alias("_now"))
+    return rows.join(now, column, "left").withColumn(column, F.coalesce("_now", column)).drop("_now")
 
 
 def near_duplicates(docs: DataFrame, conf: Sketching = Sketching()) -> DataFrame:
@@ -265,21 +276,27 @@ def near_duplicates(docs: DataFrame, conf: Sketching = Sketching()) -> DataFrame
 
     stars = shared.where("rep > first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct()
     rated = _sketch_filter(with_sketches(stars), conf).select("a", "b", "similar")
-    best = durable(rated.groupBy("a").agg(F.max(F.struct("similar", -F.col("b"))).alias("top")).select("a", (-F.col("top.col2")).alias("b")))
+    best = durable(
+        rated.groupBy("a").agg(F.max(F.struct("similar", -F.col("b"))).alias("top"))
+        .select("a", (-F.col("top.col2")).alias("b"), F.col("a").alias("ca"), (-F.col("top.col2")).alias("cb"))
+    )
 
     searched = classes.select("rep", "doc_id", "text_hash").join(shared.select("rep").distinct(), "rep", "left_semi")
     # one text of each class; made distinct by the keys of the join, so that neither texts nor full sets are shuffled again
     texts = docs.withColumn("text_hash", F.unhex(F.md5("text"))).join(searched, ["doc_id", "text_hash"])
     sets = durable(map_sets(texts.dropDuplicates(["doc_id", "text_hash"]).select("rep", "text"), conf))
-    first = durable(_confirm(best, sets, conf))
-    state = durable(_components(first, classes))
+    # each class has one link to a smaller one here
+    state = durable(_renamed(classes.select("rep", F.col("rep").alias("component")), "component", forest_roots(_confirm(best, sets, conf))))
 
     placed = shared.join(state, "rep")
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     members = placed.join(mixed.select("bucket"), "bucket").join(classes.select("rep", "n_shingles", "sketch", "bands"), "rep")
-    more = _pairs_across(members, conf).join(best, ["a", "b"], "left_anti")
-    second = _confirm(more, sets, conf)
-    final = _components(durable(first.unionByName(second)), classes)
+    across = durable(_pairs_across(members, conf))
+    dense = across.groupBy("a").agg(F.max(F.struct("similar", -F.col("b"), "ca", "cb")).alias("top"))
+    dense = dense.select("a", (-F.col("top.col2")).alias("b"), "top.ca", "top.cb")
+    joined = durable(connected_components(_confirm(dense, sets, conf)))
+    rest = _renamed(_renamed(across, "ca", joined), "cb", joined).where("ca <> cb")
+    final = _renamed(_renamed(state, "component", joined), "component", connected_components(_confirm(rest, sets, conf)))
 
     # a component is named by its smallest doc_id; by set, so that a large group of copies meets its answer in a join
     # that can be split
