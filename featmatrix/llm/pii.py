@@ -9,6 +9,10 @@ repetition of it along. Words believed with at least `sure` become further spans
 
 Training is piecewise: word potentials by weighted logistic regression, link potentials from label pairs, both from
 pattern labels of a bounded sample of documents (`sample` of them, drawn by a hash of doc_id), counted in Spark.
+A pattern says nothing about words that it ran over together with a neighbour (a match with too many digits, such as a
+phone number right before an IP address), so these are left unlabelled and the field has to label them from the rest.
+Each labelled word is learned twice, once with the features of its neighbours hidden. Added words of a phone number
+that follow each other are one span.
 
 Null text counts as empty (no spans). Spans that start together are ordered by kind. Repeated rows are independent,
 an empty table gives an empty table, further columns are ignored.
@@ -39,6 +43,8 @@ MARKED = re.compile(r"[0-9@]")
 NOT_DIGIT = re.compile(r"[^0-9]")
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
 FEATURES = 72
+#: Features that come from the words before and after.
+NEIGHBOURS = frozenset([48, 49, 50, 51, *range(56, 72)])
 
 
 @dataclass(frozen=True)
@@ -89,6 +95,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
+def overrun(text: str) -> list[tuple[int, int]]:
+    """Matches of the phone and card patterns that hold more digits than such a number has, sorted."""
+    found = [(m.start(), m.end()) for m in PHONE.finditer(text) if len(NOT_DIGIT.sub("", m[0])) > 15] if "+" in text else []
+    found += [(m.start(), m.end()) for m in CARD.finditer(text) if m.end() - m.start() > 19 and len(NOT_DIGIT.sub("", m[0])) > 19]
+    return sorted(found)
+
+
 def _features(word: str, before: str, after: str) -> list[int]:
     """Active features: shapes of the word and of its neighbours."""
     digits = sum("0" <= c <= "9" for c in word)
@@ -97,6 +110,8 @@ def _features(word: str, before: str, after: str) -> list[int]:
     on += [43] * ("@" in word) + [44] * word.startswith("+") + [45] * ("(" in word) + [46] * (":" in word)
     on += [47] * word.isdigit() + [48] * before.startswith("+") + [49] * bool(MARKED.search(before))
     on += [50] * bool(MARKED.search(after)) + [51] * ("=" in before) + [52] * ('"' in word)
+    if 14 <= digits <= 19:
+        on.append(53 if _luhn(NOT_DIGIT.sub("", word)) else 54)
     return [*on, 56 + zlib.crc32(before.lower().encode()) % 16]
 
 
@@ -143,6 +158,13 @@ def _labels(words: list[tuple[int, int]], spans: list[tuple[int, int, int]]) ->
     return out
 
 
+def _training_labels(text: str, words: list[tuple[int, int]]) -> list[int | None]:
+    """Labels of the patterns; None for words in a match that ran over."""
+    mine: list[int | None] = list(_labels(words, base_spans(text)))
+    unclear = _labels(words, [(start, 0, end) for start, end in overrun(text)])
+    return [None if lost and not label else label for label, lost in zip(mine, unclear)]
+
+
 def fit(docs: DataFrame, sample: int = 30_000, steps: int = 300) -> Field:
     """Fit on pattern labels of about `sample` documents. Only counts of feature and label combinations are collected."""
     labels = len(KINDS) + 1
@@ -153,12 +175,15 @@ def fit(docs: DataFrame, sample: int = 30_000, steps: int = 300) -> Field:
     def rows_of(rows: Iterator[tuple]) -> Iterator[tuple]:
         for (text,) in rows:
             words, feats, chain, skip = _graph(text)
-            mine = _labels(words, base_spans(text))
+            mine = _training_labels(text, words)
             for on, label in zip(feats, mine):
-                yield "word", ",".join(map(str, sorted(on))), label
+                if label is not None:
+                    yield "word", ",".join(map(str, sorted(on))), label
+                    yield "word", ",".join(str(x) for x in sorted(on) if x not in NEIGHBOURS), label
             for name, links in (("chain", chain), ("skip", skip)):
                 for a, b in links:
-                    yield name, str(mine[a]), mine[b]
+                    if mine[a] is not None and mine[b] is not None:
+                        yield name, str(mine[a]), mine[b]
 
     counted = (
         map_rows(drawn, ["text"], "part string, key string, label int", rows_of)
@@ -246,7 +271,13 @@ def all_spans(text: str, field: Field, sure: float = 0.9) -> tuple[list[tuple[in
         cut = word.strip(".,;:!?\"'()[]<>#*$%&|")
         if cut:
             at = start + word.index(cut)
-            added.append((at, best - 1, at + len(cut)))
+            if "(" + cut + ")" in word:  # the brackets of an area code belong to the number
+                at, cut = at - 1, "(" + cut + ")"
+            before = added[-1] if added else None
+            if before and best == 4 and before[1] == 3 and not cut.startswith("+") and not text[before[2] : at].strip():
+                added[-1] = (before[0], 3, at + len(cut))
+            else:
+                added.append((at, best - 1, at + len(cut)))
     return base, added
 
 

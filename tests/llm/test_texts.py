@@ -328,6 +328,18 @@ def test_fields_spread_a_label_to_repetitions(documents):
     assert pii.fit(documents(rows).limit(0)).words.any() == False  # noqa: E712
 
 
+def test_field_finds_numbers_that_the_patterns_ran_over(documents):
+    phone, card, decoy, ip = "+1 (826) 555-40{:02d}", "4111111111111111", "4111111111111112", "190.137.{}.9"
+    rows = [(i, f"call {phone.format(i % 90 + 10)} or pay {card} not {decoy} at {ip.format(i % 200)} now") for i in range(120)]
+    glued = [(900, f"call {phone.format(81)} {ip.format(7)} now"), (901, f"call {phone.format(82)} {card} now"), (902, f"pay {decoy} now")]
+    got = {r.doc_id: r for r in pii.find(documents(rows + glued), pii.fit(documents(rows + glued))).collect()}
+    assert (got[900].n_phone, got[900].n_ip, got[900].n_added) == (0, 1, 1)
+    assert got[900].spans == "phone:5:22,ip:23:34"
+    assert (got[901].n_phone, got[901].n_card, got[901].spans) == (0, 0, "phone:5:22,card:23:39")
+    assert (got[902].spans, got[0].n_added) == ("", 0)
+    assert pii.overrun("a +1 22 33") == [] and pii.overrun("") == []
+
+
 def test_beliefs_follow_links():
     field = pii.Field(np.zeros((pii.FEATURES, 5)), np.zeros((5, 5)), np.where(np.eye(5, dtype=bool), 2.0, -1.0))
     field.words[1, 4], field.words[2] = 6.0, 0.0
