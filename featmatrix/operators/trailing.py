@@ -8,13 +8,10 @@ grid is needed:
 
 1. one shuffle brings the (at most twelve) rows of a customer together; each row travels as one
    compact array of doubles, and an aggregate puts the arrays into one slot per month, zeros for gaps;
-2. the slots are zipped to one struct of month values per measure;
-3. a ``transform`` per group of like measures computes block sums, minima and maxima, and from these
-   the features; overlapping frames share their blocks;
-4. the features are unpacked to columns.
+2. one projection computes block sums, minima and maxima of every measure, a column each;
+3. a second one computes the features from these; overlapping frames share their blocks.
 
-Rows are streamed customer by customer, the plan has one expression tree per measure group and not one
-per feature, and nothing is pivoted. ``trailing_by_window`` is the direct form (grid and windows), kept
+Rows are streamed customer by customer through compiled projections, and nothing is pivoted. ``trailing_by_window`` is the direct form (grid and windows), kept
 as the slow reference for tests.
 
 A customer with two rows in one month is an error, raised by the aggregate that builds the slots. Rows outside the
@@ -26,6 +23,7 @@ only its own feature NULL, and NULL customer keys are kept unless dropped before
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -173,21 +171,28 @@ def month_slots(
     return slotted.select(*keys, *(F.expr(f"coalesce(s{r}, {zeros})").alias(f"s{r}") for r in range(len(ordinals))))
 
 
+def _block_column(group: int, measure: int, name: str) -> str:
+    return f"_b{group}_{measure}_{name}"
+
+
 def expand_groups(
-    slots: DataFrame, groups: Sequence[FeatureGroup], keys: Sequence[str], n_rows: int
+    slots: DataFrame, groups: Sequence[FeatureGroup], keys: Sequence[str]
 ) -> tuple[DataFrame, dict[str, str]]:
-    """Packed features: one array of structs per group, and the SQL path of every feature name."""
-    zipped = slots.select(*keys, F.expr(f"arrays_zip({', '.join(f's{r}' for r in range(n_rows))})").alias("_months"))
-    packed, paths, offset = [], {}, 1
+    """One column per block and measure, and over these the SQL of every feature name.
+
+    Blocks and features are plain columns, because those are compiled, and a function over an array of measures is
+    interpreted value by value: at the width of a matrix that was most of the time of a run.
+    """
+    columns, found, offset = [], {}, 0
     for g, group in enumerate(groups):
-        part = f"slice(_months, {offset}, {len(group.measures)})"
-        blocks = f"transform({part}, x -> {_struct(group.blocks)})"
-        packed.append(F.expr(f"transform({blocks}, y -> {_struct(group.features)})").alias(f"_g{g}"))
         for i, measure in enumerate(group.measures):
-            for suffix in group.features:
-                paths[f"{measure}_{suffix}"] = f"_g{g}[{i}].{suffix}"
+            for name, sql in group.blocks.items():
+                value = re.sub(r"\bx\.s(\d+)\b", rf"s\1[{offset + i}]", sql)
+                columns.append(f"{value} as {_block_column(g, i, name)}")
+            for suffix, sql in group.features.items():
+                found[f"{measure}_{suffix}"] = re.sub(r"\by\.(\w+)\b", lambda x: _block_column(g, i, x[1]), sql)
         offset += len(group.measures)
-    return zipped.select(*keys, *packed), paths
+    return slots.selectExpr(*keys, *columns), found
 
 
 def trailing_matrix(
@@ -258,9 +263,9 @@ def _one_pattern(
     by = ids if single is not None else [analysis, *ids]
     month = F.lit(single) if single is not None else F.col(analysis)
     slots = month_slots(panel, ordered, by, ordinals, month, period, partitions)
-    packed, paths = expand_groups(slots, groups, by, len(ordinals))
+    blocks, found = expand_groups(slots, groups, by)
     out_keys = [f"{single} as {analysis}" if k == analysis and single is not None else k for k in keys]
-    return packed.selectExpr(*out_keys, *(f"{paths[renames[s.name]]} as `{s.name}`" for s in specs))
+    return blocks.selectExpr(*out_keys, *(f"{found[renames[s.name]]} as `{s.name}`" for s in specs))
 
 
 def trailing_by_window(

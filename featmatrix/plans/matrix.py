@@ -133,9 +133,9 @@ def expand_slots(slots: DataFrame, channel: Channel, ordinals: Sequence[int], mo
     """Feature columns of month slots; ``month`` is the analysis month, without it the rows carry it as a column."""
     keys = channel.keys
     by = keys.ids if month is not None else keys.matrix
-    packed, paths = expand_groups(slots, feature_groups(channel, ordinals), by, len(ordinals))
+    blocks, found = expand_groups(slots, feature_groups(channel, ordinals), by)
     first = keys.analysis if month is None else f"{month} as {keys.analysis}"
-    return packed.selectExpr(first, *keys.ids, *(f"{paths[f]} as {f.lower()}" for f in feature_types(channel)))
+    return blocks.selectExpr(first, *keys.ids, *(f"{found[f]} as {f.lower()}" for f in feature_types(channel)))
 
 
 def expand_matrix(
