@@ -899,7 +899,7 @@ def _agent_run(spark, sf, months, concept=None) -> RunConfig:
     """Catalog tables for a run of the agent channel: the whole panel, every snapshot of the analysis months, the run parameters."""
     names = {t: _fresh(t) for t in ("concept", "identity", "params", "matrix")}
     panel = A.agent_panel(spark, sf) if concept is None else concept
-    sinks.write_matrix(panel, names["concept"])
+    sinks.write_matrix(sinks.spread_by_month(panel), names["concept"])
     A.identity_map(spark, sf, months).write.saveAsTable(names["identity"])
     spark.createDataFrame([(float(min(months)), float(max(months)))], "codmesinicio double, codmesfin double").write.saveAsTable(names["params"])
     return RunConfig(
@@ -953,7 +953,7 @@ def pip_late_data(spark, sf):
     withdrawn = panel.where(n == 3).withColumn("codmes", F.lit(200011)).dropDuplicates(["codunicocli"])
     cfg = _agent_run(spark, sf, (MONTH,), early.unionByName(withdrawn))
     late = replace(cfg, concept_table=_fresh("concept"))
-    sinks.write_matrix(panel, late.concept_table)
+    sinks.write_matrix(sinks.spread_by_month(panel), late.concept_table)
     with _options_kept(spark):
         refresh_month(spark, cfg, MONTH)
         refresh_month(spark, late, MONTH)

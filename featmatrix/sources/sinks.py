@@ -28,6 +28,18 @@ def repartition_for_write(
     return df.hint("rebalance", partition)
 
 
+def spread_by_month(df: DataFrame, partition: str = KEYS.period, files: int | None = None) -> DataFrame:
+    """Rows of many months, brought together for a partitioned write of ``files`` files a month.
+
+    Otherwise every task writes a file of every month, and files grow with tasks times months. The number of tasks is
+    fixed, and a month goes to more files as that grows (a twentieth of the tasks by default), whatever its ids.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    files = files or max(1, tasks // 20)
+    content = F.xxhash64(*(F.col(f"`{c}`") for c in df.columns))
+    return df.repartition(tasks, F.col(partition), F.pmod(content, F.lit(files)))
+
+
 @contextmanager
 def _dynamic_overwrite(spark: SparkSession) -> Iterator[None]:
     """Inserts into a table take the overwrite mode from the session, not from the writer."""

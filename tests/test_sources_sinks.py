@@ -253,3 +253,15 @@ def test_states_stored_by_customer_are_not_shuffled(spark, plan_of):
         with without_broadcasts(spark):
             assert "Exchange" not in plan_of(found, "simple")
         assert ordered(found) == ordered(build_features(concept, identity, channel, [month]))
+
+
+def test_months_are_brought_together_for_a_write(spark, tmp_path):
+    rows = spark.range(0, 480, 1, 8).selectExpr("id", "cast(200001 + id % 12 as int) as codmes", "if(id % 3 = 0, null, 'u') as who")
+    rows = rows.unionByName(rows.where("id < 24"))  # repeated rows stay
+    sinks.spread_by_month(rows).write.partitionBy("codmes").parquet(str(tmp_path / "months"))
+    files = [len(list(m.glob("*.parquet"))) for m in (tmp_path / "months").glob("codmes=*")]
+    assert files == [1] * 12
+    stored = spark.read.parquet(str(tmp_path / "months")).select(*rows.columns)
+    assert stored.exceptAll(rows).count() == rows.exceptAll(stored).count() == 0
+    sinks.spread_by_month(rows, files=3).write.partitionBy("codmes").parquet(str(tmp_path / "more"))
+    assert all(1 < len(list(m.glob("*.parquet"))) <= 3 for m in (tmp_path / "more").glob("codmes=*"))
